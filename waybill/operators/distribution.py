@@ -17,19 +17,27 @@ def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
     the value column; counting then combines to ``bins`` rows per task before
     anything is shuffled.
     """
-    known = df.filter(F.col(value).isNotNull()).select(value)
-    span = known.agg(
-        F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("span")
-    ).scalar()
-    lo, hi = span.getField("lo").cast("double"), span.getField("hi").cast("double")
-    width = (hi - lo) / F.lit(float(bins))
-    slot = F.when(width > 0, F.floor((F.col(value) - lo) / width)).otherwise(F.lit(0))
+    known = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_x"))
+    span = known.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
+    x, lo, width = F.col("_x"), F.col("_lo"), F.col("_width")
+    slot = F.when(width > 0, F.floor((x - lo) / width)).otherwise(F.lit(0))
     return (
-        known.withColumn("bin", F.least(slot, F.lit(bins - 1)).cast("int"))
-        .groupBy("bin")
+        # The bounds travel as two (constant) group keys, so the subquery is
+        # planned once.
+        known.withColumn("_span", span)
+        .select(
+            "_x",
+            F.col("_span.lo").alias("_lo"),
+            ((F.col("_span.hi") - F.col("_span.lo")) / F.lit(float(bins))).alias("_width"),
+        )
+        .groupBy("_lo", "_width", F.least(slot, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("orders"))
-        .select("bin", (lo + F.col("bin") * width).alias("bin_start"),
-                (lo + (F.col("bin") + 1) * width).alias("bin_end"), "orders")
+        .select(
+            "bin",
+            (lo + F.col("bin") * width).alias("bin_start"),
+            (lo + (F.col("bin") + 1) * width).alias("bin_end"),
+            "orders",
+        )
     )
 
 

@@ -26,13 +26,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_CHUNKS) -> D
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _most_partitions(df: DataFrame) -> int:
+    """Upper limit of shuffle partitions; AQE only ever merges them."""
+    conf = df.sparkSession.conf
+    return int(
+        conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        or conf.get("spark.sql.shuffle.partitions")
+    )
+
 
+def _attach(
+    rows: DataFrame, chunks: DataFrame, keys: Sequence[str], max_groups: int | None
+) -> DataFrame:
+    """Equi-join the chunk totals back, null keys included.
 
-def _attach(rows: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Equi-join the chunk totals back, null keys included."""
-    chunks = broadcast_if_small(chunks)
+    Sorted on the group first, the partitions hold at most one chunk each plus
+    one for every group that starts inside one.  That bounds the broadcast when
+    the number of groups is known; otherwise the chunks are counted.
+    """
+    if max_groups is not None and _most_partitions(rows) + max_groups <= MAX_BROADCAST_CHUNKS:
+        chunks = F.broadcast(chunks)
+    else:
+        chunks = broadcast_if_small(chunks)
     for k in keys:
         chunks = chunks.withColumnRenamed(k, f"_c_{k}")
     match = [rows[k].eqNullSafe(chunks[f"_c_{k}"]) for k in keys]
@@ -45,17 +60,20 @@ def with_row_number(
     group: Sequence[str] = (),
     name: str = "rn",
     totals: Mapping[str, Column] | None = None,
+    max_groups: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row within its group, and group totals.
 
     ``order`` must end in a unique column.  ``totals`` maps output names to
     aggregates that are added up over the group (counts, sums); ``n_rows`` is
-    always there.  Groups are meant to be few and may be of any size.
+    always there.  Groups are meant to be few and may be of any size;
+    ``max_groups`` is their number where the caller knows a limit.
     """
     group, totals = list(group), dict(totals or {})
+    max_groups = max_groups if group else 1
     keys = [*group, *order]
     placed = stage(
-        df.repartitionByRange(_partitions(df), *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id()),
         "ranks",
@@ -71,7 +89,7 @@ def with_row_number(
         "_before", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0))
     ).withColumns({total: F.sum(total).over(whole) for total in ("n_rows", *totals)})
     return (
-        _attach(placed, chunks, ["_part", *group])
+        _attach(placed, chunks, ["_part", *group], max_groups)
         .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1)
         .drop("_at", "_part", "_first", "_before")
     )
@@ -88,7 +106,7 @@ def with_running_totals(
     group = list(group)
     keys = [*group, *order]
     placed = stage(
-        df.repartitionByRange(_partitions(df), *keys).withColumn("_part", F.spark_partition_id()),
+        df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()),
         "running",
     )
     chunks = placed.groupBy("_part", *group).agg(*(F.sum(w).alias(f"{w}_total") for w in weights))
@@ -103,7 +121,7 @@ def with_running_totals(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        _attach(placed, chunks, ["_part", *group])
+        _attach(placed, chunks, ["_part", *group], None if group else 1)
         .withColumns(
             {
                 f"{w}_before": F.col(f"_{w}_base") + F.coalesce(F.sum(w).over(local), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame, functions as F
 
 from waybill.operators.ranks import broadcast_if_small
+from waybill.session import stage
 
 
 def frequent_items(distinct: DataFrame, min_support: float) -> DataFrame:
@@ -31,9 +32,10 @@ def transactions(lines: DataFrame, min_support: float) -> DataFrame:
     ``lines`` has ``basket`` and ``item``.  Repeats are removed and rare items
     blanked before anything is gathered, so even a basket that owns a third of
     all lines becomes a set no longer than the list of frequent items.  Baskets
-    left empty stay: supports are shares of all baskets.
+    left empty stay: supports are shares of all baskets.  The distinct lines
+    are read several times, so they are staged.
     """
-    distinct = lines.select("basket", "item").distinct()
+    distinct = stage(lines.select("basket", "item").distinct(), "basket-lines")
     marked = distinct.join(broadcast_if_small(frequent_items(distinct, min_support)), "item", "left")
     return marked.groupBy("basket").agg(
         F.collect_set(F.when(F.col("_frequent"), F.col("item"))).alias("items")
@@ -67,8 +69,11 @@ class BasketRules:
 
 
 def mine(lines: DataFrame, min_support: float = 0.01, min_confidence: float = 0.0) -> BasketRules:
-    """Frequent itemsets by parallel FP-growth, no pair ever being emitted."""
+    """Frequent itemsets by parallel FP-growth, no pair ever being emitted.
+
+    The model re-reads its transactions for every result, hence the staging.
+    """
     model = FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence
-    ).fit(transactions(lines, min_support))
+    ).fit(stage(transactions(lines, min_support), "baskets"))
     return BasketRules(model)

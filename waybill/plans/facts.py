@@ -94,8 +94,7 @@ def build_facts(
         df = df.join(payments_per_order(reduced(src.payments)), "order_id", "left")
     reviews = src.reviews.select("order_id", "review_score")
     if review_mode == "fanout":
-        hot = () if max_orders is not None else src.hot_orders("reviews")
-        df = left_join_apart(df, reduced(reviews), "order_id", hot)
+        df = left_join_apart(df, reduced(reviews), "order_id", src.hot_orders("reviews"))
     elif "review_score" in wanted:
         ordered = src.reviews if review_order else reviews
         df = df.join(reviews_per_order(reduced(ordered), review_mode, review_order), "order_id", "left")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waybill.functions.casts import ratio
 from waybill.functions.present import labelled_lines, percent, rounded_percent
 from waybill.plans.trends import on_time_rate, order_count
 from waybill.sources.tables import Sources
@@ -92,14 +91,15 @@ def overall(states: DataFrame, weights: str = "orders") -> DataFrame:
     mean delivery time but its orders still count in the denominator;
     ``weights="delivered"`` weighs by deliveries and has no such pull.
     """
-    total = F.greatest(F.sum("orders"), F.lit(1))
-    weight = F.col(weights)
+
+    def mean_of(figure: str, weight: Column) -> Column:
+        weighted = F.coalesce(F.sum(F.col(figure) * weight), F.lit(0.0))
+        return weighted / F.greatest(F.sum(weight), F.lit(1))
+
     return states.agg(
         F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),
-        (F.sum(F.col("on_time_rate") * F.col("orders")) / total).alias("on_time_rate"),
-        ratio(
-            F.sum(F.col("avg_delivery_days") * weight), F.greatest(F.sum(weight), F.lit(1))
-        ).alias("avg_delivery_days"),
+        mean_of("on_time_rate", F.col("orders")).alias("on_time_rate"),
+        mean_of("avg_delivery_days", F.col(weights)).alias("avg_delivery_days"),
     )
 
 

@@ -44,11 +44,11 @@ def tag_text(
     name: str = "route",
 ) -> DataFrame:
     """Add the first route one of whose stems occurs in the text, whatever its case."""
-    lowered = F.lower(F.col(text))
+    lowered = F.col("_lowered")
     chosen = F.lit(default)
     for route, stems in reversed(routes):
         hit = F.lit(False)
         for stem in stems:
             hit = hit | lowered.contains(stem)
         chosen = F.when(hit, F.lit(route)).otherwise(chosen)
-    return df.withColumn(name, chosen)
+    return df.withColumn("_lowered", F.lower(text)).withColumn(name, chosen).drop("_lowered")

@@ -79,7 +79,7 @@ def rfm_scores(facts: DataFrame, customer: str = "customer_id") -> DataFrame:
     ).unpivot("customer_id", list(MEASURES), "measure", "value")
     placed = with_row_number(
         long, order=["value", "customer_id"], group=["measure"],
-        totals={"missing": F.count_if(F.col("value").isNull())},
+        totals={"missing": F.count_if(F.col("value").isNull())}, max_groups=len(MEASURES),
     )
     fifth = quintile(F.col("rn"), F.col("n_rows"))
     ascending = F.when(F.col("measure") == "recency", 6 - fifth).otherwise(fifth)

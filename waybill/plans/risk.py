@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from waybill.functions.casts import flag
 from waybill.functions.money import cents, from_cents
@@ -101,8 +102,7 @@ def training_table(src: Sources, max_orders: int | None = None, keep_keys: bool
     payments = src.payments.select(
         "order_id", "payment_sequential", "payment_type", "payment_installments"
     )
-    hot = () if max_orders else src.hot_orders("payments")
-    full = left_join_apart(joined, payments, "order_id", hot)
+    full = left_join_apart(joined, payments, "order_id", src.hot_orders("payments"))
     features = {
         "same_state": flag(F.col("customer_state") == F.col("seller_state")),
         "items_cnt": F.coalesce("items_cnt", F.lit(1)),
@@ -128,19 +128,17 @@ def _known(df: DataFrame) -> DataFrame:
 
 @dataclass
 class RiskModel:
-    pipeline: PipelineModel
+    encoder: PipelineModel
+    regression: LogisticRegressionModel
 
     def feature_names(self) -> list[str]:
-        names = []
-        for stage in self.pipeline.stages:
-            if hasattr(stage, "labelsArray"):
-                for column, labels in zip(CATEGORICAL, stage.labelsArray):
-                    names += [f"{column}={label}" for label in labels]
-        return names + NUMERIC
+        """``column=category`` for the encoded categories, then the numbers."""
+        labels = zip(CATEGORICAL, self.encoder.stages[0].labelsArray, strict=True)
+        return [f"{column}={value}" for column, known in labels for value in known] + NUMERIC
 
     def coefficients(self, spark) -> DataFrame:
         """Feature and coefficient, one row per feature."""
-        weights = self.pipeline.stages[-1].coefficients.toArray()
+        weights = self.regression.coefficients.toArray()
         rows = [(name, float(w)) for name, w in zip(self.feature_names(), weights, strict=True)]
         return spark.createDataFrame(rows, "feature string, coef double")
 
@@ -150,7 +148,7 @@ class RiskModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``risk``, the probability of a late delivery."""
-        scored = self.pipeline.transform(_known(df))
+        scored = self.regression.transform(self.encoder.transform(_known(df)))
         return scored.withColumn("risk", vector_to_array("probability")[1]).select(
             *df.columns, "risk"
         )
@@ -163,11 +161,9 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
     where the usual objective sums it, so the penalty is 1 / (C * sum of weights).
     An unseen category encodes to all zeros.
     """
-    weighted = with_class_weight(_known(train), LABEL)
-    weight_sum = weighted.agg(F.sum("weight")).first()[0]
-    indexed = [f"{c_}_ix" for c_ in CATEGORICAL]
-    encoded = [f"{c_}_oh" for c_ in CATEGORICAL]
-    pipeline = Pipeline(
+    indexed = [f"{name}_ix" for name in CATEGORICAL]
+    encoded = [f"{name}_oh" for name in CATEGORICAL]
+    encoding = Pipeline(
         stages=[
             StringIndexer(
                 inputCols=CATEGORICAL, outputCols=indexed, handleInvalid="keep",
@@ -175,13 +171,25 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
             ),
             OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
             VectorAssembler(inputCols=[*encoded, *NUMERIC], outputCol="features"),
-            LogisticRegression(
-                labelCol=LABEL, weightCol="weight", regParam=1.0 / (c * weight_sum),
-                elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-            ),
         ]
     )
-    return RiskModel(pipeline.fit(weighted))
+    weighted = with_class_weight(_known(train), LABEL)
+    encoder = encoding.fit(weighted)
+    # Every iteration reads the vectors; a lost block is computed again.
+    vectors = (
+        encoder.transform(weighted)
+        .select("features", LABEL, "weight")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    try:
+        weight_sum = vectors.agg(F.sum("weight")).first()[0]
+        model = LogisticRegression(
+            labelCol=LABEL, weightCol="weight", regParam=1.0 / (c * weight_sum),
+            elasticNetParam=0.0, standardization=False, maxIter=max_iter,
+        ).fit(vectors)
+    finally:
+        vectors.unpersist()
+    return RiskModel(encoder, model)
 
 
 def test_summary(df: DataFrame) -> DataFrame:

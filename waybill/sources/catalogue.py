@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from waybill.schemas import SOURCE_SCHEMAS
@@ -14,6 +14,23 @@ from waybill.sources.tables import Sources
 
 FALLBACK_ENCODING = "ISO-8859-1"
 
+# Fields of a CSV file that mean "missing".
+MISSING_FIELDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def typed(columns: Sequence[str], schema: StructType, wanted: Sequence[str] | None) -> list[Column]:
+    """The schema's columns, cast; an absent column or unreadable value is null."""
+    return [
+        (F.col(f.name) if f.name in columns else F.lit(None).cast("string"))
+        .try_cast(f.dataType)
+        .alias(f.name)
+        for f in schema.fields
+        if wanted is None or f.name in wanted
+    ]
+
 
 def _exists(scan) -> DataFrame | None:
     """The scan's DataFrame, or None when its path does not exist."""
@@ -50,13 +67,10 @@ def read_csv(
     # file may hold more columns than the schema, in any order.
     raw = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding,
                          multiLine=free_text, escape='"')
-    wanted = [f for f in schema.fields if columns is None or f.name in columns]
-    return raw.select(
-        *(
-            (F.col(f.name) if f.name in raw.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
-            for f in wanted
-        )
+    present = raw.select(
+        *(F.when(~F.col(f"`{c}`").isin(MISSING_FIELDS), F.col(f"`{c}`")).alias(c) for c in raw.columns)
     )
+    return present.select(*typed(raw.columns, schema, columns))
 
 
 @dataclass
@@ -82,16 +96,7 @@ class Catalogue:
         found = _exists(lambda: self.spark.read.parquet(self.path(name, "parquet")))
         if found is None:
             return None
-        schema = self.schemas[name]
-        return found.select(
-            *(
-                (F.col(f.name) if f.name in found.columns else F.lit(None))
-                .try_cast(f.dataType)
-                .alias(f.name)
-                for f in schema.fields
-                if columns is None or f.name in columns
-            )
-        )
+        return found.select(*typed(found.columns, self.schemas[name], columns))
 
     def csv(self, name: str, columns: Sequence[str] | None = None) -> DataFrame | None:
         path = self.path(name, "csv")
