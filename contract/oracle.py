@@ -244,6 +244,10 @@ _on_facts("sla_kpis", f"""
 SELECT {RATE} AS on_time_rate, round(avg(delivery_time_h), 6) AS avg_delivery_h,
        round(avg(delay_h), 6) AS avg_delay_h
 FROM facts""")
+_on_facts("sla_kpis_delivered", f"""
+SELECT {RATE} AS on_time_rate, round(avg(delivery_time_h), 6) AS avg_delivery_h,
+       round(avg(delay_h), 6) AS avg_delay_h
+FROM facts WHERE order_delivered_customer_date IS NOT NULL""")
 _on_facts("sla_daily", f"""
 SELECT purchase_date, {RATE} AS on_time_rate, count(*) AS orders FROM facts GROUP BY purchase_date""")
 
@@ -379,6 +383,8 @@ SELECT count(*) AS customers, CAST(sum(frequency) AS BIGINT) AS orders,
 FROM base""")
 _on_facts("rfm_top_customers", f"""{RFM}
 SELECT * FROM rfm ORDER BY monetary DESC, frequency DESC, customer_id LIMIT 50""")
+_on_facts("report_rfm", f"""{RFM}
+SELECT * FROM rfm ORDER BY monetary DESC, frequency DESC, customer_id LIMIT 30""")
 _on_facts("rfm_sum_histogram", f"""{RFM},
 b AS (SELECT min(rfm) AS lo, (max(rfm) - min(rfm)) / 10.0 AS w FROM rfm),
 h AS (SELECT CAST(least(floor((rfm - lo) / w), 9) AS INTEGER) AS bin, count(*) AS customers
@@ -567,6 +573,18 @@ ORACLE["risk_oldest_training_table"] = f"""{_OLDEST}
 SELECT seller_state, late, count(*) AS rows, CAST(sum(same_state) AS BIGINT) AS same_state,
        CAST(sum(items_cnt) AS BIGINT) AS items
 FROM training GROUP BY seller_state, late"""
+ORACLE["risk_one_row_per_order"] = f"""WITH {SOURCES},
+paid AS (
+  SELECT order_id,
+         arg_min(payment_type, payment_sequential) FILTER (payment_type IS NOT NULL) AS payment_type,
+         max(payment_installments) AS installments
+  FROM s_payments GROUP BY order_id
+)
+SELECT payment_type, CAST(coalesce(installments, 1) AS INTEGER) AS payment_installments,
+       CAST(coalesce(order_delivered_customer_date > order_estimated_delivery_date, false) AS INTEGER) AS late,
+       count(*) AS rows, CAST(sum(hour(order_purchase_timestamp)) AS BIGINT) AS hours
+FROM s_orders o LEFT JOIN paid p ON o.order_id = p.order_id
+WHERE order_status = 'delivered' GROUP BY 1, 2, 3"""
 ORACLE["risk_class_weights"] = f"""{TRAINING}
 SELECT late, count(*) AS n,
        round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight

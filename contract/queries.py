@@ -6,7 +6,6 @@ add floating-point numbers in different orders print the same value.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -20,7 +19,7 @@ from waybill.plans import (
 )
 from waybill.plans.facts import build_facts
 from waybill.schemas import SOURCE_SCHEMAS
-from waybill.session import shared_dir
+from waybill.session import scratch_path
 from waybill.sources import marketplace
 from waybill.sources.catalogue import Catalogue, count_rows
 from waybill.sources.sinks import write_facts
@@ -116,7 +115,7 @@ def facts_repaired(spark, folder):
 @register
 def facts_from_sink(spark, folder):
     """A period of facts, read back from the table partitioned by month."""
-    path = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "facts")
     write_facts(
         facts_of(spark, folder, "purchase_dt", "purchase_date", "ym", "gross_revenue", "on_time"), path
     )
@@ -131,7 +130,7 @@ def facts_from_sink(spark, folder):
 @register
 def orders_from_csv(spark, folder):
     """Orders written as CSV, found by the catalogue, converted once to Parquet."""
-    root = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "csv")
     marketplace.load(spark, folder).orders.write.option("header", True).option(
         "timestampFormat", "yyyy-MM-dd HH:mm:ss"
     ).csv(f"{root}/orders.csv")
@@ -233,6 +232,14 @@ def sla_kpis(spark, folder):
     return rounded(delivery.sla_kpis(facts), "on_time_rate", "avg_delivery_h", "avg_delay_h")
 
 
+@register
+def sla_kpis_delivered(spark, folder):
+    facts = facts_of(spark, folder, "on_time", "delivery_time_h", "delay_h")
+    return rounded(
+        delivery.sla_kpis(facts, delivered_only=True), "on_time_rate", "avg_delivery_h", "avg_delay_h"
+    )
+
+
 @register
 def sla_daily(spark, folder):
     return rounded(
@@ -426,9 +433,12 @@ def roi_total(spark, folder):
 
 @register
 def roi_grid(spark, folder):
-    steps = spark.createDataFrame(
-        [(float(m), float(cut), float(cov)) for m in (30, 55, 80) for cut in (0, 5, 20) for cov in (0, 20, 80)],
-        "margin_pct double, late_cut_pp double, winback_coverage_pct double",
+    steps = spark.sql(
+        """
+        SELECT margin_pct, late_cut_pp, explode(array(0D, 20D, 80D)) AS winback_coverage_pct
+        FROM (SELECT margin_pct, explode(array(0D, 5D, 20D)) AS late_cut_pp
+              FROM (SELECT explode(array(30D, 55D, 80D)) AS margin_pct))
+        """
     )
     grid = scenarios.scenario_grid(_base(spark, folder), steps).select(
         *steps.columns, "late_profit", "winback_profit", "cross_profit", "total_profit"
@@ -518,6 +528,14 @@ def risk_oldest_training_table(spark, folder):
     )
 
 
+@register
+def risk_one_row_per_order(spark, folder):
+    table = risk.training_table(marketplace.load(spark, folder), payment_mode="first")
+    return table.groupBy("payment_type", "payment_installments", "late").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("hour").alias("hours")
+    )
+
+
 @register
 def risk_class_weights(spark, folder):
     return rounded(classification.class_weights(_training(spark, folder)), "weight")
@@ -610,6 +628,11 @@ def report_by_name(spark, folder):
     )
 
 
+@register
+def report_rfm(spark, folder):
+    return reports.run_report("rfm", _customer_facts(spark, folder))
+
+
 @register
 def text_routing(spark, folder):
     talks = spark.read.parquet(f"{folder}/conversations.parquet")

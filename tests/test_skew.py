@@ -42,8 +42,8 @@ def test_hot_order_in_the_facts(spark):
     reviews = [("3", i % 5 + 1) for i in range(50)] + [("1", 4)]
     plain = sources(spark, orders=orders, reviews=reviews)
     apart = sources(spark, orders=orders, reviews=reviews)
-    plain._hot["reviews"] = []
-    apart._hot["reviews"] = ["3", "8"]
+    plain.hot_keys["reviews"] = []
+    apart.hot_keys["reviews"] = ["3", "8"]
     assert rows(build_facts(apart)) == rows(build_facts(plain))
     assert build_facts(apart).count() == 50 + 1 + 8
 

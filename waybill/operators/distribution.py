@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waybill.operators.ranks import with_running_totals
+from waybill.operators.ranks import broadcast_if_small, with_running_totals
+from waybill.session import stage
 
 
 def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
@@ -86,18 +87,22 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     group = list(group)
     counted = _counted(df.na.drop(subset=[value, *group]), value, group)
     v = F.col(value)
-    box = counted.groupBy(*group).agg(
-        F.sum("n").alias("orders"),
-        F.min(v).alias("min_value"),
-        _at_quantile(0.25, v).alias("q1"),
-        _at_quantile(0.50, v).alias("median"),
-        _at_quantile(0.75, v).alias("q3"),
-        F.max(v).alias("max_value"),
+    # One row per group, needed twice: staged, and small enough to broadcast or not.
+    box = stage(
+        counted.groupBy(*group).agg(
+            F.sum("n").alias("orders"),
+            F.min(v).alias("min_value"),
+            _at_quantile(0.25, v).alias("q1"),
+            _at_quantile(0.50, v).alias("median"),
+            _at_quantile(0.75, v).alias("q3"),
+            F.max(v).alias("max_value"),
+        ),
+        "box",
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = (
         counted.select(*group, value)
-        .join(box.select(*group, "q1", "q3"), group)
+        .join(broadcast_if_small(box.select(*group, "q1", "q3")), group)
         .groupBy(*group)
         .agg(
             F.min(F.when(v >= F.col("q1") - reach, v)).alias("lower_fence"),

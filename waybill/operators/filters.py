@@ -25,13 +25,18 @@ def in_period(facts: DataFrame, start: date | None = None, end: date | None = No
     reader, and on ``ym``, so that it prunes folders of a table partitioned by
     month.  A missing purchase time is outside every period.
     """
-    ts, ym = F.col("purchase_dt"), F.col("ym")
-    keep = ts.isNotNull()
+    ts = F.col("purchase_dt")
+    kept = facts.filter(ts.isNotNull())
     if start is not None:
-        keep &= (ts >= _midnight(start)) & (ym >= F.lit(f"{start:%Y-%m}"))
+        kept = kept.filter(ts >= _midnight(start))
     if end is not None:
-        keep &= (ts < _midnight(end + timedelta(days=1))) & (ym <= F.lit(f"{end:%Y-%m}"))
-    return facts.filter(keep)
+        kept = kept.filter(ts < _midnight(end + timedelta(days=1)))
+    if "ym" in facts.columns:
+        if start is not None:
+            kept = kept.filter(F.col("ym") >= F.lit(f"{start:%Y-%m}"))
+        if end is not None:
+            kept = kept.filter(F.col("ym") <= F.lit(f"{end:%Y-%m}"))
+    return kept
 
 
 def in_year(df: DataFrame, year: int | None, ts: str = "order_purchase_timestamp") -> DataFrame:

@@ -10,9 +10,9 @@ from waybill.operators.filters import delayed_only
 from waybill.plans.trends import on_time_rate, order_count
 
 
-def sla_kpis(facts: DataFrame) -> DataFrame:
+def sla_kpis(facts: DataFrame, delivered_only: bool = False) -> DataFrame:
     return facts.agg(
-        on_time_rate(),
+        on_time_rate(delivered_only),
         F.avg("delivery_time_h").alias("avg_delivery_h"),
         F.avg("delay_h").alias("avg_delay_h"),
     )

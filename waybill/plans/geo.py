@@ -42,10 +42,9 @@ STATE_CODES = list(STATE_CENTERS)
 
 
 def state_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(code, lat, lon) for code, (lat, lon) in STATE_CENTERS.items()],
-        "state string, lat double, lon double",
-    )
+    """The fixed positions as an inline table."""
+    values = ", ".join(f"('{code}', {lat}D, {lon}D)" for code, (lat, lon) in STATE_CENTERS.items())
+    return spark.sql(f"SELECT * FROM VALUES {values} AS centers(state, lat, lon)")
 
 
 def order_seller_state(src: Sources) -> DataFrame:

@@ -24,6 +24,7 @@ from waybill.operators.classification import (
 from waybill.operators.filters import complete_in, with_status
 from waybill.operators.skew import left_join_apart
 from waybill.operators.topk import oldest, top
+from waybill.plans.facts import payments_per_order
 from waybill.sources.tables import Sources
 
 NUMERIC = [
@@ -79,12 +80,18 @@ def item_features(src: Sources) -> DataFrame:
     )
 
 
-def training_table(src: Sources, max_orders: int | None = None, keep_keys: bool = False) -> DataFrame:
+def training_table(
+    src: Sources, max_orders: int | None = None, payment_mode: str = "fanout", keep_keys: bool = False
+) -> DataFrame:
     """Features known at purchase time and the label, for delivered orders.
 
-    Payments join one by one, so an order with two payments gives two rows.
-    ``max_orders`` keeps the oldest orders.
+    Payments join one by one, so an order with two payments gives two rows;
+    ``payment_mode="first"`` gives one row per order, with its first known
+    payment type and its longest instalment plan.  ``max_orders`` keeps the
+    oldest orders.
     """
+    if payment_mode not in ("fanout", "first"):
+        raise ValueError("payment_mode is 'fanout' or 'first'")
     bought = F.col("order_purchase_timestamp")
     promised = F.col("order_estimated_delivery_date")
     orders = oldest(with_status(src.orders, "delivered"), max_orders).select(
@@ -99,10 +106,17 @@ def training_table(src: Sources, max_orders: int | None = None, keep_keys: bool
         orders.join(src.customers.select("customer_id", "customer_state"), "customer_id", "left")
         .join(item_features(src), "order_id", "left")
     )
-    payments = src.payments.select(
-        "order_id", "payment_sequential", "payment_type", "payment_installments"
-    )
-    full = left_join_apart(joined, payments, "order_id", src.hot_orders("payments"))
+    if payment_mode == "first":
+        payments = payments_per_order(src.payments).select(
+            "order_id", F.lit(1).alias("payment_sequential"), "payment_type",
+            F.col("installments").alias("payment_installments"),
+        )
+        full = joined.join(payments, "order_id", "left")
+    else:
+        payments = src.payments.select(
+            "order_id", "payment_sequential", "payment_type", "payment_installments"
+        )
+        full = left_join_apart(joined, payments, "order_id", src.hot_orders("payments"))
     features = {
         "same_state": flag(F.col("customer_state") == F.col("seller_state")),
         "items_cnt": F.coalesce("items_cnt", F.lit(1)),

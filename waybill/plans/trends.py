@@ -18,8 +18,13 @@ def revenue() -> Column:
     return money_sum(F.col("gross_revenue")).alias("revenue")
 
 
-def on_time_rate() -> Column:
-    return F.avg(F.col("on_time").cast("int")).alias("on_time_rate")
+def on_time_rate(delivered_only: bool = False) -> Column:
+    """Share of rows on time.  Rows never delivered count as late unless only
+    delivered ones are asked for."""
+    hit = F.col("on_time").cast("int")
+    if delivered_only:
+        hit = F.when(F.col("delivery_time_h").isNotNull(), hit)
+    return F.avg(hit).alias("on_time_rate")
 
 
 def with_aov(df: DataFrame) -> DataFrame:

@@ -50,12 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, below one folder per application."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/waybill-{application}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
     The written table cuts the lineage: a lost executor re-reads files instead
     of recomputing (and possibly re-partitioning) everything before this point.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,11 @@ from waybill.operators.skew import frequent_keys
 
 @dataclass
 class Sources:
-    """One DataFrame per logical source; see ``schemas.SOURCE_SCHEMAS``."""
+    """One DataFrame per logical source; see ``schemas.SOURCE_SCHEMAS``.
+
+    ``hot_keys`` may name, per table, the orders that own very many of its rows;
+    a table that is not in it is looked through once, when first needed.
+    """
 
     orders: DataFrame
     items: DataFrame
@@ -20,10 +24,10 @@ class Sources:
     customers: DataFrame
     products: DataFrame
     sellers: DataFrame
-    _hot: dict = field(default_factory=dict, repr=False)
+    hot_keys: dict[str, list] = field(default_factory=dict)
 
     def hot_orders(self, table: str) -> list:
         """Orders that own a large share of ``table``; looked up once per set."""
-        if table not in self._hot:
-            self._hot[table] = frequent_keys(getattr(self, table), "order_id")
-        return self._hot[table]
+        if table not in self.hot_keys:
+            self.hot_keys[table] = frequent_keys(getattr(self, table), "order_id")
+        return self.hot_keys[table]
