@@ -267,7 +267,7 @@ FROM h, b"""
 _on_facts("delivery_histogram", _histogram("delivery_time_h", "delivery_time_h IS NOT NULL"))
 _on_facts("delay_histogram", _histogram("delay_h", "delay_h > 0"))
 _on_facts("whatif_late_simple", """
-SELECT round(CAST(coalesce(sum(gross_revenue) FILTER (NOT on_time), 0) AS DOUBLE) * 5.0 / 100, 4)
+SELECT round(CAST(coalesce(sum(gross_revenue) FILTER (NOT on_time), 0) AS DOUBLE) * 5.0 / 100, 6)
          AS recaptured_revenue
 FROM facts""")
 
@@ -429,17 +429,17 @@ def _cross(coverage: str, uplift: str, margin: str) -> dict[str, str]:
     return {"extra_revenue": extra, "cross_profit": f"({extra} * ({margin}) / 100.0)"}
 
 
-def _list(columns: dict[str, str]) -> str:
-    return ", ".join(f"round({sql}, 4) AS {name}" for name, sql in columns.items())
+def _list(columns: dict[str, str], digits: int = 6) -> str:
+    return ", ".join(f"round({sql}, {digits}) AS {name}" for name, sql in columns.items())
 
 
 _ALL = {**_late("5", "55"), **_winback("20", "10", "55"), **_cross("20", "5", "55")}
 _ALL["total_profit"] = f"({_ALL['late_profit']} + {_ALL['winback_profit']} + {_ALL['cross_profit']})"
-_on_facts("roi_late", f"{ROI} SELECT {_list(_late('5', '55'))} FROM roi")
+_on_facts("roi_late", f"{ROI} SELECT {_list(_late('5', '55'), 4)} FROM roi")
 _on_facts("roi_agent_late", f"""{ROI}
-SELECT round(late_revenue * 5 / 100.0, 4) AS recaptured_revenue,
-       round(late_revenue * 5 / 100.0 * 55 / 100.0, 4) AS profit FROM roi""")
-_on_facts("roi_winback", f"{ROI} SELECT {_list(_winback('20', '10', '55'))} FROM roi, risk")
+SELECT round(late_revenue * 5 / 100.0, 6) AS recaptured_revenue,
+       round(late_revenue * 5 / 100.0 * 55 / 100.0, 6) AS profit FROM roi""")
+_on_facts("roi_winback", f"{ROI} SELECT {_list(_winback('20', '10', '55'), 4)} FROM roi, risk")
 _on_facts("roi_cross_sell", f"{ROI} SELECT {_list(_cross('20', '5', '55'))} FROM roi")
 _on_facts("roi_total", f"{ROI} SELECT {_list(_ALL)} FROM roi, risk")
 _GRID = {
@@ -460,9 +460,9 @@ c AS (
          CAST(coalesce(sum(gross_revenue) FILTER (order_status = 'shipped'), 0) AS DOUBLE) AS lost_revenue
   FROM facts
 )
-SELECT orders, lost_orders, round(lost_orders / orders, 4) AS lost_rate, lost_revenue,
-       round(lost_revenue * 10 / 100.0, 4) AS kept_revenue,
-       round(lost_revenue * 10 / 100.0 * 55 / 100.0, 4) AS profit
+SELECT orders, lost_orders, round(lost_orders / orders, 6) AS lost_rate, lost_revenue,
+       round(lost_revenue * 10 / 100.0, 6) AS kept_revenue,
+       round(lost_revenue * 10 / 100.0 * 55 / 100.0, 6) AS profit
 FROM c""")
 
 # --- states ------------------------------------------------------------------

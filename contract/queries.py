@@ -1,7 +1,8 @@
 """Every registered query: (spark, folder) → DataFrame over the test tables.
 
 Rates and means are rounded to six decimals here, so that two engines which
-add floating-point numbers in different orders print the same value.
+add floating-point numbers in different orders print the same value.  An amount
+in cents times two percentages has six decimals, so it is never cut at a tie.
 """
 
 from __future__ import annotations
@@ -265,7 +266,7 @@ def delay_histogram(spark, folder):
 def whatif_late_simple(spark, folder):
     return rounded(
         scenarios.late_revenue_share(facts_of(spark, folder, "on_time", "gross_revenue")),
-        "recaptured_revenue", digits=4,
+        "recaptured_revenue",
     )
 
 
@@ -407,7 +408,7 @@ def roi_late(spark, folder):
 def roi_agent_late(spark, folder):
     facts = facts_of(spark, folder, "on_time", "gross_revenue")
     return rounded(
-        scenarios.late_revenue_profit(facts), "recaptured_revenue", "profit", digits=4
+        scenarios.late_revenue_profit(facts), "recaptured_revenue", "profit"
     )
 
 
@@ -421,14 +422,14 @@ def roi_winback(spark, folder):
 @register
 def roi_cross_sell(spark, folder):
     return rounded(
-        scenarios.cross_sell(_base(spark, folder)), "extra_revenue", "cross_profit", digits=4
+        scenarios.cross_sell(_base(spark, folder)), "extra_revenue", "cross_profit"
     )
 
 
 @register
 def roi_total(spark, folder):
     total = scenarios.all_scenarios(_base(spark, folder))
-    return rounded(total, *total.columns, digits=4)
+    return rounded(total, *total.columns)
 
 
 @register
@@ -443,7 +444,7 @@ def roi_grid(spark, folder):
     grid = scenarios.scenario_grid(_base(spark, folder), steps).select(
         *steps.columns, "late_profit", "winback_profit", "cross_profit", "total_profit"
     )
-    return rounded(grid, "late_profit", "winback_profit", "cross_profit", "total_profit", digits=4)
+    return rounded(grid, "late_profit", "winback_profit", "cross_profit", "total_profit")
 
 
 @register
@@ -451,8 +452,7 @@ def roi_cancellations(spark, folder):
     """The test tables cancel nothing; open orders stand in for cancelled ones."""
     facts = facts_of(spark, folder, "order_status", "gross_revenue")
     return rounded(
-        scenarios.fewer_cancellations(facts, status="shipped"), "lost_rate", "kept_revenue", "profit",
-        digits=4,
+        scenarios.fewer_cancellations(facts, status="shipped"), "lost_rate", "kept_revenue", "profit"
     )
 
 

@@ -152,9 +152,10 @@ class RiskModel:
 
     def coefficients(self, spark) -> DataFrame:
         """Feature and coefficient, one row per feature."""
-        weights = self.regression.coefficients.toArray()
-        rows = [(name, float(w)) for name, w in zip(self.feature_names(), weights, strict=True)]
-        return spark.createDataFrame(rows, "feature string, coef double")
+        names = F.array(*map(F.lit, self.feature_names()))
+        weights = F.array(*(F.lit(float(w)) for w in self.regression.coefficients.toArray()))
+        pairs = F.map_from_arrays(names, weights)
+        return spark.range(1).select(F.explode(pairs).alias("feature", "coef"))
 
     def top_features(self, spark, k: int = 20) -> DataFrame:
         """The features with the largest coefficients, either sign."""
@@ -187,11 +188,12 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
             VectorAssembler(inputCols=[*encoded, *NUMERIC], outputCol="features"),
         ]
     )
-    weighted = with_class_weight(_known(train), LABEL)
-    encoder = encoding.fit(weighted)
-    # Every iteration reads the vectors; a lost block is computed again.
+    # Read once per category and then by every iteration.  A lost block is
+    # computed again from the staged rows, with the same result.
+    rows = _known(train).persist(StorageLevel.MEMORY_AND_DISK)
+    encoder = encoding.fit(rows)
     vectors = (
-        encoder.transform(weighted)
+        encoder.transform(with_class_weight(rows, LABEL))
         .select("features", LABEL, "weight")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -203,6 +205,7 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
         ).fit(vectors)
     finally:
         vectors.unpersist()
+        rows.unpersist()
     return RiskModel(encoder, model)
 
 

@@ -10,6 +10,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from waybill.functions.money import cents, from_cents
 from waybill.plans.geo import STATE_CODES
 from waybill.session import configure
 from waybill.sources.tables import Sources
@@ -49,16 +50,16 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    freight = F.round(
-        F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_tax").cast("decimal(4,2)"), 2
-    )
+    # Price times tax rate, rounded half up to cents, in whole numbers.
+    percent = F.rint(F.col("l_tax") * 100).cast("long")
+    freight = F.floor((cents(F.col("l_extendedprice")) * percent + 50) / 100)
     return _scan(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_extendedprice").alias("price"),
-        freight.cast("double").alias("freight_value"),
+        from_cents(freight).alias("freight_value"),
     )
 
 
