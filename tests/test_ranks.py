@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waybill.operators.classification import class_weights, confusion_matrix, predict_class, roc_auc, stratified_split
-from waybill.operators.distribution import box_stats, exact_quantiles, histogram
+from waybill.operators.distribution import approximate_quantiles, box_stats, exact_quantiles, histogram
 from waybill.operators.moving import with_trailing_mean
 from waybill.operators.ranks import quintile, with_row_number, with_running_totals
 
@@ -78,6 +78,12 @@ def test_quantiles_are_linearly_interpolated(spark):
         assert np.allclose([row.a, row.b, row.c], np.quantile(values, [0.1, 0.5, 0.99]))
 
 
+def test_approximate_quantiles_are_close(spark):
+    rows = spark.range(1, 10_001).select(F.col("id").cast("double").alias("v"))
+    row = approximate_quantiles(rows, "v", {"a": 0.1, "b": 0.5}, accuracy=1000).first()
+    assert abs(row.a - 1000) <= 11 and abs(row.b - 5000) <= 11
+
+
 def test_box_figures(spark):
     pdf = skewed()
     pdf.loc[0, "v"] = 5000.0

@@ -6,7 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from waybill.operators.ranks import with_row_number, with_running_totals
+from waybill.operators.ranks import broadcast_if_small, with_row_number, with_running_totals
+
+# Class tables are broadcast up to this many rows.
+MAX_CLASSES = 1000
 
 
 def class_weights(df: DataFrame, label: str = "late") -> DataFrame:
@@ -20,9 +23,10 @@ def class_weights(df: DataFrame, label: str = "late") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "late", name: str = "weight") -> DataFrame:
+    """Add the balanced weight of each row's class.  ``df`` is read more than
+    once, so it should be cached or staged."""
     weights = class_weights(df, label).select(label, F.col("weight").alias(name))
-    # One row per class of a binary label.
-    return df.join(F.broadcast(weights), label)
+    return df.join(broadcast_if_small(weights, MAX_CLASSES), label)
 
 
 def _train_quota(classes: DataFrame, test_share: float) -> DataFrame:
@@ -58,7 +62,7 @@ def stratified_split(
         ranked.groupBy(label).agg(F.max("n_rows").alias("n")), test_share
     ).select(label, "n_train")
     return (
-        ranked.join(F.broadcast(quota), label)
+        ranked.join(broadcast_if_small(quota, MAX_CLASSES), label)
         .withColumn("is_test", F.col("_rn") > F.col("n_train"))
         .drop("_draw", "_rn", "n_rows", "n_train")
     )
