@@ -23,7 +23,7 @@ from waybill.schemas import SOURCE_SCHEMAS
 from waybill.session import scratch_path
 from waybill.sources import marketplace
 from waybill.sources.catalogue import Catalogue, count_rows
-from waybill.sources.sinks import write_facts
+from waybill.sources.sinks import read_facts, write_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,14 +117,11 @@ def facts_repaired(spark, folder):
 def facts_from_sink(spark, folder):
     """A period of facts, read back from the table partitioned by month."""
     path = scratch_path(spark, "facts")
-    write_facts(
-        facts_of(spark, folder, "purchase_dt", "purchase_date", "ym", "gross_revenue", "on_time"), path
-    )
-    # Read "1998-09" as text, not as a date.
-    stored = spark.read.schema(
-        "order_id bigint, purchase_dt timestamp, purchase_date date, gross_revenue double, "
-        "on_time boolean, ym string"
-    ).parquet(path)
+    facts = facts_of(
+        spark, folder, "purchase_dt", "purchase_date", "ym", "gross_revenue", "on_time"
+    )
+    write_facts(facts, path)
+    stored = read_facts(spark, path, facts.schema)
     return rounded(trends.kpis(filters.in_period(stored, *PERIOD)), "aov", "on_time_rate")
 
 

@@ -12,7 +12,7 @@ from waybill.plans.facts import build_facts
 from waybill.schemas import SOURCE_SCHEMAS
 from waybill.session import shared_dir, stage
 from waybill.sources.catalogue import Catalogue, csv_encoding, read_csv
-from waybill.sources.sinks import write_bucketed, write_facts
+from waybill.sources.sinks import read_facts, write_bucketed, write_facts
 from waybill.streaming.ingest import ingest_new_csv
 
 ORDERS = (
@@ -158,3 +158,33 @@ def test_each_csv_file_is_ingested_once(spark, tmp_path):
     assert run() == ["s1", "s2"]
     (incoming / "2.csv").write_text("seller_id,seller_state\ns3,MG\n")
     assert run() == ["s1", "s2", "s3"]
+
+
+class _Session:
+    """Just enough of a session for the folder look-up."""
+
+    def __init__(self, master, folder=None):
+        self.settings = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = self
+        self.master = master
+        self.conf = self
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+    def set(self, key, value):
+        self.settings[key] = value
+
+
+def test_a_cluster_needs_a_named_shared_folder():
+    assert shared_dir(_Session("yarn", "hdfs:///tmp/x/")) == "hdfs:///tmp/x"
+    with pytest.raises(ValueError):
+        shared_dir(_Session("yarn"))
+    local = _Session("local[4]")
+    assert shared_dir(local) == shared_dir(local) == local.settings["spark.checkpoint.dir"]
+
+
+def test_stored_facts_keep_the_month_as_text(spark, tmp_path):
+    facts = spark.createDataFrame([("o", "2018-09"), ("p", "NaT")], "order_id string, ym string")
+    write_facts(facts, str(tmp_path / "f"))
+    assert sorted(r.ym for r in read_facts(spark, str(tmp_path / "f"), facts.schema).collect()) == ["2018-09", "NaT"]

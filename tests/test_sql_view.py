@@ -1,6 +1,7 @@
 """The read-only SQL gate."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from waybill.plans.sql_view import AUTO_ANALYSIS, RefusedQuery, check, query
@@ -44,8 +45,10 @@ def test_other_data_is_out_of_reach(spark, facts):
             "SELECT * FROM secret", "SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`",
             "SELECT * FROM waybill_secret", "SELECT * FROM facts, default.waybill_secret",
             "SELECT * FROM `spark_catalog`.default.waybill_secret", "SELECT * FROM facts, waybill_secret",
+            "SELECT * FROM (waybill_secret)", "SELECT * FROM (TABLE waybill_secret)",
+            "SELECT * FROM IDENTIFIER('waybill' || '_secret')",
         ):
-            with pytest.raises(Exception):
+            with pytest.raises((RefusedQuery, AnalysisException)):
                 query(sql, facts=facts).collect()
     finally:
         spark.sql("DROP TABLE waybill_secret")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def newest(df: DataFrame, n: int | None, ts: str = "order_purchase_timestamp", key: str = "order_id") -> DataFrame:
+def newest(
+    df: DataFrame, n: int | None, ts: str = "order_purchase_timestamp", key: str = "order_id"
+) -> DataFrame:
     """The ``n`` latest rows.  A missing time sorts after every known one and
     is therefore taken first.  No ``n`` keeps everything."""
     if n is None:
@@ -13,7 +15,9 @@ def newest(df: DataFrame, n: int | None, ts: str = "order_purchase_timestamp", k
     return df.orderBy(F.col(ts).desc_nulls_first(), F.col(key).desc()).limit(n)
 
 
-def oldest(df: DataFrame, n: int | None, ts: str = "order_purchase_timestamp", key: str = "order_id") -> DataFrame:
+def oldest(
+    df: DataFrame, n: int | None, ts: str = "order_purchase_timestamp", key: str = "order_id"
+) -> DataFrame:
     """The ``n`` earliest rows, missing times last."""
     if not n:
         return df

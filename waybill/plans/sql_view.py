@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Words that end a query, as whole words.
 FORBIDDEN = ("drop", "update", "delete", "insert", "alter", "create", "replace")
-# Functions that would call arbitrary code on the cluster.
-UNSAFE_FUNCTIONS = ("reflect", "try_reflect", "java_method")
+# Words that would call arbitrary code or build a table name at run time.
+UNSAFE = ("reflect", "try_reflect", "java_method", "identifier")
 
 STRFTIME = """
 CREATE OR REPLACE TEMPORARY FUNCTION strftime(ts TIMESTAMP, fmt STRING) RETURNS STRING
@@ -57,7 +57,7 @@ def check(sql: str) -> str:
         raise RefusedQuery("only SELECT statements are run")
     if ";" in bare:
         raise RefusedQuery("one statement at a time")
-    refused = sorted({*FORBIDDEN, *UNSAFE_FUNCTIONS} & set(words))
+    refused = sorted({*FORBIDDEN, *UNSAFE} & set(words))
     if refused:
         raise RefusedQuery(f"not allowed in a read-only query: {', '.join(refused)}")
     return statement
@@ -72,7 +72,7 @@ def _refuse_other_tables(session: SparkSession, statement: str) -> None:
         if first in homes:
             raise RefusedQuery(f"only the registered views can be read, not {first}")
     stored = {t.name.lower() for t in session.catalog.listTables() if not t.isTemporary}
-    for name in re.findall(r"(?:\bfrom|\bjoin|,)\s*([a-z_]\w*)", text):
+    for name in re.findall(r"(?:\bfrom|\bjoin|\btable|,)[\s(]*([a-z_]\w*)", text):
         if name in stored:
             raise RefusedQuery(f"only the registered views can be read, not {name}")
 

@@ -89,10 +89,9 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
         _scan(spark, folder, "orders")
         .select(
             k.alias("order_id"),
-            F.explode(
-                F.array_compact(F.array(F.when(k % 100 != 7, first), F.when(k % 20 == 0, second)))
-            ).alias("p"),
+            F.explode(F.array(F.when(k % 100 != 7, first), F.when(k % 20 == 0, second))).alias("p"),
         )
+        .filter(F.col("p").isNotNull())
         .select("order_id", "p.*")
     )
 
@@ -103,8 +102,10 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     scores = F.array(
         F.when(k % 9 != 0, (1 + k * 31 % 5).cast("double")), F.when(k % 40 == 1, F.lit(5.0))
     )
-    return _scan(spark, folder, "orders").select(
-        k.alias("order_id"), F.explode(F.array_compact(scores)).alias("review_score")
+    return (
+        _scan(spark, folder, "orders")
+        .select(k.alias("order_id"), F.explode(scores).alias("review_score"))
+        .filter(F.col("review_score").isNotNull())
     )
 
 

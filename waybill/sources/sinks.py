@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -14,7 +15,15 @@ def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> Non
     facts.hint("rebalance", "ym").write.mode(mode).partitionBy("ym").parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "errorifexists") -> None:
+def read_facts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Scan a table of ``write_facts``.  The schema keeps the folder names of
+    ``ym`` text, which partition discovery might take for dates."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_bucketed(
+    df: DataFrame, table: str, key: str, buckets: int, mode: str = "errorifexists"
+) -> None:
     """Save a table bucketed and sorted on its join key.
 
     Sources bucketed alike on ``order_id`` join into facts without a shuffle.
