@@ -44,6 +44,13 @@ class RefusedQuery(ValueError):
     """The text is not a single read-only SELECT over the registered views."""
 
 
+def _bare(statement: str) -> str:
+    """The statement in lower case without quoted text, comments and backquotes."""
+    without_text = re.sub(r"'(?:[^'\\]|''|\\.)*'", "''", statement)
+    without_comments = re.sub(r"--[^\n]*|/\*.*?\*/", " ", without_text, flags=re.S)
+    return without_comments.lower().replace("`", "")
+
+
 def check(sql: str) -> str:
     """Return the statement to run, or raise ``RefusedQuery``.
 
@@ -51,8 +58,8 @@ def check(sql: str) -> str:
     ``created_at`` or the text ``'drop'`` is fine.
     """
     statement = sql.strip().rstrip(";").strip()
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", re.sub(r"'(?:[^'\\]|''|\\.)*'", "''", statement), flags=re.S)
-    words = re.findall(r"[a-z_][a-z_0-9]*", bare.lower())
+    bare = _bare(statement)
+    words = re.findall(r"[a-z_][a-z_0-9]*", bare)
     if not words or words[0] != "select":
         raise RefusedQuery("only SELECT statements are run")
     if ";" in bare:
@@ -65,16 +72,14 @@ def check(sql: str) -> str:
 
 def _refuse_other_tables(session: SparkSession, statement: str) -> None:
     """Stored tables of the session's catalogs are out of reach, too."""
-    text = statement.lower().replace("`", "")
+    bare = _bare(statement)
     homes = {d.name.lower() for d in session.catalog.listDatabases()}
     homes |= {c.name.lower() for c in session.catalog.listCatalogs()} | {"global_temp"}
-    for first in re.findall(r"\b([a-z_]\w*)\s*\.", text):
-        if first in homes:
-            raise RefusedQuery(f"only the registered views can be read, not {first}")
     stored = {t.name.lower() for t in session.catalog.listTables() if not t.isTemporary}
-    for name in re.findall(r"(?:\bfrom|\bjoin|\btable|,)[\s(]*([a-z_]\w*)", text):
-        if name in stored:
-            raise RefusedQuery(f"only the registered views can be read, not {name}")
+    named = set(re.findall(r"\b([a-z_]\w*)\s*\.", bare)) & homes
+    named |= set(re.findall(r"(?:\bfrom|\bjoin|\btable|,)(?=[\s(]*([a-z_]\w*))", bare)) & stored
+    if named:
+        raise RefusedQuery(f"only the registered views can be read, not {', '.join(sorted(named))}")
 
 
 def query(sql: str, **views: DataFrame) -> DataFrame:
