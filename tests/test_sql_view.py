@@ -46,6 +46,10 @@ def test_other_data_is_out_of_reach(spark, facts):
             "SELECT * FROM waybill_secret", "SELECT * FROM facts, default.waybill_secret",
             "SELECT * FROM `spark_catalog`.default.waybill_secret", "SELECT * FROM facts, waybill_secret",
             "SELECT * FROM (waybill_secret)", "SELECT * FROM (TABLE waybill_secret)",
+            """SELECT "'" AS a FROM waybill_secret WHERE "'" = "'" """,
+            "SELECT /* ' */ 1 FROM waybill_secret /* ' */",
+            "SELECT 1 AS `a'` FROM waybill_secret ORDER BY `a'`",
+            r"SELECT r'\' AS a FROM waybill_secret WHERE r'\' = 'x'",
             "SELECT * FROM /* x */ waybill_secret", "SELECT * FROM facts WHERE 1 IN (SELECT id FROM `waybill_secret`)",
             "SELECT * FROM IDENTIFIER('waybill' || '_secret')",
         ):

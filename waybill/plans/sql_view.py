@@ -44,11 +44,16 @@ class RefusedQuery(ValueError):
     """The text is not a single read-only SELECT over the registered views."""
 
 
+# Quoted text (raw, single, double), comments, and quoted names, whichever comes first.
+_QUOTED = re.compile(
+    r"""\br'[^']*'|\br"[^"]*"|'(?:[^'\\]|''|\\.)*'|"(?:[^"\\]|""|\\.)*"|--[^\n]*|/\*.*?\*/|`(?P<name>[^`]*)`""",
+    re.S,
+)
+
+
 def _bare(statement: str) -> str:
-    """The statement in lower case without quoted text, comments and backquotes."""
-    without_text = re.sub(r"'(?:[^'\\]|''|\\.)*'", "''", statement)
-    without_comments = re.sub(r"--[^\n]*|/\*.*?\*/", " ", without_text, flags=re.S)
-    return without_comments.lower().replace("`", "")
+    """The statement in lower case without quoted text and comments."""
+    return _QUOTED.sub(lambda m: f" {m['name'] or ''} ", statement.lower())
 
 
 def check(sql: str) -> str:
