@@ -28,6 +28,9 @@ def test_frequent_keys_are_found_and_few(spark):
     assert frequent_keys(right, "k") == []
     assert len(frequent_keys(right, "k", share=0.01, rows=1)) <= 100
     assert frequent_keys(right.filter("b < 0"), "k") == []
+    assert frequent_keys(right.filter("k IS NULL"), "k") == []
+    many = right.repartition(300)
+    assert frequent_keys(many.withColumn("k", F.col("k").cast("string")), "k", share=0.2, rows=100) == ["7"]
 
 
 def test_joining_apart_equals_the_plain_join(spark):

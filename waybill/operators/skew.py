@@ -18,7 +18,11 @@ from waybill.operators.ranks import broadcast_if_small
 HOT_SHARE = 0.001
 # ... and at least this many rows: below, one task handles it easily.
 HOT_ROWS = 1_000_000
-_TRACKED = 8192
+# Items a sketch follows.  Its error, about 3.5 / this number, is below HOT_SHARE.
+_TRACKED = 4096
+# Sketches are merged in this many groups first, so that no single task receives
+# one from every input partition.
+_MERGE_GROUPS = 256
 
 
 def frequent_keys(
@@ -29,12 +33,24 @@ def frequent_keys(
     One pass with a frequent-items sketch per partition.  The sketch may name a
     key just below the share; the joins are exact for any list of keys.
     """
-    most = int(1 / share)
-    found = df.agg(
-        F.count(key).alias("n"), F.expr(f"approx_top_k({key}, {most}, {_TRACKED})").alias("top")
-    ).first()
+    known = df.filter(F.col(key).isNotNull())
+    if known.isEmpty():  # there is no sketch of nothing
+        return []
+    sketches = (
+        known.select(key, (F.spark_partition_id() % _MERGE_GROUPS).alias("_group"))
+        .groupBy("_group")
+        .agg(
+            F.count(key).alias("n"),
+            F.expr(f"approx_top_k_accumulate({key}, {_TRACKED})").alias("sketch"),
+        )
+    )
+    found = (
+        sketches.agg(F.sum("n").alias("n"), F.expr("approx_top_k_combine(sketch)").alias("sketch"))
+        .select("n", F.expr(f"approx_top_k_estimate(sketch, {int(1 / share)})").alias("top"))
+        .first()
+    )
     floor = max(rows, found["n"] * share)
-    return [entry["item"] for entry in found["top"] or [] if entry["count"] >= floor]
+    return [entry["item"] for entry in found["top"] if entry["count"] >= floor]
 
 
 def left_join_apart(
