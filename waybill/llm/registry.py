@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waybill.llm import op1_pii, op7_mix, op9_decontaminate, op10_tokens
+from waybill.llm import (
+    op1_pii,
+    op3_near_duplicates,
+    op6_vector_duplicates,
+    op7_mix,
+    op9_decontaminate,
+    op10_tokens,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_pii.query,
+    "op3_near_duplicates": op3_near_duplicates.query,
+    "op6_vector_duplicates": op6_vector_duplicates.query,
     "op7_mix_sources": op7_mix.query,
     "op9_contamination": op9_decontaminate.query,
     "op10_token_counts": op10_tokens.query,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_near_duplicates": op3_near_duplicates.ORACLE_SQL,
+    "op6_vector_duplicates": op6_vector_duplicates.ORACLE_SQL,
     "op7_mix_sources": op7_mix.ORACLE_SQL,
     "op9_contamination": op9_decontaminate.ORACLE_SQL,
 }
