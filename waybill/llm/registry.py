@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waybill.llm import (
     op1_pii,
+    op2_language,
     op3_near_duplicates,
+    op5_quality,
     op6_vector_duplicates,
     op7_mix,
+    op8_language_model,
     op9_decontaminate,
     op10_tokens,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_pii.query,
+    "op2_languages": op2_language.query,
     "op3_near_duplicates": op3_near_duplicates.query,
+    "op5_quality": op5_quality.query,
     "op6_vector_duplicates": op6_vector_duplicates.query,
     "op7_mix_sources": op7_mix.query,
+    "op8_language_scores": op8_language_model.query,
     "op9_contamination": op9_decontaminate.query,
     "op10_token_counts": op10_tokens.query,
 }
