@@ -114,7 +114,8 @@ def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED, most: int = MOST
     plan = _source_plan(totals, block, most)
     spark = sized.sparkSession
     kinds = "_source string, source_size long, target double, quota long, shards int"
-    plan_df = spark.createDataFrame(plan, kinds)
+    # At most SOURCES rows, as checked; a shuffle by source would gather a large source.
+    plan_df = F.broadcast(spark.createDataFrame(plan, kinds))
     shard = (F.col("_bucket") % F.col("shards")).alias("shard")
     quotas = (
         totals.join(plan_df, "_source")
@@ -126,7 +127,7 @@ def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED, most: int = MOST
         )
     )
     quotas = stage(quotas, "mix-quotas")
-    numbers = plan_df.select("_source", "shards")
+    numbers = F.broadcast(plan_df.select("_source", "shards"))
     placed = rows.join(numbers, "_source").withColumn("shard", shard)
     order = Window.partitionBy("_source", "shard").orderBy("_drawn", "doc_id", "size")
     placed = placed.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
