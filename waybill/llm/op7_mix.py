@@ -102,7 +102,13 @@ def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED, most: int = MOST) -> DataFrame:
-    """``sized`` (doc_id, source, size, maybe more) with source_size, target and taken."""
+    """``sized`` (doc_id, source, size, maybe more) with source_size, target and taken.
+
+    Columns of ``sized`` that have one of the three new names are replaced; all others
+    travel along, whatever their names.
+    """
+    kept = [c for c in sized.columns if c not in ("source_size", "target", "taken")]
+    sized = sized.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), "doc_id", "source", "size")
     drawn = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = sized.withColumn(
         "_source", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("+"), F.col("source")))
@@ -142,7 +148,7 @@ def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED, most: int = MOST
     )
     before = _taken_before(F.col("_end") - F.col("size"), block)
     taken = F.expr("size * (_quota div _blocks)") + _taken_before(F.col("_end"), block) - before
-    return joined.select(*(sized[c] for c in sized.columns), "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("_row.*", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def _taken_before(words: Column, block: int) -> Column:
