@@ -3,8 +3,8 @@
 All words taken are counted in blocks of ``BLOCK`` words.  The blocks are allotted to
 the sources by highest quotients target / (2 * given + 1), then those of a source to
 its shards by size in the same way.  Inside a shard the documents stand in an order
-drawn from the seed; the shard's quota takes every block ``quota div blocks`` times and
-the rest evenly spaced from a seeded start.  How many of the first j blocks are taken
+drawn from the seed; the shard's quota is as many whole rounds over the shard as it
+holds, and of a last round blocks evenly spaced from a seeded start.  How many of the first j blocks are taken
 has a closed form, so each row's share needs only its running word count.
 
 Sources in code point order, null last, weigh 1, 2, 3, repeating.  They share as many
@@ -140,14 +140,16 @@ def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED, most: int = MOST
     joined = placed.drop("_bucket", "shards").join(quotas, ["_source", "shard"])
     blocks = F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1)).cast("long")
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_source", "shard").cast("binary")), 1, 8), 16, 10)
+    # The quota in words, as whole rounds over the shard and blocks of a last round.
     joined = (
-        joined.withColumn("_quota", F.least("quota", most * blocks))
+        joined.withColumn("_want", F.least(F.col("quota") * block, F.col("shard_size") * most))
+        .withColumn("_rounds", F.expr("_want div greatest(shard_size, 1)"))
+        .withColumn("_rest", F.expr(f"(2 * (_want - _rounds * shard_size) + {block}) div {2 * block}"))
         .withColumn("_blocks", blocks)
-        .withColumn("_rest", F.expr("_quota % _blocks"))
         .withColumn("_start", start.cast("long") % F.col("_blocks"))
     )
     before = _taken_before(F.col("_end") - F.col("size"), block)
-    taken = F.expr("size * (_quota div _blocks)") + _taken_before(F.col("_end"), block) - before
+    taken = F.expr("size * _rounds") + _taken_before(F.col("_end"), block) - before
     return joined.select("_row.*", "source_size", "target", taken.cast("long").alias("taken"))
 
 
@@ -209,17 +211,20 @@ WITH d AS (
       FROM sh JOIN seats USING (s))
   ) WHERE r <= quota GROUP BY s, shard
 ), q AS (
-  SELECT s, shard, n, least(coalesce(quota, 0), {MOST} * n) AS quota,
+  SELECT s, shard, n, rounds, (2 * (want - rounds * shard_size) + {BLOCK}) // {2 * BLOCK} AS rest,
     ('0x' || left(md5('{SEED}:' || s || ':' || shard), 8))::BIGINT % n AS start
-  FROM (SELECT s, shard, greatest(ceil(shard_size / {BLOCK}.0), 1)::BIGINT AS n FROM sh) LEFT JOIN shq USING (s, shard)
+  FROM (SELECT *, want // greatest(shard_size, 1) AS rounds FROM (
+    SELECT s, shard, shard_size, greatest(ceil(shard_size / {BLOCK}.0), 1)::BIGINT AS n,
+      least(coalesce(quota, 0) * {BLOCK}, {MOST} * shard_size) AS want
+    FROM sh LEFT JOIN shq USING (s, shard)))
 ), rows AS (
   SELECT *, (sum(size) OVER (PARTITION BY s, shard ORDER BY drawn, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS e
   FROM sharded
 ), p AS (
-  SELECT r.doc_id, r.s, r.size, quota // n AS full_rounds, quota % n AS rest, n, start, e, e - r.size AS b
+  SELECT r.doc_id, r.s, r.size, rounds, rest, n, start, e, e - r.size AS b
   FROM rows r JOIN q ON r.s = q.s AND r.shard = q.shard
 )
-SELECT doc_id, size, source_size, target, (size * full_rounds
+SELECT doc_id, size, source_size, target, (size * rounds
   + {BLOCK} * ((e // {BLOCK} * rest + start) // n) + e % {BLOCK} * (((e // {BLOCK} + 1) * rest + start) // n
   - (e // {BLOCK} * rest + start) // n)
   - {BLOCK} * ((b // {BLOCK} * rest + start) // n) - b % {BLOCK} * (((b // {BLOCK} + 1) * rest + start) // n
