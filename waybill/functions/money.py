@@ -1,17 +1,24 @@
-"""Exact money sums.
+"""Money sums that do not depend on the order of the rows.
 
-Money is held as double but summed as whole cents in a long, so a total does
-not depend on the order in which partitions arrive, stays inside whole-stage
-code generation and, under ANSI mode, raises instead of wrapping around.
+Money is held as double but summed as whole units and millionths in two longs, so a
+total does not depend on the order in which partitions arrive, stays inside
+whole-stage code generation and, under ANSI mode, raises instead of wrapping around.
+Amounts keep ``DECIMALS`` decimals; an amount that is not a number is missing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from waybill.functions.casts import to_number
+
+# Decimals of an amount that count; what is beyond them is rounded once per amount.
+DECIMALS = 6
+
 
 def cents(amount: Column) -> Column:
-    return F.rint(amount * 100).cast("long")
+    """Whole cents, for a source whose amounts are declared in cents."""
+    return F.rint(to_number(amount) * 100).cast("long")
 
 
 def from_cents(total: Column) -> Column:
@@ -20,7 +27,11 @@ def from_cents(total: Column) -> Column:
 
 def money_sum(amount: Column) -> Column:
     """Sum of an amount column; a sum over nothing is 0, not null."""
-    return F.coalesce(from_cents(F.sum(cents(amount))), F.lit(0.0))
+    known = to_number(amount)
+    scale = float(10**DECIMALS)
+    units = F.sum(F.floor(known).cast("long"))
+    parts = F.sum(F.rint((known - F.floor(known)) * scale).cast("long"))
+    return F.coalesce((units * scale + parts) / scale, F.lit(0.0))
 
 
 def money_sum_where(condition: Column, amount: Column) -> Column:

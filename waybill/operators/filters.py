@@ -6,6 +6,8 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from waybill.functions.casts import to_number
+
 
 def date_bounds(facts: DataFrame) -> DataFrame:
     """One row: first and last purchase date."""
@@ -66,6 +68,14 @@ def delayed_only(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("delay_h") > 0)
 
 
+def is_complete(*columns: str) -> Column:
+    """Whether every named column holds a number."""
+    known = F.lit(True)
+    for name in columns:
+        known = known & to_number(F.col(name)).isNotNull()
+    return known
+
+
 def complete_in(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows with a value in every named column."""
-    return df.na.drop(subset=list(columns))
+    """Rows with a number in every named column."""
+    return df.filter(is_complete(*columns))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from waybill.functions.casts import flag
-from waybill.functions.money import cents, from_cents
+from waybill.functions.money import money_sum
 from waybill.functions.timing import days_between, late_label, monday_first
 from waybill.operators.classification import (
     confusion_matrix,
@@ -21,7 +21,7 @@ from waybill.operators.classification import (
     stratified_split,
     with_class_weight,
 )
-from waybill.operators.filters import complete_in, with_status
+from waybill.operators.filters import is_complete, with_status
 from waybill.operators.skew import left_join_apart
 from waybill.operators.topk import oldest, top
 from waybill.plans.facts import payments_per_order
@@ -60,7 +60,7 @@ def item_features(src: Sources) -> DataFrame:
         .agg(
             F.count("product_id").alias("items"),
             F.count(F.lit(1)).alias("rows"),
-            F.sum(cents(F.col("freight_value"))).alias("freight"),
+            money_sum(F.col("freight_value")).alias("freight"),
             F.sum(grams).alias("grams"),
             F.sum(volume).alias("volume"),
         )
@@ -73,7 +73,7 @@ def item_features(src: Sources) -> DataFrame:
     )
     return per_state.groupBy("order_id").agg(
         F.sum("items").alias("items_cnt"),
-        from_cents(F.coalesce(F.sum("freight"), F.lit(0))).alias("freight_value"),
+        money_sum(F.col("freight")).alias("freight_value"),
         (F.sum("grams") / 1000).alias("total_weight_kg"),
         (F.sum("volume") / 1000).alias("total_volume_dm3"),
         commonest.getField("seller_state").alias("seller_state"),
@@ -135,15 +135,26 @@ def split(table: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFram
     return stratified_split(table, KEYS, LABEL, test_share, seed)
 
 
-def _known(df: DataFrame) -> DataFrame:
-    """Rows with all numbers, a missing category being a category of its own."""
-    return complete_in(df, *NUMERIC).fillna(MISSING, subset=CATEGORICAL)
+# The names that encoded copies of the categories and helpers bear inside the model.
+_COPY = "_risk_{}"
+_COPIES = [_COPY.format(name) for name in CATEGORICAL]
+
+
+def _copied(df: DataFrame) -> DataFrame:
+    """Copies of the categories, a missing one being a category of its own."""
+    return df.withColumns(
+        {_COPY.format(name): F.coalesce(F.col(name).cast("string"), F.lit(MISSING)) for name in CATEGORICAL}
+    )
 
 
 @dataclass
 class RiskModel:
+    """A fitted model.  ``left_out`` is the number of training rows without a number
+    in some column; the fit cannot use them."""
+
     encoder: PipelineModel
     regression: LogisticRegressionModel
+    left_out: int = 0
 
     def feature_names(self) -> list[str]:
         """``column=category`` for the encoded categories, then the numbers."""
@@ -162,11 +173,18 @@ class RiskModel:
         return top(self.coefficients(spark), k, F.desc(F.abs("coef")), F.col("feature"))
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Add ``risk``, the probability of a late delivery."""
-        scored = self.regression.transform(self.encoder.transform(_known(df)))
-        return scored.withColumn("risk", vector_to_array("probability")[1]).select(
-            *df.columns, "risk"
-        )
+        """Add ``risk``, the probability of a late delivery.
+
+        All rows and columns stay as they are.  A row that lacks a number has no
+        risk: null.
+        """
+        numbers = {_COPY.format(n): F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in NUMERIC}
+        packed = df.select(F.struct("*").alias("_row"), *CATEGORICAL, *NUMERIC)
+        packed = packed.withColumn("_complete", is_complete(*NUMERIC)).withColumns(numbers)
+        ready = _copied(packed).drop(*NUMERIC).withColumnsRenamed({v: n for n, v in zip(NUMERIC, numbers, strict=True)})
+        scored = self.regression.transform(self.encoder.transform(ready))
+        risk = F.when("_complete", vector_to_array("probability")[1])
+        return scored.select("_row.*", risk.alias("risk"))
 
 
 def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
@@ -174,14 +192,15 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
 
     Classes are weighted to balance.  Spark averages the loss over the weights
     where the usual objective sums it, so the penalty is 1 / (C * sum of weights).
-    An unseen category encodes to all zeros.
+    An unseen category encodes to all zeros.  Rows without a number in some column
+    are left out and counted in the model.
     """
-    indexed = [f"{name}_ix" for name in CATEGORICAL]
-    encoded = [f"{name}_oh" for name in CATEGORICAL]
+    indexed = [f"{name}_ix" for name in _COPIES]
+    encoded = [f"{name}_oh" for name in _COPIES]
     encoding = Pipeline(
         stages=[
             StringIndexer(
-                inputCols=CATEGORICAL, outputCols=indexed, handleInvalid="keep",
+                inputCols=_COPIES, outputCols=indexed, handleInvalid="keep",
                 stringOrderType="alphabetAsc",
             ),
             OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
@@ -190,7 +209,10 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
     )
     # Read once per category and then by every iteration.  A lost block is
     # computed again from the staged rows, with the same result.
-    rows = _known(train).persist(StorageLevel.MEMORY_AND_DISK)
+    marked = train.withColumn("_complete", is_complete(*NUMERIC))
+    rows = _copied(marked).persist(StorageLevel.MEMORY_AND_DISK)
+    left_out = rows.filter(~F.col("_complete")).count()
+    rows = rows.filter("_complete")
     encoder = encoding.fit(rows)
     vectors = (
         encoder.transform(with_class_weight(rows, LABEL))
@@ -206,7 +228,7 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
     finally:
         vectors.unpersist()
         rows.unpersist()
-    return RiskModel(encoder, model)
+    return RiskModel(encoder, model, left_out)
 
 
 def test_summary(df: DataFrame) -> DataFrame:

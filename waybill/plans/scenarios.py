@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waybill.functions.casts import ratio
-from waybill.functions.money import cents, from_cents, money_sum, money_sum_where
+from waybill.functions.money import money_sum, money_sum_where
 from waybill.operators.columns import ensure_columns
 
 # The parameters' defaults, in percent and percentage points.
@@ -40,32 +40,33 @@ def base_metrics(facts: DataFrame, customer: str = "customer_id") -> DataFrame:
     per_customer = facts.groupBy(customer).agg(
         F.count("order_id").alias("n"),
         F.count(F.lit(1)).alias("rows"),
-        F.sum(cents(F.col("gross_revenue"))).alias("revenue"),
-        F.sum(F.when(~F.col("on_time"), cents(F.col("gross_revenue")))).alias("late_revenue"),
+        money_sum(F.col("gross_revenue")).alias("revenue"),
+        money_sum_where(~F.col("on_time"), F.col("gross_revenue")).alias("late_revenue"),
         F.count_if("on_time").alias("on_time"),
         F.count("on_time").alias("rated"),
     )
-    sums = ("rows", "revenue", "late_revenue", "on_time", "rated")
+    sums, amounts = ("rows", "on_time", "rated"), ("revenue", "late_revenue")
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]
+    totals += [money_sum(F.col(c)).alias(c) for c in amounts]
     profile = per_customer.groupBy(
         F.when(F.col(customer).isNotNull(), F.col("n")).alias("n")
-    ).agg(F.count(F.lit(1)).alias("customers"), *(F.sum(c).alias(c) for c in sums))
+    ).agg(F.count(F.lit(1)).alias("customers"), *totals)
     quartile = F.percentile("n", 0.25, F.col("customers")).over(Window.partitionBy())
     at_risk = F.col("n") <= F.col("q1")
     row = profile.withColumn("q1", quartile).agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums),
+        *totals,
         F.max("q1").alias("q1"),
         F.coalesce(F.sum(F.when(at_risk, F.col("customers"))), F.lit(0)).alias("at_risk_customers"),
         F.coalesce(F.sum(F.when(at_risk, F.col("n") * F.col("customers"))), F.lit(0)).alias(
             "at_risk_orders"
         ),
     )
-    revenue = from_cents(F.col("revenue"))
     return row.select(
         F.col("rows").alias("orders"),
-        revenue.alias("revenue"),
-        F.coalesce(ratio(revenue, F.col("rows")), F.lit(0.0)).alias("aov"),
+        "revenue",
+        F.coalesce(ratio(F.col("revenue"), F.col("rows")), F.lit(0.0)).alias("aov"),
         (1 - ratio(F.col("on_time"), F.col("rated"))).alias("late_rate"),
-        from_cents(F.col("late_revenue")).alias("late_revenue"),
+        "late_revenue",
         F.col("q1").cast("double").alias("q1_orders"),
         "at_risk_customers",
         "at_risk_orders",
