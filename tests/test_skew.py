@@ -24,19 +24,20 @@ def sides(spark):
 
 def test_frequent_keys_are_found_and_few(spark):
     _, right = sides(spark)
-    assert frequent_keys(right, "k", share=0.2, rows=100) == [7]
-    assert frequent_keys(right, "k") == []
-    assert len(frequent_keys(right, "k", share=0.01, rows=1)) <= 100
-    assert frequent_keys(right.filter("b < 0"), "k") == []
-    assert frequent_keys(right.filter("k IS NULL"), "k") == []
+    found = frequent_keys(right, "k", tasks=2, rows=100)
+    assert list(found) == [7] and 2 <= found[7] <= 8
+    assert frequent_keys(right, "k") == {}
+    assert len(frequent_keys(right, "k", tasks=0.1, rows=1)) <= 80
+    assert frequent_keys(right.filter("b < 0"), "k") == {}
+    assert frequent_keys(right.filter("k IS NULL"), "k") == {}
     many = right.repartition(300)
-    assert frequent_keys(many.withColumn("k", F.col("k").cast("string")), "k", share=0.2, rows=100) == ["7"]
+    assert list(frequent_keys(many.withColumn("k", F.col("k").cast("string")), "k", tasks=2, rows=100)) == ["7"]
 
 
 def test_joining_apart_equals_the_plain_join(spark):
     left, right = sides(spark)
     plain = rows(left.join(right, "k", "left"))
-    for hot in ([], [7], [7, 3], [7, 45, 999]):
+    for hot in ({}, {7: 4}, {7: 8, 3: 2}, {7: 1}, {7: 5000}):
         assert rows(left_join_apart(left, right, "k", hot)) == plain
 
 
@@ -45,15 +46,26 @@ def test_hot_order_in_the_facts(spark):
     reviews = [("3", i % 5 + 1) for i in range(50)] + [("1", 4)]
     plain = sources(spark, orders=orders, reviews=reviews)
     apart = sources(spark, orders=orders, reviews=reviews)
-    plain.hot_keys["reviews"] = []
-    apart.hot_keys["reviews"] = ["3", "8"]
+    plain.hot_keys["reviews"] = {}
+    apart.hot_keys["reviews"] = {"3": 4, "1": 2}
     assert rows(build_facts(apart)) == rows(build_facts(plain))
     assert build_facts(apart).count() == 50 + 1 + 8
 
 
-def test_hot_rows_are_not_shuffled(spark, capsys):
+def test_a_frequent_key_is_spread_and_read_once(spark, tmp_path, capsys):
     left, right = sides(spark)
-    left_join_apart(left.repartition(4), right, "k", [7]).select("a").explain()
+    for name, df in (("l", left), ("r", right)):
+        df.write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / name)) for name in ("l", "r"))
+    joined = left_join_apart(left, right, "k", {7: 8}).select("k", "a", "b")
+    joined.explain()
     plan = capsys.readouterr().out
-    # The branch of the frequent key broadcasts the left side and streams the right one.
-    assert "BroadcastHashJoin" in plan and "BuildRight" in plan
+    assert plan.count("FileScan parquet") == 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = left_join_apart(left, right, "k", {7: 64}).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(r["count"] for r in sizes) < 1000  # the key alone has over 1000 rows

@@ -13,7 +13,8 @@ from waybill.operators.skew import frequent_keys
 class Sources:
     """One DataFrame per logical source; see ``schemas.SOURCE_SCHEMAS``.
 
-    ``hot_keys`` may name, per table, the orders that own very many of its rows;
+    ``hot_keys`` may name, per table, the orders that own very many of its rows and
+    over how many copies each is dealt;
     a table that is not in it is looked through once, when first needed.
     """
 
@@ -24,9 +25,9 @@ class Sources:
     customers: DataFrame
     products: DataFrame
     sellers: DataFrame
-    hot_keys: dict[str, list] = field(default_factory=dict)
+    hot_keys: dict[str, dict] = field(default_factory=dict)
 
-    def hot_orders(self, table: str) -> list:
+    def hot_orders(self, table: str) -> dict:
         """Orders that own a large share of ``table``; looked up once per set."""
         if table not in self.hot_keys:
             self.hot_keys[table] = frequent_keys(getattr(self, table), "order_id")
