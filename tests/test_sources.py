@@ -11,7 +11,7 @@ from waybill.operators.filters import in_period, in_year
 from waybill.plans.facts import build_facts
 from waybill.schemas import SOURCE_SCHEMAS
 from waybill.session import shared_dir, stage
-from waybill.sources.catalogue import Catalogue, csv_encoding, read_csv
+from waybill.sources.catalogue import Catalogue, read_csv
 from waybill.sources.sinks import read_facts, write_bucketed, write_facts
 from waybill.streaming.ingest import ingest_new_csv
 
@@ -32,7 +32,7 @@ def folder(tmp_path):
 
 
 def catalogue(spark, folder):
-    return Catalogue(spark, str(folder), files={"orders": "shop_orders"})
+    return Catalogue(spark, str(folder), files={"orders": "shop_orders"}, free_text=frozenset({"reviews"}))
 
 
 def test_csv_is_read_by_header_name_under_the_fixed_schema(spark, folder):
@@ -50,14 +50,17 @@ def test_quoted_line_breaks(spark, folder):
     assert sorted(r.review_score for r in catalogue(spark, folder).read("reviews").collect()) == [4.0, 5.0]
 
 
-def test_encoding_falls_back_to_latin1(spark, tmp_path):
-    text = "customer_id,customer_state\nc1,São Paulo\n"
-    (tmp_path / "u.csv").write_bytes(text.encode("utf-8"))
-    (tmp_path / "l.csv").write_bytes(text.encode("latin-1"))
-    for name, encoding in (("u", "UTF-8"), ("l", "ISO-8859-1")):
-        path = str(tmp_path / f"{name}.csv")
-        assert csv_encoding(spark, path) == encoding
-        assert read_csv(spark, path, SOURCE_SCHEMAS["customers"]).first().customer_state == "São Paulo"
+def test_each_file_is_read_in_its_own_encoding(spark, tmp_path):
+    text = "customer_id,customer_state\nc1,São Paulo\nc2,plain\n"
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "u.csv").write_bytes(("\ufeff" + text).encode("utf-8"))
+    (folder / "l.csv").write_bytes(text.encode("latin-1"))
+    for path in (folder / "u.csv", folder / "l.csv", folder):
+        found = read_csv(spark, str(path), SOURCE_SCHEMAS["customers"]).collect()
+        assert {(r.customer_id, r.customer_state) for r in found} == {("c1", "São Paulo"), ("c2", "plain")}
+    given = read_csv(spark, str(folder / "u.csv"), SOURCE_SCHEMAS["customers"], encoding="UTF-8")
+    assert sorted(r.customer_state for r in given.collect()) == ["São Paulo", "plain"]
 
 
 def test_absent_sources_are_empty_tables(spark, folder):
@@ -78,6 +81,17 @@ def test_parquet_is_made_once_and_preferred(spark, folder):
     assert (counts["orders"], counts["items"], counts["reviews"], counts["sellers"]) == (3, 2, 2, 0)
 
 
+def test_an_interrupted_conversion_is_done_again(spark, folder):
+    cat = catalogue(spark, folder)
+    cat.materialise("items")
+    written = Path(folder) / "items.parquet"
+    (written / "_SUCCESS").unlink()
+    next(written.glob("part-*")).unlink()
+    assert cat.parquet("items") is None and cat.read("items").count() == 2
+    assert cat.materialise("items") and cat.parquet("items").count() == 2
+    assert Catalogue(spark, str(folder), commit_mark=False).parquet("items").count() == 2
+
+
 def test_sources_are_visible_to_sql(spark, folder):
     catalogue(spark, folder).register()
     assert spark.sql("SELECT count(*) AS n FROM orders JOIN items USING (order_id)").first().n == 2
@@ -158,6 +172,12 @@ def test_each_csv_file_is_ingested_once(spark, tmp_path):
     assert run() == ["s1", "s2"]
     (incoming / "2.csv").write_text("seller_id,seller_state\ns3,MG\n")
     assert run() == ["s1", "s2", "s3"]
+    # Another session, under another name, goes on with the same target.
+    name = f"test-{uuid.uuid4().hex}"
+    (incoming / "3.csv").write_bytes("seller_id,seller_state\ns4,NA\ns5,Pará\n".encode("latin-1"))
+    assert run() == ["s1", "s2", "s3", "s4", "s5"]
+    states = {r.seller_id: r.seller_state for r in spark.read.parquet(target).collect()}
+    assert states["s4"] is None and states["s5"] == "Pará"
 
 
 class _Session:
@@ -166,6 +186,7 @@ class _Session:
     def __init__(self, master, folder=None):
         self.settings = {"spark.checkpoint.dir": folder} if folder else {}
         self.sparkContext = self
+        self.applicationId = uuid.uuid4().hex
         self.master = master
         self.conf = self
 
@@ -178,10 +199,12 @@ class _Session:
 
 def test_a_cluster_needs_a_named_shared_folder():
     assert shared_dir(_Session("yarn", "hdfs:///tmp/x/")) == "hdfs:///tmp/x"
-    with pytest.raises(ValueError):
-        shared_dir(_Session("yarn"))
+    for folder in (None, "file:///tmp/x", "/tmp/x"):
+        with pytest.raises(ValueError):
+            shared_dir(_Session("yarn", folder))
+    assert shared_dir(_Session("local[2]", "/tmp/x")) == "/tmp/x"
     local = _Session("local[4]")
-    assert shared_dir(local) == shared_dir(local) == local.settings["spark.checkpoint.dir"]
+    assert shared_dir(local) == shared_dir(local) and Path(shared_dir(local)).is_dir()
 
 
 def test_stored_facts_keep_the_month_as_text(spark, tmp_path):

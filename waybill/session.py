@@ -34,6 +34,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# The setting is fixed once a session runs, so a local session's own folder is kept here.
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -41,13 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
     on a cluster a machine-local folder would lose data with its machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
+    local = spark.sparkContext.master.startswith("local")
+    # file: names a disk of each machine, and so may a path without a scheme.
+    if folder and (local or "://" in folder and not folder.startswith("file:")):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="waybill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not local:
+        raise ValueError(
+            "set spark.checkpoint.dir to a folder that every executor can reach, with its scheme"
+        )
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="waybill-")
+    return _own_folders[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

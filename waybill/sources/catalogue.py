@@ -42,14 +42,27 @@ def _exists(scan) -> DataFrame | None:
         raise
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8, or ISO-8859-1 as soon as one line is not valid UTF-8.
+def _utf8(text: Column) -> Column:
+    """A field read byte by byte as Latin-1, in UTF-8 where its bytes are valid UTF-8."""
+    raw = F.encode(text, FALLBACK_ENCODING).cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(text)
 
-    The CSV reader would replace bad bytes without a word, so the raw lines are
-    checked; the check stops at the first bad line.
-    """
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
-    return "UTF-8" if bad.isEmpty() else FALLBACK_ENCODING
+
+def _header(name: str) -> str:
+    raw = name.encode("latin-1", "replace")
+    try:
+        return raw.decode("utf-8").removeprefix("\ufeff")
+    except UnicodeDecodeError:
+        return name
+
+
+def parsed(raw: DataFrame, schema: StructType, columns: Sequence[str] | None, decode: bool) -> DataFrame:
+    """Text columns of CSV files as the schema's columns; batch and stream share it."""
+    names = [_header(c) if decode else c for c in raw.columns]
+    fields = [F.col(f"`{c}`") for c in raw.columns]
+    values = [_utf8(f) if decode else f for f in fields]
+    known = [F.when(~v.isin(MISSING_FIELDS), v).alias(n) for v, n in zip(values, names, strict=True)]
+    return raw.select(*known).select(*typed(names, schema, columns))
 
 
 def read_csv(
@@ -59,18 +72,26 @@ def read_csv(
     """Scan CSV files with a header under a fixed schema.
 
     Columns are matched by header name.  Fields that do not parse become null.
-    The encoding is looked up when not given.  ``free_text`` allows line breaks
+    Without a given encoding every field is read as UTF-8 where its bytes are valid
+    and as Latin-1 elsewhere, in the one scan.  ``free_text`` allows line breaks
     inside quoted fields; such a file cannot be split over tasks.
     """
-    encoding = encoding or csv_encoding(spark, path)
     # Every header column is read as text and picked by name, then cast: the
     # file may hold more columns than the schema, in any order.
-    raw = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding,
+    raw = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding or FALLBACK_ENCODING,
                          multiLine=free_text, escape='"')
-    present = raw.select(
-        *(F.when(~F.col(f"`{c}`").isin(MISSING_FIELDS), F.col(f"`{c}`")).alias(c) for c in raw.columns)
-    )
-    return present.select(*typed(raw.columns, schema, columns))
+    return parsed(raw, schema, columns, decode=encoding is None)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: a single file, or a folder with a
+    commit mark."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return False
+    return files.isFile(place) or files.exists(jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS"))
 
 
 @dataclass
@@ -86,14 +107,19 @@ class Catalogue:
     root: str
     files: Mapping[str, str] = field(default_factory=dict)
     schemas: Mapping[str, StructType] = field(default_factory=lambda: dict(SOURCE_SCHEMAS))
-    # Sources whose files carry comments with line breaks.
-    free_text: frozenset[str] = frozenset({"reviews"})
+    # Sources whose files carry comments with line breaks; each such file is one task.
+    free_text: frozenset[str] = frozenset()
+    # Off for folders of other tools, which leave no commit mark.
+    commit_mark: bool = True
 
     def path(self, name: str, kind: str) -> str:
         return f"{self.root.rstrip('/')}/{self.files.get(name, name)}.{kind}"
 
     def parquet(self, name: str, columns: Sequence[str] | None = None) -> DataFrame | None:
-        found = _exists(lambda: self.spark.read.parquet(self.path(name, "parquet")))
+        path = self.path(name, "parquet")
+        if self.commit_mark and not is_complete(self.spark, path):
+            return None
+        found = _exists(lambda: self.spark.read.parquet(path))
         if found is None:
             return None
         return found.select(*typed(found.columns, self.schemas[name], columns))
@@ -118,13 +144,16 @@ class Catalogue:
         return self.empty(name, columns)
 
     def materialise(self, name: str) -> bool:
-        """Convert a CSV source to Parquet once; False when nothing was to do."""
+        """Convert a CSV source to Parquet once; False when nothing was to do.
+
+        What an interrupted conversion left is written anew.
+        """
         if self.parquet(name) is not None:
             return False
         source = self.csv(name)
         if source is None:
             return False
-        source.write.mode("ignore").parquet(self.path(name, "parquet"))
+        source.write.mode("overwrite").parquet(self.path(name, "parquet"))
         return True
 
     def materialise_all(self) -> list[str]:
