@@ -107,6 +107,23 @@ def test_model_minimises_the_balanced_penalised_loss(fitted):
     assert np.allclose(model.regression.coefficients.toArray()[varying], beta[varying], atol=2e-3)
 
 
+def test_scoring_keeps_rows_and_columns(spark, fitted):
+    parts, model = fitted
+    test = parts.filter("is_test").withColumn("order_no", F.monotonically_increasing_id())
+    gaps = test.withColumn("promised_days", F.when(F.col("order_no") % 2 == 0, F.col("promised_days"))).withColumn(
+        "hour", F.when(F.col("order_no") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("hour").cast("double"))
+    ).withColumn("payment_type", F.when(F.col("order_no") % 3 == 0, F.col("payment_type")))
+    gaps = gaps.cache()
+    scored = model.score(gaps)
+    assert scored.columns == [*gaps.columns, "risk"]
+    before, after = ({r.order_no: r for r in df.collect()} for df in (gaps, scored))
+    assert len(before) == len(after) and before.keys() == after.keys()
+    for k, row in after.items():
+        missing = row.promised_days is None or row.hour != row.hour
+        assert (row.risk is None) == missing and row.payment_type == before[k].payment_type
+    assert risk.fit(gaps, max_iter=1).left_out == sum(r.risk is None for r in after.values())
+
+
 def test_basket_rules_equal_brute_force(spark):
     baskets = {b: {i for i in range(8) if (b * (i + 3)) % 7 < 3} for b in range(60)}
     lines = [(b, f"i{i}") for b, items in baskets.items() for i in items for _ in range(2)] + [(b, "rare") for b in (1, 2)]

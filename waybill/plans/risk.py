@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from waybill.functions.casts import flag
+from waybill.functions.casts import flag, to_number
 from waybill.functions.money import money_sum
 from waybill.functions.timing import days_between, late_label, monday_first
 from waybill.operators.classification import (
@@ -178,12 +178,12 @@ class RiskModel:
         All rows and columns stay as they are.  A row that lacks a number has no
         risk: null.
         """
-        numbers = {_COPY.format(n): F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in NUMERIC}
+        numbers = {_COPY.format(n): to_number(F.col(n), 0.0) for n in NUMERIC}
         packed = df.select(F.struct("*").alias("_row"), *CATEGORICAL, *NUMERIC)
         packed = packed.withColumn("_complete", is_complete(*NUMERIC)).withColumns(numbers)
         ready = _copied(packed).drop(*NUMERIC).withColumnsRenamed({v: n for n, v in zip(NUMERIC, numbers, strict=True)})
         scored = self.regression.transform(self.encoder.transform(ready))
-        risk = F.when("_complete", vector_to_array("probability")[1])
+        risk = F.when(F.col("_complete"), vector_to_array("probability")[1])
         return scored.select("_row.*", risk.alias("risk"))
 
 
