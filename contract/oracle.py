@@ -7,7 +7,6 @@ ranks and percentiles use the engine's own functions.
 from __future__ import annotations
 
 from waybill.plans.geo import STATE_CENTERS, STATE_CODES
-from waybill.plans.reports import DEFAULT_ROUTE, ROUTES
 
 ORACLE: dict[str, str] = {}
 
@@ -632,10 +631,10 @@ SELECT round((r - p * (p + 1) / 2) / (p * q), 6) AS auc FROM sums"""
 _on_facts("sql_top_payments", f"""
 SELECT payment_type, count(*) AS orders, {REVENUE} AS revenue
 FROM facts GROUP BY payment_type ORDER BY revenue DESC, payment_type LIMIT 10""")
-_on_facts("sql_worst_states", """
-SELECT customer_state, round(avg(CASE WHEN on_time THEN 1.0 ELSE 0.0 END), 6) AS on_time_rate,
-       count(*) AS orders
-FROM facts GROUP BY customer_state HAVING count(*) > 100 ORDER BY on_time_rate, customer_state LIMIT 10""")
+_on_facts("sql_worst_states", """,
+rated AS (SELECT customer_state, sum(CASE WHEN on_time THEN 1 ELSE 0 END) AS good, count(*) AS orders FROM facts GROUP BY ALL)
+SELECT customer_state, round(good::DOUBLE / orders, 6) AS on_time_rate, orders
+FROM rated WHERE orders > 100 ORDER BY good::DOUBLE / orders, customer_state LIMIT 10""")
 _on_facts("sql_monthly", f"""
 SELECT strftime(order_purchase_timestamp, '%Y-%m') AS ym, count(*) AS orders, {REVENUE} AS revenue
 FROM facts GROUP BY 1""")
@@ -651,12 +650,41 @@ SELECT review_score, count(*) AS orders, round(avg(delivery_time_h), 6) AS deliv
        round(avg(delay_h), 6) AS delay_h
 FROM facts GROUP BY review_score""")
 
-_ROUTE = " ".join(
-    "WHEN " + " OR ".join(f"contains(lower(text), '{stem}')" for stem in stems) + f" THEN '{route}'"
-    for route, stems in ROUTES
-)
+
+def _routes(text: str, routes: list[tuple[str, str]], default: str) -> str:
+    """The first route whose pattern occurs in the lower-cased text."""
+    cases = " ".join(f"WHEN regexp_matches(lower({text}), '{stems}') THEN '{route}'" for route, stems in routes)
+    return f"CASE {cases} ELSE '{default}' END AS route"
+
+
+_TEST_STEMS = [
+    ("trend", "äch|üch"), ("payments_breakdown", "queque"), ("reviews_summary", "menteaux|oiñ"),
+    ("rfm", "schau"), ("roi_reduce_late", "thea|ñó"), ("kpis", "zzz"),
+]
 ORACLE["text_routing"] = f"""
-SELECT conv_id, turn, CASE {_ROUTE} ELSE '{DEFAULT_ROUTE}' END AS route FROM conversations"""
+SELECT conv_id, turn, {_routes("text", _TEST_STEMS, "kpis")}
+FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(text) ELSE text END AS text FROM conversations)"""
+# The stems that ask for a report, in the order in which they are tried.
+_STEMS = [
+    ("kpis", "kpi|замовлен|виручк|aov|середн|прибут"),
+    ("trend", "тренд|динамік|по днях|time series"),
+    ("payments_breakdown", "оплат|payment|розстроч|installments|кредит"),
+    ("reviews_summary", "review|оцінк|відгук|nps"),
+    ("rfm", "rfm|сегмент|клієнтські сегменти"),
+    ("roi_reduce_late", "простроч|late|on-time|sla|затримк"),
+]
+ORACLE["text_routing_words"] = f"""
+SELECT conv_id, turn, {_routes("text", _STEMS, "kpis")}
+FROM (SELECT conv_id, turn, substring(text, 1, 20) || ' ' || (['KPI за рік', 'Динаміка продажів', 'time series please',
+  'Скільки Оплат', 'installments', 'Відгуки', 'NPS now', 'RFM', 'сегменти', 'Late deliveries', 'простроченi',
+  'nothing at all'])[conv_id % 12 + 1] AS text FROM conversations)"""
+
+_on_facts("report_names", """
+SELECT 'kpis' AS report, 1 AS rows UNION ALL SELECT 'roi_reduce_late', 1
+UNION ALL SELECT 'trend', count(DISTINCT CAST(order_purchase_timestamp AS DATE)) FROM facts
+UNION ALL SELECT 'payments_breakdown', count(*) FROM (SELECT payment_type FROM facts GROUP BY payment_type)
+UNION ALL SELECT 'reviews_summary', count(*) FROM (SELECT review_score FROM facts GROUP BY review_score)
+UNION ALL SELECT 'rfm', least(30, count(DISTINCT customer_id)) FROM facts""")
 
 BASKETS = """
 WITH lines AS (
@@ -679,3 +707,135 @@ directed AS (
 SELECT antecedent, consequent, round(d.n / t.baskets, 6) AS support, round(d.n / a.n, 6) AS confidence,
        round((d.n / a.n) / (c.n / t.baskets), 6) AS lift
 FROM directed d JOIN singles a ON a.item = antecedent JOIN singles c ON c.item = consequent, total t"""
+
+ORACLE["basket_triples"] = """
+WITH lines AS (
+  SELECT DISTINCT l_orderkey AS basket, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey
+),
+total AS (SELECT count(DISTINCT basket) AS baskets, ceil(0.05 * count(DISTINCT basket)) AS least FROM lines),
+singles AS (SELECT item, count(*) AS n FROM lines GROUP BY item),
+pairs AS (SELECT a.item AS x, b.item AS y, count(*) AS n FROM lines a JOIN lines b ON a.basket = b.basket AND a.item < b.item
+  GROUP BY 1, 2),
+triples AS (
+  SELECT a.item AS x, b.item AS y, c.item AS z, count(*) AS n
+  FROM lines a JOIN lines b ON a.basket = b.basket AND a.item < b.item
+  JOIN lines c ON a.basket = c.basket AND b.item < c.item
+  GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT least FROM total)
+),
+rules AS (
+  SELECT x, y, z AS consequent, n FROM triples UNION ALL SELECT x, z, y, n FROM triples UNION ALL SELECT y, z, x, n FROM triples
+)
+SELECT r.x || ' + ' || r.y AS antecedent, consequent, round(r.n / t.baskets, 6) AS support,
+       round(r.n / p.n, 6) AS confidence, round((r.n / p.n) / (s.n / t.baskets), 6) AS lift
+FROM rules r JOIN pairs p ON p.x = r.x AND p.y = r.y JOIN singles s ON s.item = consequent, total t"""
+
+ORACLE["discount_totals"] = """
+WITH d AS (
+  SELECT l_returnflag, l_linestatus, l_orderkey,
+         CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS discount FROM lineitem
+)
+SELECT l_returnflag, l_linestatus, CAST(sum(discount) AS DOUBLE) AS discount,
+       CAST(coalesce(sum(discount) FILTER (l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0), 0) AS DOUBLE) AS known,
+       CAST(sum(CAST(discount AS DECIMAL(24,6)) * 0.01) AS DOUBLE) AS fine
+FROM d GROUP BY l_returnflag, l_linestatus"""
+ORACLE["absent_sources"] = f"""WITH {SOURCES}
+SELECT CAST(year(order_purchase_timestamp) AS INTEGER) AS year, order_status, count(*) AS orders, CAST(0 AS BIGINT) AS reviews,
+       count(*) AS keys
+FROM s_orders GROUP BY 1, 2"""
+ORACLE["hot_order_reviews"] = """
+WITH reviews AS (
+  SELECT * FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_orderkey END AS order_id,
+                        1 + o_orderkey * 31 % 5 AS score FROM orders)
+  WHERE order_id % 7 <> 2
+)
+SELECT o_orderstatus AS status, o_custkey % 10 AS ring, count(*) AS rows, count(score) AS reviews,
+       CAST(sum(score) AS BIGINT) AS score, CAST(1 AS BIGINT) AS hot_keys
+FROM orders LEFT JOIN reviews ON o_orderkey = order_id GROUP BY 1, 2"""
+
+_PLACED = "CAST(row_number() OVER (ORDER BY {order}) - 1 AS INTEGER) AS place"
+_on_facts("payments_by_type", f"""
+SELECT *, {_PLACED.format(order="revenue DESC, payment_type")} FROM ({_BY_TYPE})""")
+_on_facts("payments_value_by_installments", f"""
+SELECT *, {_PLACED.format(order="aov DESC, installments")} FROM (
+SELECT installments, count(*) AS orders, {REVENUE} AS revenue, {AOV} AS aov, {SHARE} AS share_pct
+FROM facts GROUP BY installments)""")
+
+SPLIT = f"""{TRAINING},
+drawn AS (
+  SELECT *, count(*) OVER (PARTITION BY late) AS n, count(*) OVER () AS total, row_number() OVER (PARTITION BY late
+    ORDER BY md5('42:' || order_id || ':' || payment_sequential), order_id, payment_sequential) AS rn
+  FROM training
+),
+classes AS (
+  SELECT DISTINCT late, n, CAST(total - ceil(total * 0.2) AS DOUBLE) AS wanted,
+         n * CAST(total - ceil(total * 0.2) AS DOUBLE) / total AS exact
+  FROM drawn
+),
+quota AS (
+  SELECT late, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, n DESC)
+           <= wanted - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS n_train
+  FROM classes
+),
+split AS (SELECT d.*, rn > n_train AS is_test FROM drawn d JOIN quota q ON d.late = q.late)"""
+ORACLE["risk_split_rows"] = f"""{SPLIT}
+SELECT order_id, CAST(payment_sequential AS INTEGER) AS payment_sequential, late, is_test FROM split"""
+ORACLE["risk_summary"] = f"""{SPLIT}
+SELECT count(*) AS rows, round(100 * avg(late), 6) AS late_pct FROM split WHERE is_test"""
+
+FIXED = f"""{TRAINING},
+linear AS (
+  SELECT *, CASE WHEN order_id % 7 <> 0 THEN 2.0 + 0.05 * weekday - 0.02 * hour - 0.11 * promised_days + 0.2 * items_cnt
+    + 0.0004 * freight_value + 0.01 * total_weight_kg - 0.3 * same_state
+    + CASE payment_type WHEN 'boleto' THEN 0.4 WHEN 'voucher' THEN -0.2 ELSE CASE WHEN payment_type IS NULL THEN 0.7 ELSE 0 END END
+    + CASE WHEN customer_state = 'SP' THEN -0.25 WHEN customer_state IS NULL THEN 0.11 ELSE 0 END
+    + CASE WHEN seller_state = 'RJ' THEN 0.25 ELSE 0 END END AS x
+  FROM training
+),
+risks AS (SELECT *, 1 / (1 + exp(-x)) AS risk FROM linear)"""
+ORACLE["risk_scores"] = f"""{FIXED}
+SELECT order_id, CAST(payment_sequential AS INTEGER) AS payment_sequential, payment_type, round(risk, 6) AS risk FROM risks"""
+ORACLE["risk_fixed_quality"] = f"""{FIXED},
+scored AS (SELECT late, round(risk, 4) AS score FROM risks WHERE risk IS NOT NULL),
+ranks AS (
+  SELECT late, score, (rank() OVER (ORDER BY score) + rank() OVER (ORDER BY score) - 1
+                + count(*) OVER (PARTITION BY score)) / 2.0 AS mid_rank
+  FROM scored
+)
+SELECT round((sum(mid_rank) FILTER (late = 1) - p * (p + 1) / 2) / (p * q), 6) AS auc,
+       count(*) FILTER (late = 0 AND score < 0.5) AS true_on_time, count(*) FILTER (late = 0 AND score >= 0.5) AS false_late,
+       count(*) FILTER (late = 1 AND score < 0.5) AS false_on_time, count(*) FILTER (late = 1 AND score >= 0.5) AS true_late
+FROM ranks, (SELECT CAST(sum(late) AS DOUBLE) AS p, CAST(count(*) - sum(late) AS DOUBLE) AS q FROM scored) GROUP BY p, q"""
+ORACLE["risk_fixed_top"] = f"""{TRAINING},
+weights(feature, coef) AS (VALUES ('weekday', 0.05), ('hour', -0.02), ('promised_days', -0.11), ('items_cnt', 0.2),
+  ('freight_value', 0.0004), ('total_weight_kg', 0.01), ('same_state', -0.3), ('payment_type=boleto', 0.4),
+  ('payment_type=voucher', -0.2), ('payment_type=__null__', 0.7), ('customer_state=SP', -0.25),
+  ('customer_state=__null__', 0.11), ('seller_state=RJ', 0.25)),
+there AS (
+  SELECT 'payment_type=' || coalesce(payment_type, '__null__') AS feature FROM training
+  UNION SELECT 'customer_state=' || coalesce(customer_state, '__null__') FROM training
+  UNION SELECT 'seller_state=' || coalesce(seller_state, '__null__') FROM training
+  UNION SELECT feature FROM weights WHERE NOT contains(feature, '=')
+)
+SELECT feature, CAST(coef AS DOUBLE) AS coef FROM weights JOIN there USING (feature)
+ORDER BY abs(coef) DESC, feature LIMIT 8"""
+ORACLE["risk_encoding"] = f"""{TRAINING},
+named AS (
+  SELECT 'payment_type=' || coalesce(payment_type, '__null__') AS feature FROM training
+  WHERE payment_type IS DISTINCT FROM 'voucher'
+  UNION ALL SELECT 'customer_state=' || coalesce(customer_state, '__null__') FROM training
+  UNION ALL SELECT 'seller_state=' || coalesce(seller_state, '__null__') FROM training
+)
+SELECT feature, count(*) AS rows FROM named GROUP BY feature
+UNION ALL SELECT unnest(['weekday', 'hour', 'promised_days', 'items_cnt', 'freight_value', 'total_weight_kg',
+    'total_volume_dm3', 'payment_installments', 'same_state']),
+  unnest([count(*) FILTER (weekday <> 0), count(*) FILTER (hour <> 0), count(*) FILTER (promised_days <> 0),
+    count(*) FILTER (items_cnt <> 0), count(*) FILTER (freight_value <> 0), count(*) FILTER (total_weight_kg <> 0),
+    count(*) FILTER (total_volume_dm3 <> 0), count(*) FILTER (payment_installments <> 0), count(*) FILTER (same_state <> 0)])
+FROM training"""
+ORACLE["risk_slopes"] = f"""{SPLIT},
+train AS (SELECT * FROM split WHERE NOT is_test)
+SELECT DISTINCT 'payment_type=' || coalesce(payment_type, '__null__') AS feature, 0.0::DOUBLE AS slope FROM train
+UNION SELECT 'customer_state=' || coalesce(customer_state, '__null__'), 0.0::DOUBLE FROM train
+UNION SELECT 'seller_state=' || coalesce(seller_state, '__null__'), 0.0::DOUBLE FROM train
+UNION SELECT unnest(['weekday', 'hour', 'promised_days', 'items_cnt', 'freight_value', 'total_weight_kg',
+  'total_volume_dm3', 'payment_installments', 'same_state']), 0.0::DOUBLE"""

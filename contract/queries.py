@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from waybill.functions.money import money_sum
 from waybill.operators import classification, filters
 from waybill.operators.columns import fill_measures, repair_facts, with_customer_key
+from waybill.operators.skew import frequent_keys, left_join_apart
 from waybill.operators.topk import newest, oldest
 from waybill.plans import (
     basket, delivery, geo, payments, reports, reviews, rfm, risk, scenarios, sql_view, trends,
@@ -50,6 +53,17 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Add the row's place in the order the report gives, so that sorts are compared.
+
+    The reports sorted here have one row per type, score or day.
+    """
+    spark = df.sparkSession
+    rows = [(k, *row) for k, row in enumerate(df.collect())]
+    kinds = ", ".join(["place int", *(f"`{n}` {k}" for n, k in df.dtypes)])
+    return spark.createDataFrame(rows, kinds)
+
+
 def text_time(df: DataFrame) -> DataFrame:
     """Timestamps as text, so that the comparison does not depend on clients."""
     return df.select(
@@ -153,6 +167,53 @@ def oldest_delivered_orders(spark, folder):
     return text_time(oldest(delivered, NEWEST).select("order_id", "order_purchase_timestamp"))
 
 
+@register
+def discount_totals(spark, folder):
+    """Amounts with many decimals, not-a-number and missing amounts among them."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    discount = F.col("l_extendedprice") * F.col("l_discount")
+    amount = F.when(F.col("l_orderkey") % 11 == 0, F.lit(float("nan"))).when(F.col("l_orderkey") % 13 != 0, discount)
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(
+        money_sum(discount).alias("discount"), money_sum(amount).alias("known"),
+        money_sum(discount / 100).alias("fine"),
+    )
+
+
+@register
+def absent_sources(spark, folder):
+    """Orders from a file, reviews and older orders from files that are not there."""
+    root = scratch_path(spark, "absent")
+    marketplace.load(spark, folder).orders.write.parquet(f"{root}/orders.parquet")
+    here = Catalogue(spark, root)
+    nowhere = Catalogue(spark, root, files={"orders": "orders_of_old"})
+    orders = here.read("orders").unionByName(nowhere.read("orders"))
+    joined = orders.join(here.read("reviews"), "order_id", "left")
+    return joined.groupBy(F.year("order_purchase_timestamp").alias("year"), "order_status").agg(
+        F.count(F.lit(1)).alias("orders"), F.count("review_score").alias("reviews"),
+        F.count("order_id").alias("keys"),
+    )
+
+
+@register
+def hot_order_reviews(spark, folder):
+    """Every third review belongs to one order; its key is dealt over several tasks."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status"), "o_custkey"
+    )
+    reviews = orders.select(
+        F.when(F.col("order_id") % 3 == 0, 1).otherwise(F.col("order_id")).cast("bigint").alias("order_id"),
+        (1 + F.col("order_id") * 31 % 5).alias("score"),
+    ).filter("order_id % 7 <> 2")
+    # A fifth of all rows is too much for a task, whatever the number of partitions.
+    fifth = 0.2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = frequent_keys(reviews, "order_id", tasks=fifth, rows=50)
+    joined = left_join_apart(orders, reviews, "order_id", hot)
+    return joined.groupBy("status", (F.col("o_custkey") % 10).alias("ring")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("score").alias("reviews"), F.sum("score").alias("score"),
+        F.lit(len(hot)).cast("long").alias("hot_keys"),
+    )
+
+
 @register
 def date_bounds(spark, folder):
     return filters.date_bounds(facts_of(spark, folder, "purchase_date"))
@@ -289,7 +350,7 @@ def payments_kpis(spark, folder):
 @register
 def payments_by_type(spark, folder):
     facts = facts_of(spark, folder, "payment_type", "installments", "gross_revenue")
-    return rounded(payments.by_type(facts), "installments_avg", "aov", "share_pct")
+    return placed(rounded(payments.by_type(facts), "installments_avg", "aov", "share_pct"))
 
 
 @register
@@ -304,6 +365,12 @@ def payments_by_installments(spark, folder):
     return rounded(payments.by_installments(facts), "aov", "share_pct")
 
 
+@register
+def payments_value_by_installments(spark, folder):
+    facts = facts_of(spark, folder, "installments", "gross_revenue")
+    return placed(rounded(payments.by_installments_value(facts), "aov", "share_pct"))
+
+
 @register
 def payments_presented(spark, folder):
     facts = facts_of(spark, folder, "payment_type", "installments", "gross_revenue")
@@ -544,9 +611,75 @@ def risk_split_sizes(spark, folder):
     return parts.groupBy("late", "is_test").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@register
+def risk_split_rows(spark, folder):
+    """Which rows are drawn for the test part."""
+    parts = risk.split(_training(spark, folder, keep_keys=True))
+    return parts.select(*risk.KEYS, "late", "is_test")
+
+
 @register
 def risk_summary(spark, folder):
-    return rounded(risk.test_summary(_training(spark, folder)), "late_pct")
+    parts = risk.split(_training(spark, folder, keep_keys=True))
+    return rounded(risk.test_summary(parts.filter("is_test")), "late_pct")
+
+
+# Weights as a fit might give them, for checking scores and rankings.
+FIXED_WEIGHTS = {
+    "weekday": 0.05, "hour": -0.02, "promised_days": -0.11, "items_cnt": 0.2, "freight_value": 0.0004,
+    "total_weight_kg": 0.01, "same_state": -0.3, "payment_type=boleto": 0.4, "payment_type=voucher": -0.2,
+    "payment_type=__null__": 0.7, "customer_state=SP": -0.25, "customer_state=__null__": 0.11, "seller_state=RJ": 0.25,
+}
+
+
+def _fixed_scores(spark, folder):
+    """Every seventh order lacks its promised days."""
+    table = _training(spark, folder, keep_keys=True)
+    gaps = F.when(F.col("order_id") % 7 != 0, F.col("promised_days"))
+    return risk.scored_by(table.withColumn("promised_days", gaps), FIXED_WEIGHTS, 2.0)
+
+
+@register
+def risk_scores(spark, folder):
+    return rounded(_fixed_scores(spark, folder).select(*risk.KEYS, "payment_type", "risk"), "risk")
+
+
+@register
+def risk_fixed_quality(spark, folder):
+    scored = _fixed_scores(spark, folder).filter("risk IS NOT NULL")
+    return rounded(risk.quality(scored.withColumn("risk", F.round("risk", 4))), "auc")
+
+
+@register
+def risk_fixed_top(spark, folder):
+    """Weights by size, of those categories that occur."""
+    table = _training(spark, folder)
+    there = None
+    for name in risk.CATEGORICAL:
+        value = F.concat(F.lit(f"{name}="), F.coalesce(name, F.lit(risk.MISSING)))
+        part = table.select(value.alias("feature")).distinct()
+        there = part if there is None else there.unionByName(part)
+    there = there.unionByName(spark.createDataFrame([(n,) for n in risk.NUMERIC], "feature string"))
+    weights = spark.createDataFrame(list(FIXED_WEIGHTS.items()), "feature string, coef double")
+    return risk.top_weights(weights.join(there, "feature"), 8)
+
+
+@register
+def risk_encoding(spark, folder):
+    """Rows with a non-zero value per encoded feature; vouchers were never seen."""
+    table = _training(spark, folder)
+    encoder = risk.fit_encoder(table.filter("payment_type <> 'voucher' OR payment_type IS NULL"))
+    names = F.array(*map(F.lit, risk.feature_names(encoder)))
+    values = risk.encode(encoder, table).select(F.posexplode(vector_to_array("features")).alias("k", "v"))
+    return values.groupBy(F.get(names, F.col("k")).alias("feature")).agg(F.count_if(F.col("v") != 0).alias("rows"))
+
+
+@register
+def risk_slopes(spark, folder):
+    """The fitted model stands at the bottom of its loss: all slopes are nil."""
+    train = risk.split(_training(spark, folder, keep_keys=True)).filter(~F.col("is_test"))
+    slopes = risk.loss_gradient(risk.fit(train), train)
+    return slopes.select("feature", F.abs(F.round("slope", 2)).alias("slope"))
 
 
 @register
@@ -630,10 +763,62 @@ def report_rfm(spark, folder):
     return reports.run_report("rfm", _customer_facts(spark, folder))
 
 
+# Stems that occur in the test conversations, for every report one.
+STEMS = [
+    ("trend", ["äch", "üch"]), ("payments_breakdown", ["queque"]), ("reviews_summary", ["menteaux", "oiñ"]),
+    ("rfm", ["schau"]), ("roi_reduce_late", ["THEA", "ñó"]), ("kpis", ["zzz"]),
+]
+
+
 @register
 def text_routing(spark, folder):
+    """Texts with the stems of the test tables' invented words, in either case."""
+    talks = spark.read.parquet(f"{folder}/conversations.parquet")
+    stems = [(route, [stem.lower() for stem in own]) for route, own in STEMS]
+    shouted = talks.withColumn("text", F.when(F.col("turn") % 2 == 0, F.upper("text")).otherwise(F.col("text")))
+    return reports.tag_text(shouted, routes=stems).select("conv_id", "turn", "route")
+
+
+@register
+def text_routing_words(spark, folder):
+    """The built-in stems, worked into the texts."""
     talks = spark.read.parquet(f"{folder}/conversations.parquet")
-    return reports.tag_text(talks).select("conv_id", "turn", "route")
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("conv_id") % len(ASKED)).cast("int") + 1)
+    texts = talks.withColumn("text", F.concat_ws(" ", F.substring("text", 1, 20), asked))
+    return reports.tag_text(texts).select("conv_id", "turn", "route")
+
+
+ASKED = [
+    "KPI за рік", "Динаміка продажів", "time series please", "Скільки Оплат", "installments", "Відгуки", "NPS now",
+    "RFM", "сегменти", "Late deliveries", "простроченi", "nothing at all",
+]
+
+
+@register
+def report_names(spark, folder):
+    """All six reports by name: the columns and the rows of each."""
+    facts = facts_of(
+        spark, folder, "customer_id", "purchase_dt", "purchase_date", "gross_revenue", "on_time", "payment_type",
+        "review_score", "delivery_time_h", "delay_h",
+    )
+    parts = [
+        reports.run_report(name, facts).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("report"), "rows")
+        for name in reports.REPORTS
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@register
+def basket_triples(spark, folder):
+    """Rules of three part types bought together."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(F.col("l_orderkey").alias("basket"), "l_partkey")
+    types = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", F.col("p_type").alias("item"))
+    bought = lines.join(types, F.col("l_partkey") == F.col("p_partkey")).select("basket", "item")
+    rules = basket.mine(bought, 0.05, max_length=3).rules()
+    return rounded(rules.filter(F.col("antecedent").contains(" + ")), "support", "confidence", "lift")
 
 
 def _rules(spark, folder):

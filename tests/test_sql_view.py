@@ -1,5 +1,7 @@
 """The read-only SQL gate."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -75,3 +77,13 @@ def test_cached_facts_stay_cached(facts):
 def test_auto_analysis_runs(facts):
     for sql in AUTO_ANALYSIS.values():
         query(sql, facts=facts).collect()
+
+
+def test_strftime_knows_its_letters_and_refuses_others(spark):
+    facts = spark.sql("SELECT TIMESTAMP '2018-03-05 14:07:09.123456' AS ts")
+    fmt = "%d.%m.%y %H:%M:%S %b %B %a %A %j %p %I year %Y %% %u %w %F %T it's"
+    got = query(f"SELECT strftime(ts, \"{fmt}\") AS t FROM facts", facts=facts).first().t
+    moment = datetime(2018, 3, 5, 14, 7, 9)
+    assert got == moment.strftime(fmt.replace("%u", "1").replace("%w", "1"))
+    with pytest.raises(Exception, match="%Q"):
+        query("SELECT strftime(ts, '%Q') AS t FROM facts", facts=facts).collect()

@@ -56,7 +56,8 @@ def stratified_split(
     Rows are ordered by a seeded hash of ``keys`` (unique together), so the
     split depends on the data alone, not on partitioning or arrival order.
     """
-    hashed = df.withColumn("_draw", F.xxhash64(F.lit(seed), *keys))
+    drawn = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    hashed = df.withColumn("_draw", F.md5(drawn.cast("binary")))
     ranked = with_row_number(hashed, order=["_draw", *keys], group=[label], name="_rn")
     quota = _train_quota(
         ranked.groupBy(label).agg(F.max("n_rows").alias("n")), test_share

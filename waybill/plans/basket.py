@@ -45,12 +45,14 @@ def transactions(lines: DataFrame, min_support: float) -> DataFrame:
 @dataclass
 class BasketRules:
     model: FPGrowthModel
+    max_length: int | None = None
 
     def itemsets(self) -> DataFrame:
         """Frequent itemsets (items in order) and the baskets holding them."""
-        return self.model.freqItemsets.select(
-            F.array_sort("items").alias("items"), F.col("freq").alias("baskets")
-        )
+        found = self.model.freqItemsets
+        if self.max_length:
+            found = found.filter(F.size("items") <= self.max_length)
+        return found.select(F.array_sort("items").alias("items"), F.col("freq").alias("baskets"))
 
     def pairs(self) -> DataFrame:
         return (
@@ -61,19 +63,26 @@ class BasketRules:
 
     def rules(self) -> DataFrame:
         """Rules with support, confidence and lift."""
-        return self.model.associationRules.select(
+        found = self.model.associationRules
+        if self.max_length:
+            found = found.filter(F.size("antecedent") + F.size("consequent") <= self.max_length)
+        return found.select(
             F.array_join(F.array_sort("antecedent"), " + ").alias("antecedent"),
             F.array_join("consequent", " + ").alias("consequent"),
             "support", "confidence", "lift",
         )
 
 
-def mine(lines: DataFrame, min_support: float = 0.01, min_confidence: float = 0.0) -> BasketRules:
+def mine(
+    lines: DataFrame, min_support: float = 0.01, min_confidence: float = 0.0, max_length: int | None = None
+) -> BasketRules:
     """Frequent itemsets by parallel FP-growth, no pair ever being emitted.
 
-    The model re-reads its transactions for every result, hence the staging.
+    Results are limited to itemsets of ``max_length`` items; without it their number
+    can grow exponentially as the support falls.  The model re-reads its transactions
+    for every result, hence the staging.
     """
     model = FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence
     ).fit(stage(transactions(lines, min_support), "baskets"))
-    return BasketRules(model)
+    return BasketRules(model, max_length)

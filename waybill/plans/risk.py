@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from waybill.functions.casts import flag, to_number
@@ -27,6 +27,7 @@ from waybill.operators.topk import oldest, top
 from waybill.plans.facts import payments_per_order
 from waybill.sources.tables import Sources
 
+# The model's numbers and categories, in this order.
 NUMERIC = [
     "weekday", "hour", "promised_days", "items_cnt", "freight_value", "total_weight_kg",
     "total_volume_dm3", "payment_installments", "same_state",
@@ -135,7 +136,7 @@ def split(table: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFram
     return stratified_split(table, KEYS, LABEL, test_share, seed)
 
 
-# The names that encoded copies of the categories and helpers bear inside the model.
+# The names that encoded copies of the categories bear inside the encoder.
 _COPY = "_risk_{}"
 _COPIES = [_COPY.format(name) for name in CATEGORICAL]
 
@@ -147,6 +148,70 @@ def _copied(df: DataFrame) -> DataFrame:
     )
 
 
+def linear_score(weights: Mapping[str, float]) -> Column:
+    """Sum of the weights of a row's features, named ``column`` or ``column=category``.
+
+    An unseen category adds nothing.  A row that lacks a number has no score: null.
+    """
+    total = F.lit(0.0)
+    for name in NUMERIC:
+        total = total + F.lit(float(weights.get(name, 0.0))) * to_number(F.col(name))
+    for name in CATEGORICAL:
+        known = {k.partition("=")[2]: w for k, w in weights.items() if k.startswith(f"{name}=")}
+        if known:
+            pairs = (F.lit(x) for value, w in known.items() for x in (value, float(w)))
+            category = F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
+            total = total + F.coalesce(F.try_element_at(F.create_map(*pairs), category), F.lit(0.0))
+    return total
+
+
+def probability(score: Column) -> Column:
+    """The logistic function, without overflow at either end."""
+    small = F.exp(-F.abs(score))
+    return F.when(score >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
+
+
+def scored_by(df: DataFrame, weights: Mapping[str, float], intercept: float) -> DataFrame:
+    """Add ``risk`` from given weights; all rows and columns stay as they are."""
+    return df.withColumn("risk", probability(linear_score(weights) + F.lit(float(intercept))))
+
+
+def top_weights(coefficients: DataFrame, k: int = 20) -> DataFrame:
+    """The features with the largest coefficients, either sign."""
+    return top(coefficients, k, F.desc(F.abs("coef")), F.col("feature"))
+
+
+def fit_encoder(rows: DataFrame) -> PipelineModel:
+    """One-hot categories and unscaled numbers as ``features``.
+
+    An unseen category encodes to all zeros.
+    """
+    indexed = [f"{name}_ix" for name in _COPIES]
+    encoded = [f"{name}_oh" for name in _COPIES]
+    encoding = Pipeline(
+        stages=[
+            StringIndexer(
+                inputCols=_COPIES, outputCols=indexed, handleInvalid="keep",
+                stringOrderType="alphabetAsc",
+            ),
+            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
+            VectorAssembler(inputCols=[*encoded, *NUMERIC], outputCol="features"),
+        ]
+    )
+    return encoding.fit(_copied(rows))
+
+
+def encode(encoder: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``features``."""
+    return encoder.transform(_copied(rows)).select(*rows.columns, "features")
+
+
+def feature_names(encoder: PipelineModel) -> list[str]:
+    """``column=category`` for the encoded categories, then the numbers."""
+    labels = zip(CATEGORICAL, encoder.stages[0].labelsArray, strict=True)
+    return [f"{column}={value}" for column, known in labels for value in known] + NUMERIC
+
+
 @dataclass
 class RiskModel:
     """A fitted model.  ``left_out`` is the number of training rows without a number
@@ -157,34 +222,21 @@ class RiskModel:
     left_out: int = 0
 
     def feature_names(self) -> list[str]:
-        """``column=category`` for the encoded categories, then the numbers."""
-        labels = zip(CATEGORICAL, self.encoder.stages[0].labelsArray, strict=True)
-        return [f"{column}={value}" for column, known in labels for value in known] + NUMERIC
+        return feature_names(self.encoder)
+
+    def weights(self) -> dict[str, float]:
+        return dict(zip(self.feature_names(), map(float, self.regression.coefficients.toArray()), strict=True))
 
     def coefficients(self, spark) -> DataFrame:
         """Feature and coefficient, one row per feature."""
-        names = F.array(*map(F.lit, self.feature_names()))
-        weights = F.array(*(F.lit(float(w)) for w in self.regression.coefficients.toArray()))
-        pairs = F.map_from_arrays(names, weights)
-        return spark.range(1).select(F.explode(pairs).alias("feature", "coef"))
+        return spark.createDataFrame(list(self.weights().items()), "feature string, coef double")
 
     def top_features(self, spark, k: int = 20) -> DataFrame:
-        """The features with the largest coefficients, either sign."""
-        return top(self.coefficients(spark), k, F.desc(F.abs("coef")), F.col("feature"))
+        return top_weights(self.coefficients(spark), k)
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Add ``risk``, the probability of a late delivery.
-
-        All rows and columns stay as they are.  A row that lacks a number has no
-        risk: null.
-        """
-        numbers = {_COPY.format(n): to_number(F.col(n), 0.0) for n in NUMERIC}
-        packed = df.select(F.struct("*").alias("_row"), *CATEGORICAL, *NUMERIC)
-        packed = packed.withColumn("_complete", is_complete(*NUMERIC)).withColumns(numbers)
-        ready = _copied(packed).drop(*NUMERIC).withColumnsRenamed({v: n for n, v in zip(NUMERIC, numbers, strict=True)})
-        scored = self.regression.transform(self.encoder.transform(ready))
-        risk = F.when(F.col("_complete"), vector_to_array("probability")[1])
-        return scored.select("_row.*", risk.alias("risk"))
+        """Add ``risk``, the probability of a late delivery; null where a number is missing."""
+        return scored_by(df, self.weights(), self.regression.intercept)
 
 
 def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
@@ -192,30 +244,16 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
 
     Classes are weighted to balance.  Spark averages the loss over the weights
     where the usual objective sums it, so the penalty is 1 / (C * sum of weights).
-    An unseen category encodes to all zeros.  Rows without a number in some column
-    are left out and counted in the model.
+    Rows without a number in some column are left out and counted in the model.
     """
-    indexed = [f"{name}_ix" for name in _COPIES]
-    encoded = [f"{name}_oh" for name in _COPIES]
-    encoding = Pipeline(
-        stages=[
-            StringIndexer(
-                inputCols=_COPIES, outputCols=indexed, handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            ),
-            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
-            VectorAssembler(inputCols=[*encoded, *NUMERIC], outputCol="features"),
-        ]
-    )
     # Read once per category and then by every iteration.  A lost block is
     # computed again from the staged rows, with the same result.
-    marked = train.withColumn("_complete", is_complete(*NUMERIC))
-    rows = _copied(marked).persist(StorageLevel.MEMORY_AND_DISK)
-    left_out = rows.filter(~F.col("_complete")).count()
-    rows = rows.filter("_complete")
-    encoder = encoding.fit(rows)
+    marked = train.withColumn("_complete", is_complete(*NUMERIC)).persist(StorageLevel.MEMORY_AND_DISK)
+    left_out = marked.filter(~F.col("_complete")).count()
+    rows = marked.filter("_complete")
+    encoder = fit_encoder(rows)
     vectors = (
-        encoder.transform(with_class_weight(rows, LABEL))
+        encode(encoder, with_class_weight(rows, LABEL))
         .select("features", LABEL, "weight")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -227,10 +265,38 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
         ).fit(vectors)
     finally:
         vectors.unpersist()
-        rows.unpersist()
+        marked.unpersist()
     return RiskModel(encoder, model, left_out)
 
 
+def loss_gradient(model: RiskModel, train: DataFrame, c: float = 1.0) -> DataFrame:
+    """Per feature the slope of the penalised loss at the fitted weights.
+
+    It is taken per unit of weight and standard deviation of the feature, in one pass
+    over the rows; at the minimum it is 0.
+    """
+    rows = with_class_weight(train.filter(is_complete(*NUMERIC)), LABEL)
+    error = F.col("weight") * (F.col("risk") - F.col(LABEL))
+    scored = model.score(rows).withColumn("_error", error)
+    names = model.feature_names()
+
+    def value(name: str) -> Column:
+        column, category, wanted = name.partition("=")
+        if not category:
+            return F.col(column).cast("double")
+        return (F.coalesce(F.col(column).cast("string"), F.lit(MISSING)) == wanted).cast("double")
+
+    sums = [f.alias(f"{k}{part}") for k, name in enumerate(names) for part, f in (
+        ("g", F.sum(F.col("_error") * value(name))), ("s", F.stddev_pop(value(name))))]
+    row = scored.agg(F.sum("weight").alias("w"), *sums).first()
+    weights = model.weights()
+    slopes = [
+        (name, (row[f"{k}g"] + weights[name] / c) / row["w"] / (row[f"{k}s"] or 1.0))
+        for k, name in enumerate(names)
+    ]
+    return train.sparkSession.createDataFrame(slopes, "feature string, slope double")
+
+
 def test_summary(df: DataFrame) -> DataFrame:
     """Rows and share of late ones."""
     return df.agg(

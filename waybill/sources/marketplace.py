@@ -6,8 +6,6 @@ same sources.  Key columns stay bigint.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waybill.functions.money import cents, from_cents
@@ -152,14 +150,8 @@ def baskets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str) -> Sources:
-    """All sources of one folder.  The set is kept per application and folder,
-    so that its one-off look-ups are not repeated by every query."""
+    """All sources of one folder; nothing is kept between calls."""
     configure(spark)
-    return _load(spark, spark.sparkContext.applicationId, folder)
-
-
-@lru_cache(maxsize=8)
-def _load(spark: SparkSession, application: str, folder: str) -> Sources:
     return Sources(
         orders=orders(spark, folder),
         items=items(spark, folder),
@@ -168,4 +160,6 @@ def _load(spark: SparkSession, application: str, folder: str) -> Sources:
         customers=customers(spark, folder),
         products=products(spark, folder),
         sellers=sellers(spark, folder),
+        # By construction an order has at most two reviews and two payments.
+        hot_keys={"reviews": {}, "payments": {}},
     )
