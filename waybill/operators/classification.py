@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.storagelevel import StorageLevel
 
-from waybill.operators.ranks import broadcast_if_small, with_row_number, with_running_totals
+from waybill.operators.cuts import cuts
+from waybill.operators.ranks import broadcast_if_small, with_running_totals
 
 # Class tables are broadcast up to this many rows.
 MAX_CLASSES = 1000
@@ -29,23 +32,17 @@ def with_class_weight(df: DataFrame, label: str = "late", name: str = "weight")
     return df.join(broadcast_if_small(weights, MAX_CLASSES), label)
 
 
-def _train_quota(classes: DataFrame, test_share: float) -> DataFrame:
+def _train_quota(classes: dict, test_share: float) -> dict:
     """Training rows per class: proportional, the left-over rows going to the
-    largest remainders.  ``classes`` holds one row per class."""
-    everything = Window.partitionBy()
-    total = F.sum("n").over(everything)
-    exact = F.col("n") * (total - F.ceil(total * F.lit(test_share))) / total
-    quota = classes.select(
-        "*",
-        F.floor(exact).alias("_base"),
-        (exact - F.floor(exact)).alias("_rest"),
-        (total - F.ceil(total * F.lit(test_share))).alias("_wanted"),
-    )
-    place = F.row_number().over(Window.orderBy(F.col("_rest").desc(), F.col("n").desc()))
-    spare = F.col("_wanted") - F.sum("_base").over(everything)
-    return quota.withColumn(
-        "n_train", F.col("_base") + F.when(place <= spare, 1).otherwise(0)
-    ).drop("_base", "_rest", "_wanted")
+    largest remainders."""
+    total = sum(classes.values())
+    wanted = total - ceil(total * test_share)
+    exact = {c: n * wanted / total for c, n in classes.items()}
+    quota = {c: floor(x) for c, x in exact.items()}
+    order = sorted(classes, key=lambda c: (quota[c] - exact[c], -classes[c]))
+    for c in order[: wanted - sum(quota.values())]:
+        quota[c] += 1
+    return quota
 
 
 def stratified_split(
@@ -54,19 +51,28 @@ def stratified_split(
     """Add ``is_test``: an exact, reproducible stratified sample of each class.
 
     Rows are ordered by a seeded hash of ``keys`` (unique together), so the
-    split depends on the data alone, not on partitioning or arrival order.
+    split depends on the data alone, not on partitioning or arrival order.  Only the
+    row at each class's quota is sought, by counting; rows are compared with it.
     """
     drawn = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
     hashed = df.withColumn("_draw", F.md5(drawn.cast("binary")))
-    ranked = with_row_number(hashed, order=["_draw", *keys], group=[label], name="_rn")
-    quota = _train_quota(
-        ranked.groupBy(label).agg(F.max("n_rows").alias("n")), test_share
-    ).select(label, "n_train")
-    return (
-        ranked.join(broadcast_if_small(quota, MAX_CLASSES), label)
-        .withColumn("is_test", F.col("_rn") > F.col("n_train"))
-        .drop("_draw", "_rn", "n_rows", "n_train")
-    )
+    held = hashed.select(label, "_draw", *keys).persist(StorageLevel.MEMORY_AND_DISK)  # read by every count
+    try:
+        counts = held.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+        if len(counts) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes")
+        classes = {row[label]: row.n for row in counts}
+        quota = _train_quota(classes, test_share)
+        firsts = {c: quota[c] + 1 for c in classes if 0 <= quota[c] < classes[c]}
+        places = lambda n: sorted({p for c, p in firsts.items() if classes[c] == n})
+        found = cuts(held, ["_draw", *keys], places, group=[label])
+    finally:
+        held.unpersist()
+    is_test = F.lit(False)
+    for c, place in firsts.items():
+        here = F.col(label).eqNullSafe(F.lit(c))
+        is_test = F.when(here, found[(c,)][1][place].at_or_after()).otherwise(is_test)
+    return hashed.withColumn("is_test", is_test).drop("_draw")
 
 
 def predict_class(score: Column, threshold: float = 0.5) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from waybill.operators.ranks import broadcast_if_small, with_running_totals
-from waybill.session import stage
+from waybill.operators.cuts import Cut, cuts
 
 
 def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
@@ -42,20 +42,15 @@ def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
     )
 
 
-def _at_quantile(p: float, value: Column) -> Column:
-    """Aggregate: linear interpolation between the two order statistics at ``p``.
+def _places(probabilities: Iterable[float]) -> Callable[[int], list[int]]:
+    """The places that linear interpolation needs in a group of n values."""
+    return lambda n: [place for p in probabilities for place in (floor((n - 1) * p) + 1, ceil((n - 1) * p) + 1)]
 
-    Expects one row per distinct value with ``n_before``, ``n`` and ``n_total``.
-    """
-    position = (F.col("n_total") - 1) * F.lit(p)
-
-    def statistic(rank: Column) -> Column:
-        here = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(here, value))
 
-    part = F.max(position - F.floor(position))
-    low, high = statistic(F.floor(position)), statistic(F.ceil(position))
-    return low + (high - low) * part
+def _interpolated(n: int, found: dict[int, Cut], p: float) -> float:
+    at = (n - 1) * p
+    low, high = (float(found[place].values[0]) for place in (floor(at) + 1, ceil(at) + 1))
+    return low + (high - low) * (at - floor(at))
 
 
 def exact_quantiles(
@@ -63,12 +58,14 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated exact quantiles per group, one column each.
 
-    ``percentile()`` gathers all distinct values of a group in one task; this
-    finds the order statistics from distributed running counts instead.
+    ``percentile()`` gathers all distinct values of a group in one task; here the
+    order statistics are found by counting.
     """
-    return _counted(df, value, group).groupBy(*group).agg(
-        *(_at_quantile(p, F.col(value)).alias(name) for name, p in probabilities.items())
-    )
+    found = cuts(df, [value], _places(probabilities.values()), group)
+    kinds = [f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group]
+    kinds += [f"`{name}` double" for name in probabilities]
+    rows = [(*key, *(_interpolated(n, at, p) for p in probabilities.values())) for key, (n, at) in found.items()]
+    return df.sparkSession.createDataFrame(rows, ", ".join(kinds))
 
 
 def approximate_quantiles(
@@ -82,42 +79,24 @@ def approximate_quantiles(
     )
 
 
-def _counted(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    )
-    return with_running_totals(counts, order=[value], weights=["n"], group=group)
-
-
 def box_stats(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     """Box-plot figures per group: count, least, quartiles, greatest, fences.
 
     A fence is the outermost observation within 1.5 interquartile ranges of the
     box.  Rows without a value or group are left out.
     """
-    group = list(group)
-    counted = _counted(df.na.drop(subset=[value, *group]), value, group)
-    v = F.col(value)
-    # One row per group, needed twice: staged, and small enough to broadcast or not.
-    box = stage(
-        counted.groupBy(*group).agg(
-            F.sum("n").alias("orders"),
-            F.min(v).alias("min_value"),
-            _at_quantile(0.25, v).alias("q1"),
-            _at_quantile(0.50, v).alias("median"),
-            _at_quantile(0.75, v).alias("q3"),
-            F.max(v).alias("max_value"),
-        ),
-        "box",
-    )
+    group, v = list(group), F.col(value)
+    known = df.na.drop(subset=[value, *group])
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    # One row per group, whose number ``cuts`` bounds.
+    box = F.broadcast(exact_quantiles(known, value, quartiles, group))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = (
-        counted.select(*group, value)
-        .join(broadcast_if_small(box.select(*group, "q1", "q3")), group)
-        .groupBy(*group)
-        .agg(
-            F.min(F.when(v >= F.col("q1") - reach, v)).alias("lower_fence"),
-            F.max(F.when(v <= F.col("q3") + reach, v)).alias("upper_fence"),
-        )
+    return known.select(*group, value).join(box, group).groupBy(*group, *quartiles).agg(
+        F.count(v).alias("orders"),
+        F.min(v).alias("min_value"),
+        F.max(v).alias("max_value"),
+        F.min(F.when(v >= F.col("q1") - reach, v)).alias("lower_fence"),
+        F.max(F.when(v <= F.col("q3") + reach, v)).alias("upper_fence"),
+    ).select(
+        *group, "orders", "min_value", *quartiles, "max_value", "lower_fence", "upper_fence"
     )
-    return box.join(fences, group)

@@ -141,3 +141,8 @@ def quintile(position: Column, n_rows: Column) -> Column:
     """
     bucket = F.floor(((position - 1) * 5 + n_rows - 2) / F.nullif(n_rows - 1, F.lit(0)))
     return F.when(n_rows > 1, F.greatest(F.lit(1), bucket.cast("int")))
+
+
+def fifth_edges(n_rows: int) -> list[int]:
+    """First places of the second to the last fifth that ``quintile`` makes of n rows."""
+    return [-(-(k * (n_rows - 1) + 1) // 5) + 1 for k in range(1, 5)] if n_rows > 1 else []

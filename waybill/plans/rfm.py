@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from waybill.functions.money import money_sum
 from waybill.functions.timing import whole_days_between
+from waybill.operators.cuts import cuts
 from waybill.operators.distribution import histogram
-from waybill.operators.ranks import quintile, with_row_number
+from waybill.operators.ranks import fifth_edges
 from waybill.operators.sharing import with_share
 from waybill.operators.topk import top
 
@@ -70,39 +72,32 @@ def rfm_scores(facts: DataFrame, customer: str = "customer_id") -> DataFrame:
     (ties by customer), recent buyers getting the high score.  Where fifths do
     not exist (a single customer, or a missing value) everyone scores 3.
 
-    The three measures are ordered in one pass: unpivoted to rows, positioned
-    together, and folded back to one row per customer.
+    Only the rows at the four edges between the fifths are sought, for all measures
+    together, by counting; then every customer is compared with them.
     """
     base = rfm_base(facts, customer)
-    long = base.select(
-        "customer_id", *(F.col(c).cast("double").alias(c) for c in MEASURES)
-    ).unpivot("customer_id", list(MEASURES), "measure", "value")
-    placed = with_row_number(
-        long, order=["value", "customer_id"], group=["measure"],
-        totals={"missing": F.count_if(F.col("value").isNull())}, max_groups=len(MEASURES),
-    )
-    fifth = quintile(F.col("rn"), F.col("n_rows"))
-    ascending = F.when(F.col("measure") == "recency", 6 - fifth).otherwise(fifth)
-    scored = placed.withColumn(
-        "score",
-        F.when(F.col("missing") > 0, NEUTRAL_SCORE).otherwise(
-            F.coalesce(ascending, F.lit(NEUTRAL_SCORE))
-        ),
-    )
-
-    def of(measure: str, column: str) -> Column:
-        return F.max(F.when(F.col("measure") == measure, F.col(column)))
-
-    folded = scored.groupBy("customer_id").agg(
-        of("recency", "value").cast("long").alias("recency"),
-        of("frequency", "value").cast("long").alias("frequency"),
-        of("monetary", "value").alias("monetary"),
-        of("recency", "score").alias("r"),
-        of("frequency", "score").alias("f"),
-        of("monetary", "score").alias("m"),
-    )
+    held = base.persist(StorageLevel.MEMORY_AND_DISK)  # read by every count
+    try:
+        missing = held.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in MEASURES)).first()
+        long = held.select(
+            "customer_id", *(F.col(c).cast("double").alias(c) for c in MEASURES)
+        ).unpivot("customer_id", list(MEASURES), "measure", "value")
+        edges = cuts(long, ["value", "customer_id"], fifth_edges, group=["measure"])
+    finally:
+        held.unpersist()
+    scored = base
+    for name, measure in zip(("r", "f", "m"), MEASURES, strict=True):
+        n, found = edges.get((measure,), (0, {}))
+        if missing[measure] or n < 2:
+            score = F.lit(NEUTRAL_SCORE)
+        else:
+            fifth = F.lit(1)
+            for place in fifth_edges(n):
+                fifth = fifth + found[place].at_or_after().cast("int")
+            score = 6 - fifth if measure == "recency" else fifth
+        scored = scored.withColumn("value", F.col(measure).cast("double")).withColumn(name, score)
     scores = {name: F.col(name) for name in ("r", "f", "m")}
-    return folded.withColumns({"rfm": sum(scores.values(), F.lit(0)), "segment": segment(scores)})
+    return scored.drop("value").withColumns({"rfm": sum(scores.values(), F.lit(0)), "segment": segment(scores)})
 
 
 def rfm_totals(base: DataFrame) -> DataFrame:
