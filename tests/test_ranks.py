@@ -143,7 +143,9 @@ def test_split_is_stratified_and_reproducible(spark, ones, zeros):
     assert sum(first.values()) == -(-(ones + zeros) // 5)
     late_test = sum(t for i, t in first.items() if i < ones)
     assert abs(late_test - ones / 5) < 1
-    assert {r.id: r.is_test for r in stratified_split(rows, ["id"], seed=7).collect()} != first
+    # Of seven rows one seed in twelve draws the same by chance, so several are tried.
+    others = [{r.id: r.is_test for r in stratified_split(rows, ["id"], seed=s).collect()} for s in (7, 8, 9)]
+    assert any(other != first for other in others)
 
 
 def test_trailing_mean_counts_rows_not_days(spark):
