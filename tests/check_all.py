@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from tests.compare import connect, differences  # noqa: E402
-from waybill.session import get_session  # noqa: E402
+from waybill.session import clear_scratch, get_session  # noqa: E402
 
 
 def main(folder: str = "/root/testdata/sf0.01", *names: str) -> int:
@@ -34,6 +34,7 @@ def main(folder: str = "/root/testdata/sf0.01", *names: str) -> int:
         print(f"{'BAD' if problems else 'ok ':3} {name:28} {time.time() - start:6.2f}s {note}", flush=True)
         for problem in problems:
             print("    ", problem, flush=True)
+    clear_scratch(spark)
     print("unmatched twins:", sorted(set(twins) - set(queries())))
     return bad
 

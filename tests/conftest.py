@@ -1,6 +1,6 @@
 import pytest
 
-from waybill.session import get_session
+from waybill.session import clear_scratch, get_session
 
 
 @pytest.fixture(scope="session")
@@ -11,4 +11,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

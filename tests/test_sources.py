@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waybill.operators.filters import in_period, in_year
 from waybill.plans.facts import build_facts
 from waybill.schemas import SOURCE_SCHEMAS
-from waybill.session import shared_dir, stage
+from waybill.session import clear_scratch, shared_dir, stage
 from waybill.sources.catalogue import Catalogue, read_csv
 from waybill.sources.sinks import read_facts, write_bucketed, write_facts
 from waybill.streaming.ingest import ingest_new_csv
@@ -156,6 +156,9 @@ def test_staging_goes_to_the_shared_folder(spark):
     staged = stage(spark.range(5))
     assert staged.count() == 5
     assert shared_dir(spark).replace("file:", "") in staged.inputFiles()[0]
+    place = Path(staged.inputFiles()[0].removeprefix("file://")).parent
+    clear_scratch(spark)
+    assert not place.exists()
 
 
 def test_each_csv_file_is_ingested_once(spark, tmp_path):

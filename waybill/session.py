@@ -65,6 +65,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/waybill-{application}/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has staged; DataFrames that read it end with it."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/waybill-{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
