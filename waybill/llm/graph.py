@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Every round is a pair of grouped minima and joins, written to the shared folder, so
-a lost executor re-reads files.  Hubs are summed on the map side, and AQE splits them
-in the joins.  Nothing but counters reaches the driver.
+a lost executor re-reads files.  The minima of hubs are taken on the map side first and
+written apart, so that AQE can split a hub in the joins.  Nothing but counters reaches
+the driver.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 from waybill.llm.common import stage
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A fingerprint of the links that does not depend on their order."""
-    hashed = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("a"), F.sum(hashed.cast("decimal(20,0)")), F.bit_xor(hashed)).first())
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, which has none itself."""
+    child, parent = F.lit(1).alias("up"), F.lit(1).alias("down")
+    nodes = edges.select(F.col("a").alias("node"), child, F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), parent)
+    )
+    seen = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,16 +31,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = stage(edges.distinct(), "links")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _is_forest_of_stars(edges):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stage(large.distinct(), "large")
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(least, "a")
         small = moved.select(F.col("b").alias("a"), "m").unionByName(least).filter("a <> m")
         edges = stage(small.select("a", F.col("m").alias("b")).distinct(), "links")
-        last, mark = mark, _mark(edges)
-        if mark == last:
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

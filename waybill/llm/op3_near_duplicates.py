@@ -4,14 +4,15 @@
    its size, an order-free 128-bit fingerprint and a MinHash signature.  Equal sets
    become one class, named by its smallest id; only classes go on.
 2. Signatures are cut into bands.  In each bucket every class is paired with the
-   bucket's smallest: as many pairs as members, however large the bucket.
+   bucket's smallest, its pivot: as many pairs as members, however large the bucket.
 3. A pair's signatures are compared in batches.  After each batch the pair is dropped
    if the posterior probability (uniform prior) that its similarity reaches the
    threshold is below ``MISS``.  Survivors are verified exactly on their full sets.
-4. Components of these links settle most buckets.  Where a bucket still holds classes
-   of several components, those not yet compared are compared block by block, pruned
-   in the task in the same way, and verified.  So no pair that shares a bucket is lost,
-   and no bucket is expanded into all its pairs.
+4. Each class is tried with its smallest pivot first, then with those pivots that are
+   not in its component.  Where a bucket still holds classes of several components,
+   those not yet compared are compared block by block, pruned in the task in the same
+   way, and verified.  So no pair of different components that shares a bucket is left
+   out, and no bucket is expanded into all its pairs.
 
 A text without words, empty or null has no shingles and links with nothing; with fewer
 words than a shingle takes, the whole sequence is one shingle.  Rows without an id keep
@@ -187,7 +188,7 @@ class IdFilter:
         return df.filter(F.col(column).isNotNull()).withColumn("_bit", bit).mapInArrow(run, df.schema)
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+def _pruned(pairs: DataFrame, signs: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
     """The (a, b) pairs that sequential verification of the signatures keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +197,12 @@ def _pruned(pairs: DataFrame, classes: DataFrame, steps: list[tuple[int, int]])
                 left, right = (fixed(batch.column(c), np.uint32) for c in ("sa", "sb"))
                 yield batch.select(["a", "b"]).take(pa.array(survives(left, right, steps)))
 
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
-    signs = stage(IdFilter(ids, "rep").select(classes.select("rep", "signature"), "rep"), "signatures")
     joined = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
+def _full_sets(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The whole shingle set of every document in a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -217,14 +216,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     some = IdFilter(ids, "id").select(documents(docs, "doc_id", "text"), "doc_id")
     sets = some.mapInArrow(run, "doc_id long, shingles array<long>")
     sets = sets.join(ids.distinct(), sets["doc_id"] == F.col("id"), "left_semi")
-    sets = stage(sets.dropDuplicates(["doc_id", "shingles"]), "sets")
+    return stage(sets.dropDuplicates(["doc_id", "shingles"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
     joined = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     union = F.size("xa") + F.size("xb") - common
     return joined.filter(100 * common.cast("long") >= percent * union.cast("long")).select("a", "b")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, classes: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+def _unsettled(members: DataFrame, labels: DataFrame, signs: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
     """Surviving pairs of different components among members no pivot has linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +248,17 @@ def _unsettled(members: DataFrame, labels: DataFrame, classes: DataFrame, steps:
     open_ = marked.groupBy("key").agg(F.count("rep").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
     open_ = open_.filter("n > 1 AND x <> y").select("key", "n")
     unsettled = stage(marked.join(open_, "key").select("key", "n", "rep", "label"), "unsettled")
-    signs = IdFilter(unsettled, "rep").select(classes.select("rep", "signature"), "rep")
     dealt = block_pairs(unsettled.join(signs, "rep"), "rep")
     return dealt.select("key", "i", "j", "block", "rep", "label", "signature").mapInArrow(run, "a long, b long")
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return stage(both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "apart")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     bands, rows = bands_for(percent)
@@ -259,16 +268,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     known = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = stage(classes, "classes")
-    banded = _bands(classes, bands, rows)
+    banded = stage(_bands(classes, bands, rows), "bands")
     shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("rep").alias("n")).filter("n > 1")
     members = stage(banded.join(shared.select("key", "pivot"), "key"), "members")
-    star = stage(members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
-    kept = stage(_pruned(star, classes, steps), "pairs")
-    links = stage(_verified(kept, docs, words, percent), "verified")
+    signs = stage(IdFilter(members, "rep").select(classes.select("rep", "signature"), "rep"), "signatures")
+    star = members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = stage(_pruned(star, signs, steps), "pairs")
+    sets = _full_sets(pairs, docs, words)
+    # One pair a class settles most; other pivots are tried where components differ.
+    links = stage(_verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "verified")
     labels = components(links)
-    rest = stage(_unsettled(members, labels, classes, steps).distinct(), "pairs")
-    if not rest.isEmpty():
-        more = _verified(rest, docs, words, percent)
+    second = _apart(pairs, labels)
+    if not second.isEmpty():
+        more = _verified(second, sets, percent)
+        labels = components(labels.toDF("a", "b").unionByName(more))
+    third = stage(_unsettled(members, labels, signs, steps).distinct(), "pairs")
+    if not third.isEmpty():
+        more = _verified(third, _full_sets(third, docs, words), percent)
         labels = components(labels.toDF("a", "b").unionByName(more))
     named = classes.select("k1", "k2", "rep").join(labels.toDF("rep", "label"), "rep", "left")
     named = named.select("k1", "k2", F.coalesce("label", "rep").alias("label"))
