@@ -41,3 +41,18 @@ def components(links: DataFrame) -> DataFrame:
         small = moved.select(F.col("b").alias("a"), "m").unionByName(least).filter("a <> m")
         edges = stage(small.select("a", F.col("m").alias("b")).distinct(), "links")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, component) of a forest given as links (a, b) with one smaller b per a.
+
+    Every round each link jumps to its parent's parent, so paths halve.
+    """
+    links = stage(parents, "parents")
+    while True:
+        up = links.select(F.col("a").alias("b"), F.col("b").alias("above"))
+        moved = links.join(up, "b", "left")
+        moved = stage(moved.select("a", F.coalesce("above", "b").alias("b"), F.col("above").isNotNull().alias("far")), "parents")
+        links = moved.select("a", "b")
+        if moved.filter("far").isEmpty():
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -8,10 +8,9 @@
 3. A pair's signatures are compared in batches.  After each batch the pair is dropped
    if the posterior probability (uniform prior) that its similarity reaches the
    threshold is below ``MISS``.  Survivors are verified exactly on their full sets.
-4. Each class is tried with its smallest pivot first, then with those pivots that are
-   not in its component.  Where a bucket still holds classes of several components,
-   those not yet compared are compared block by block, pruned in the task in the same
-   way, and verified.  So no pair of different components that shares a bucket is left
+4. Each class is tried with its smallest pivot first and, if that does not link it, with
+   its other pivots.  Where a bucket still holds classes of several components, they are
+   compared block by block, pruned in the task in the same way, and verified.  So no pair of different components that shares a bucket is left
    out, and no bucket is expanded into all its pairs.
 
 A text without words, empty or null has no shingles and links with nothing; with fewer
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waybill.llm.blocks import block_pairs, fixed, groups
 from waybill.llm.common import documents, stage, table
-from waybill.llm.graph import components
+from waybill.llm.graph import components, roots
 from waybill.llm.words import hashed, mix, slices
 
 WORDS = 3
@@ -228,7 +227,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, labels: DataFrame, signs: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """Surviving pairs of different components among members no pivot has linked."""
+    """Surviving pairs of different components that share a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ("signature",)):
@@ -243,8 +242,6 @@ def _unsettled(members: DataFrame, labels: DataFrame, signs: DataFrame, steps: l
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     marked = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    # A pivot has been compared with every member of its bucket; the others have not.
-    marked = marked.filter("rep <> pivot")
     open_ = marked.groupBy("key").agg(F.count("rep").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
     open_ = open_.filter("n > 1 AND x <> y").select("key", "n")
     unsettled = stage(marked.join(open_, "key").select("key", "n", "rep", "label"), "unsettled")
@@ -252,13 +249,6 @@ def _unsettled(members: DataFrame, labels: DataFrame, signs: DataFrame, steps: l
     return dealt.select("key", "i", "j", "block", "rep", "label", "signature").mapInArrow(run, "a long, b long")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return stage(both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "apart")
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     bands, rows = bands_for(percent)
@@ -273,19 +263,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     members = stage(banded.join(shared.select("key", "pivot"), "key"), "members")
     signs = stage(IdFilter(members, "rep").select(classes.select("rep", "signature"), "rep"), "signatures")
     star = members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = stage(_pruned(star, signs, steps), "pairs")
-    sets = _full_sets(pairs, docs, words)
-    # One pair a class settles most; other pivots are tried where components differ.
-    links = stage(_verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "verified")
-    labels = components(links)
-    second = _apart(pairs, labels)
-    if not second.isEmpty():
-        more = _verified(second, sets, percent)
-        labels = components(labels.toDF("a", "b").unionByName(more))
-    third = stage(_unsettled(members, labels, signs, steps).distinct(), "pairs")
-    if not third.isEmpty():
-        more = _verified(third, _full_sets(third, docs, words), percent)
-        labels = components(labels.toDF("a", "b").unionByName(more))
+    star = stage(star, "star")
+    # One pair a class settles most; a class it does not link tries its other pivots.
+    first = stage(_pruned(star.groupBy("a").agg(F.min("b").alias("b")), signs, steps), "pairs")
+    links = stage(_verified(first, _full_sets(first, docs, words), percent), "verified")
+    labels = roots(links)
+    others = star.join(links.select("a"), "a", "left_anti")
+    for pairs in (lambda: _pruned(others, signs, steps), lambda: _unsettled(members, labels, signs, steps).distinct()):
+        more = stage(pairs(), "pairs")
+        if not more.isEmpty():
+            linked = _verified(more, _full_sets(more, docs, words), percent)
+            labels = components(labels.toDF("a", "b").unionByName(linked))
     named = classes.select("k1", "k2", "rep").join(labels.toDF("rep", "label"), "rep", "left")
     named = named.select("k1", "k2", F.coalesce("label", "rep").alias("label"))
     found = sketches.drop("signature").join(named, ["k1", "k2"], "left")
