@@ -1,7 +1,7 @@
 """Log-likelihood of documents under a gated recurrent language model.
 
-Word counts come from all training texts.  Their ``HEAD`` most frequent words are sent
-to the tasks; the rest, the tail, is looked up by a join.  Output is factored in classes:
+Word counts come from all training texts.  Their most frequent words, at most ``HEAD``,
+are sent to the tasks; the rest, the tail, is looked up by a join.  Output is factored in classes:
 P(word) = P(class | state) * P(word | class).  The ``OWN`` most frequent words stand in
 classes of ``CLASS`` words with a softmax of their own on the state; the other head
 words stand in classes by theme and frequency, the tail in one class, each with its
@@ -43,6 +43,8 @@ BANDS = 2
 UNITS = 16
 SAMPLE = 4000
 TRAIN_STEPS = 500
+# A small sample is read no more often than this.
+EPOCHS = 4
 TRAIN_LANES = 128
 STEPS_BACK = 24
 RATE = 0.01
@@ -83,7 +85,17 @@ class Corpus:
 
 def corpus_of(counts: DataFrame, texts: int) -> Corpus:
     total = counts.agg(F.sum("n").alias("n"), F.count("word").alias("v")).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas().sort_values("word")
+    # The head ends where a class of counts would lead beyond HEAD words.  There are at
+    # most 64 classes to a doubling; a top-k would send its k rows from every task.
+    band = F.floor(F.log2("n") * 64)
+    bands = counts.groupBy(band.alias("band")).agg(F.count("word").alias("words")).collect()
+    words, least = 0, None
+    for row in sorted(bands, key=lambda r: -r.band):
+        words += row.words
+        if words > HEAD:
+            break
+        least = row.band
+    head = counts.filter(band >= least if least is not None else F.lit(False)).toPandas().sort_values("word")
     tokens, distinct = (total.n or 0) + texts, total.v + (texts > 0)
     return Corpus(tokens, texts, distinct, head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64))
 
@@ -292,6 +304,7 @@ def train(model: Model, texts: list[np.ndarray], steps: int = TRAIN_STEPS) -> Mo
     """Fit the model on entries of sampled texts, window after window, state carried."""
     end = len(model.vocabulary.words)
     adam = Adam(model.parameters(), RATE)
+    steps = min(steps, 1 + EPOCHS * sum(map(len, texts)) // (TRAIN_LANES * STEPS_BACK))
     done = 0
     rng = np.random.default_rng(SEED)
     while done < steps and texts:
