@@ -10,6 +10,7 @@ from waybill.llm import (
     op1_pii,
     op2_language,
     op3_near_duplicates,
+    op4_html_text,
     op5_quality,
     op6_vector_duplicates,
     op7_mix,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_pii.query,
     "op2_languages": op2_language.query,
     "op3_near_duplicates": op3_near_duplicates.query,
+    "op4_html_text": op4_html_text.query,
     "op5_quality": op5_quality.query,
     "op6_vector_duplicates": op6_vector_duplicates.query,
     "op7_mix_sources": op7_mix.query,
