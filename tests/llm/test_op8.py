@@ -113,3 +113,24 @@ def test_no_training_text_and_no_text(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in found] == [(3, 0, 0)]
     assert found[0].score == found[0].base_score and found[0].base_score == 0.0
     assert op.language_scores(documents(spark, [])).count() == 0
+
+
+def test_every_training_word_is_trained_on(spark, monkeypatch):
+    monkeypatch.setattr(op, "TRAIN_STEPS", 1)  # a large corpus is read once
+    monkeypatch.setattr(op, "TRAIN_LANES", 4)
+    monkeypatch.setattr(op, "SAMPLE", 20)
+    rows = [(k, prose(k, 5 + k % 60 + 3000 * (k == 7)), "en", "a", 1) for k in range(400)]
+    df = documents(spark, rows).select("doc_id", "text")
+    for part in (df.filter("doc_id < 100"), df):
+        corpus = op.corpus_of(op.word_counts(part), part.count())
+        model = op.fit(part, corpus, op.SAMPLE)
+        assert model.read == corpus.tokens
+        again = op.fit(part, corpus, op.SAMPLE)
+        assert all(np.array_equal(a, b) for a, b in zip(model.parameters(), again.parameters(), strict=True))
+
+
+def test_lanes_run_out_one_by_one():
+    _, model = small_model()
+    texts = [np.zeros(n, np.int64) for n in (500, 3, 70, 0, 9)]
+    read = op.train(model, op.Adam(model.parameters(), op.RATE), texts, np.random.default_rng(0))
+    assert read == sum(len(t) + 1 for t in texts)

@@ -8,9 +8,11 @@ words stand in classes by theme and frequency, the tail in one class, each with
 corpus counts as word probabilities.  The end of a text is a class of one.
 
 The recurrent part is trained by backpropagation through time, truncated at windows of
-``STEPS_BACK`` words with the state carried on, on at most ``SAMPLE`` training documents
-drawn by a hash (the documented bound).  Themes are groups of those documents by their
-frequent words.  Scoring carries the state through every document from its first word to
+``STEPS_BACK`` words with the state carried on, on all training documents: in each of
+``ROUNDS`` rounds every task trains a copy of the model on its documents of that round,
+and the copies are averaged by their words.  A small corpus is read in several rounds.
+Themes are groups of all training documents by their frequent words; only where the
+groups' centres start is drawn from at most ``SAMPLE`` documents.  Scoring carries the state through every document from its first word to
 its end, many documents side by side.
 
 Counts, base scores and the word probabilities cover all training texts.  Words are
@@ -20,9 +22,11 @@ texts all counts are 0 and the score equals the base score.  One row per documen
 
 from __future__ import annotations
 
+import copy
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +46,10 @@ THEMES = 8
 BANDS = 2
 UNITS = 16
 SAMPLE = 4000
+# A corpus of fewer windows than this is read more than once, but no more often than
+# there are rounds.
 TRAIN_STEPS = 500
-# A small sample is read no more often than this.
-EPOCHS = 4
+ROUNDS = 4
 TRAIN_LANES = 128
 STEPS_BACK = 24
 RATE = 0.01
@@ -53,6 +58,38 @@ STEPS = 32
 COUNT_BYTES = 16 << 20
 SCORE_BYTES = 12 << 20
 SEED = 20261208
+# Sums of fractions over tasks are whole numbers of this part, so that their order is free.
+UNIT = 1 << 20
+
+
+def summed(docs: DataFrame, measure: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """The sum of the long arrays that ``measure`` makes of the texts of each task.
+
+    Arrays are added up in tasks, so that one comes to the driver; None if there are none.
+    """
+
+    def row(found: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([found.astype(np.int64).tobytes()], pa.binary())], ["sums"])
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from row(measure(batches))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for data in batch.column(0):
+                part = np.frombuffer(data.as_buffer(), np.int64)
+                total = part.copy() if total is None else total + part
+        yield from row(total)
+
+    texts = docs.select("text")
+    tasks = texts.rdd.getNumPartitions()
+    found = texts.mapInArrow(one, "sums binary")
+    for count in (max(1, isqrt(tasks)), 1):
+        found = found.repartition(count).mapInArrow(add, "sums binary")
+    rows = found.collect()
+    return np.frombuffer(rows[0].sums, np.int64) if rows else None
 
 
 # -- corpus counts ---------------------------------------------------------------------
@@ -100,6 +137,13 @@ def corpus_of(counts: DataFrame, texts: int) -> Corpus:
     return Corpus(tokens, texts, distinct, head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64))
 
 
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The word hashes of each text, by slice."""
+    for batch in slices(batches, size=SCORE_BYTES):
+        words, firsts = hashed(batch.column("text"))
+        yield [words[a:b].view(np.int64) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+
+
 # -- vocabulary ------------------------------------------------------------------------
 
 @dataclass
@@ -126,18 +170,20 @@ class Vocabulary:
         return np.where(self.words[at] == hashes, at, -1)
 
 
-def themes_of(texts: list[np.ndarray], top: int, entries: int) -> np.ndarray:
-    """Theme of every head word: where the sampled texts that hold it belong.
-
-    Spherical k-means of the texts' frequent words (given as ranks); words that occur
-    in no sampled text get a theme of their own.
-    """
-    rng = np.random.default_rng(SEED)
+def frequent(texts: list[np.ndarray], top: int) -> np.ndarray:
+    """Direction of each text by its frequent words (given as ranks)."""
     x = np.zeros((len(texts), top), np.float32)
     for k, t in enumerate(texts):
         own = t[(t >= 0) & (t < top)]
         x[k] = np.sqrt(np.bincount(own, minlength=top))
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+    return x
+
+
+def first_centres(texts: list[np.ndarray], top: int) -> np.ndarray:
+    """Spherical k-means of some texts."""
+    rng = np.random.default_rng(SEED)
+    x = frequent(texts, top)
     centres = x[rng.permutation(len(x))[:THEMES]]
     for _ in range(12):
         best = (x @ centres.T).argmax(axis=1)
@@ -145,24 +191,76 @@ def themes_of(texts: list[np.ndarray], top: int, entries: int) -> np.ndarray:
             if (best == c).any():
                 centres[c] = x[best == c].sum(axis=0)
                 centres[c] /= max(float(np.sqrt((centres[c] ** 2).sum())), 1e-9)
-    votes = np.zeros((entries, THEMES + 1), np.float32)
-    sizes = np.bincount(best, minlength=THEMES) + 1.0
-    for k, t in enumerate(texts):
-        votes[np.unique(t[t >= 0]), best[k]] += 1 / sizes[best[k]]
-    votes[:, THEMES] = 1e-9
-    return votes.argmax(axis=1)
+    return centres
+
+
+def centre_sums(texts: list[np.ndarray], centres: np.ndarray) -> np.ndarray:
+    """Sum of the texts nearest to each centre, in parts of ``UNIT``."""
+    out = np.zeros(centres.shape, np.int64)
+    for start in range(0, len(texts), LANES):
+        x = frequent(texts[start : start + LANES], centres.shape[1])
+        best = (x @ centres.T).argmax(axis=1)
+        for c in range(len(centres)):
+            out[c] += np.rint(x[best == c] * UNIT).astype(np.int64).sum(axis=0)
+    return out.ravel()
+
 
+def votes(texts: list[np.ndarray], centres: np.ndarray, entries: int) -> np.ndarray:
+    """Number of texts of each theme that hold a word, by word; then that of all texts."""
+    out = np.zeros((entries + 1, THEMES), np.int64)
+    for start in range(0, len(texts), LANES):
+        some = texts[start : start + LANES]
+        best = (frequent(some, centres.shape[1]) @ centres.T).argmax(axis=1)
+        for t, c in zip(some, best, strict=True):
+            out[np.unique(t[t >= 0]), c] += 1
+            out[-1, c] += 1
+    return out.ravel()
 
-def make_vocabulary(corpus: Corpus, texts: list[np.ndarray]) -> Vocabulary:
-    """Classes of all head words; ``texts`` are the sampled documents' word hashes."""
+
+def themes_of(total: Callable[[Callable], np.ndarray], start: np.ndarray, entries: int) -> np.ndarray:
+    """Theme of every head word: where the texts that hold it belong.
+
+    ``total`` sums a function of lists of texts over all of them.  Words that occur in
+    no text get a theme of their own.
+    """
+    centres = total(lambda texts: centre_sums(texts, start)).reshape(start.shape).astype(np.float32)
+    length = np.sqrt((centres * centres).sum(axis=1, keepdims=True))
+    centres = np.where(length > 0, centres / np.maximum(length, 1e-9), start)
+    found = total(lambda texts: votes(texts, centres, entries)).reshape(entries + 1, THEMES)
+    shares = np.full((entries, THEMES + 1), 1e-9)
+    shares[:, :THEMES] = found[:-1] / (found[-1] + 1.0)
+    return shares.argmax(axis=1)
+
+
+def make_vocabulary(corpus: Corpus, texts: list[np.ndarray], docs: DataFrame | None = None) -> Vocabulary:
+    """Classes of all head words, by the themes of ``docs``; ``texts`` are word hashes.
+
+    The themes start from ``texts`` and are theirs where there are no ``docs``.
+    """
     n = len(corpus.words)
     order = np.lexsort((corpus.words, -corpus.counts))
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     own = min(OWN, n)
     empty = Vocabulary(corpus.words, *(np.zeros(0, np.int64),) * 4, 0, 0, 0)
-    ranked = [np.where(e >= 0, rank[e] if n else -1, -1) for e in map(empty.numbers, texts)]
-    theme = themes_of(ranked, own, n)[rank] if n and texts else np.zeros(n, np.int64)
+
+    def ranks(words: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.where(e >= 0, rank[e] if n else -1, -1) for e in map(empty.numbers, words)]
+
+    def total(measure: Callable) -> np.ndarray:
+        if docs is None:
+            return measure(ranks(texts))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+            out = None
+            for words in texts_of(batches):
+                part = measure(ranks(words))
+                out = part if out is None else out + part
+            return out
+
+        return summed(docs, run)
+
+    theme = themes_of(total, first_centres(ranks(texts), own), n)[rank] if n and texts else np.zeros(n, np.int64)
     symbol, group, place = (np.zeros(n + 2, np.int64) for _ in range(3))
     inside = np.zeros(n + 2)
     first = order[:own]
@@ -194,6 +292,7 @@ class Model:
         rng = np.random.default_rng(SEED)
         v = vocabulary
         self.vocabulary = v
+        self.read = 0  # entries it was trained on
         self.state = Gated(UNITS, v.symbols, rng)
         self.out = (rng.standard_normal((v.groups, UNITS)) * 0.1).astype(np.float32)
         self.shift = np.zeros((v.groups, 1), np.float32)
@@ -247,8 +346,11 @@ class Model:
             if b > a:
                 yield c, order[a:b], place[a:b], columns[:, a:b]
 
-    def gradients(self, states: np.ndarray, targets: np.ndarray, weight: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Gradients of the states and of the output parameters."""
+    def gradients(
+        self, states: np.ndarray, targets: np.ndarray, weight: float | np.ndarray
+    ) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Gradients of the states and of the output parameters; ``weight`` may go by column."""
+        weight = np.broadcast_to(np.asarray(weight, states.dtype), len(targets))
         group = self.vocabulary.group[targets]
         p = self.out @ states + self.shift
         p = np.exp(p - p.max(axis=0))
@@ -262,7 +364,7 @@ class Model:
             q = np.exp(q - q.max(axis=0))
             q /= q.sum(axis=0)
             q[y, np.arange(len(y))] -= 1
-            q *= weight
+            q *= weight[at]
             word_out[c] = q @ columns.T
             word_shift[c] = q.sum(axis=1, keepdims=True)
             flow[:, at] += self.word_out[c].T @ q
@@ -270,9 +372,12 @@ class Model:
 
 
 class Lanes:
-    """Documents laid end to end in lanes, read side by side in windows of words."""
+    """Documents laid end to end in lanes, read side by side in windows of words.
+
+    In a lane they stand longest first, or as drawn.
+    """
 
-    def __init__(self, texts: list[np.ndarray], lanes: int, end: int):
+    def __init__(self, texts: list[np.ndarray], lanes: int, end: int, rng: np.random.Generator | None = None):
         lengths = np.array([len(t) + 1 for t in texts], np.int64)
         lanes = max(1, min(lanes, len(texts)))
         load = [(0, k) for k in range(lanes)]
@@ -282,6 +387,8 @@ class Lanes:
             members[k].append(d)
             heapq.heappush(load, (total + int(lengths[d]), k))
         members.sort(key=lambda m: -int(lengths[m].sum()))
+        if rng is not None:
+            members = [rng.permutation(m).tolist() for m in members]
         order = [d for m in members for d in m]
         close = np.array([end])
         self.target = np.concatenate([x for d in order for x in (texts[d], close)])
@@ -300,31 +407,66 @@ class Lanes:
             yield active, np.minimum(at, self.starts[:active] + self.sizes[:active] - 1), inside
 
 
-def train(model: Model, texts: list[np.ndarray], steps: int = TRAIN_STEPS) -> Model:
-    """Fit the model on entries of sampled texts, window after window, state carried."""
+def train(model: Model, adam: Adam, texts: list[np.ndarray], rng: np.random.Generator, rate: float = 1.0) -> int:
+    """Fit the model on all entries of the texts, window after window, state carried.
+
+    Lanes run out one by one; their last windows are put together to steps of at least
+    half the size.  Returns the number of entries read.
+    """
+    if not texts:
+        return 0
     end = len(model.vocabulary.words)
-    adam = Adam(model.parameters(), RATE)
-    steps = min(steps, 1 + EPOCHS * sum(map(len, texts)) // (TRAIN_LANES * STEPS_BACK))
-    done = 0
-    rng = np.random.default_rng(SEED)
-    while done < steps and texts:
-        chosen = [texts[k] for k in rng.permutation(len(texts))]
-        lanes = Lanes(chosen, TRAIN_LANES, end)
-        state = None
-        for active, at, inside in lanes.windows(STEPS_BACK):
-            if done == steps or not inside.all() and done:
-                break
-            kept: list = []
-            goes_on = lanes.goes_on[at]
-            symbols = model.vocabulary.symbol[lanes.before[at]]
-            states, state = model.state.run(symbols, None if state is None else state[:, :active], goes_on, kept)
-            flat = states.transpose(1, 0, 2).reshape(UNITS, -1)
-            flow, outer = model.gradients(flat, lanes.target[at].ravel(), 1 / inside.size)
-            flow = flow.reshape(UNITS, len(at), active).transpose(1, 0, 2)
-            inner = model.state.gradients(kept, flow, goes_on)
-            adam.step([*inner, *outer], 1.0 if done < steps * 0.6 else 0.25)
-            done += 1
-    return model
+    lanes = Lanes(texts, TRAIN_LANES, end, rng)
+    least = TRAIN_LANES * STEPS_BACK // 2
+    state, waiting, held, read = None, None, 0, 0
+    for active, at, inside in lanes.windows(STEPS_BACK):
+        kept: list = []
+        goes_on = lanes.goes_on[at]
+        symbols = model.vocabulary.symbol[lanes.before[at]]
+        states, state = model.state.run(symbols, None if state is None else state[:, :active], goes_on, kept)
+        flat = states.transpose(1, 0, 2).reshape(UNITS, -1)
+        flow, outer = model.gradients(flat, lanes.target[at].ravel(), inside.ravel())
+        flow = flow.reshape(UNITS, len(at), active).transpose(1, 0, 2)
+        found = [*model.state.gradients(kept, flow, goes_on), *outer]
+        waiting = found if waiting is None else [a + b for a, b in zip(waiting, found, strict=True)]
+        held += int(inside.sum())
+        if held >= least:
+            adam.step([g / held for g in waiting], rate)
+            read, waiting, held = read + held, None, 0
+    if held:
+        adam.step([g / least for g in waiting], rate)
+    return read + held
+
+
+def train_round(model: Model, docs: DataFrame, rate: float) -> Model:
+    """The mean of the models that the tasks train on their ``docs``, by words."""
+    vocabulary = model.vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        own = copy.deepcopy(model)
+        adam = Adam(own.parameters(), RATE)
+        rng = np.random.default_rng(SEED)
+        read = 0
+        for texts in texts_of(batches):
+            # Entries count from the end: the tail is the last of all, the end the one before.
+            entries = [np.where(e < 0, len(vocabulary.words) + 1, e) for e in map(vocabulary.numbers, texts)]
+            read += train(own, adam, entries, rng, rate)
+        if not read:
+            return None
+        weight = max(1, read >> 10)
+        flat = np.concatenate([p.ravel() for p in own.parameters()]).astype(np.float64)
+        return np.append(np.rint(flat * UNIT).astype(np.int64) * weight, [weight, read])
+
+    found = summed(docs, run)
+    if found is None:
+        return model
+    out = copy.deepcopy(model)
+    flat, at = found[:-2] / (UNIT * float(found[-2])), 0
+    for p in out.parameters():
+        p[...] = flat[at : at + p.size].reshape(p.shape)
+        at += p.size
+    out.read += int(found[-1])
+    return out
 
 
 def score_texts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -350,12 +492,16 @@ def fit(docs: DataFrame, corpus: Corpus, most: int = SAMPLE) -> Model:
     rows = sample(docs, corpus.texts, most, "text", text=F.col("text"))
     words, firsts = hashed(pa.array([r.text for r in rows], pa.string()))
     texts = [words[a:b].view(np.int64) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-    vocabulary = make_vocabulary(corpus, texts)
-    model = Model(vocabulary)
+    model = Model(make_vocabulary(corpus, texts, docs))
     model.start(corpus.counts.astype(float), max(0.0, corpus.tokens - corpus.texts - corpus.counts.sum()), corpus.texts)
-    # Entries count from the end: the tail is the last of all, the end the one before.
-    entries = [np.where(e < 0, len(vocabulary.words) + 1, e) for e in map(vocabulary.numbers, texts)]
-    return train(model, entries)
+    if not corpus.texts:
+        return model
+    passes = max(1, min(ROUNDS, TRAIN_STEPS * TRAIN_LANES * STEPS_BACK // corpus.tokens))
+    drawn = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        own = [(k + j) % ROUNDS for j in range(passes)]
+        model = train_round(model, docs.filter(drawn.isin(own)), 1.0 if k < ROUNDS - 1 else 0.25)
+    return model
 
 
 def _parts(docs: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
