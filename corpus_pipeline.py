@@ -56,11 +56,17 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes words of, with how many it takes.
+    """The words the mix takes: of each document its whole rounds and its chosen blocks.
 
-    A column of the documents named size, source_size, target or taken is replaced.
+    The text is cut or repeated so that it holds ``taken`` words; the character count
+    follows it, size is that of the whole text.  A column of the documents named size,
+    source_size, target, taken, rounds or spans is replaced.
     """
-    return op7_mix.mix(docs.withColumn("size", op7_mix.size_of(F.col("text")))).filter("taken > 0")
+    found = op7_mix.mix(docs.withColumn("size", op7_mix.size_of(F.col("text"))), spans=True).filter("taken > 0")
+    found = found.withColumn("text", op7_mix.cut_text(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found
 
 
 STAGES = [

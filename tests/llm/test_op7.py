@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline as pipeline
 from tests.llm.fixtures import CLASHING, documents, odd_rows, prose, rows_of, words
 from waybill.llm import op7_mix as op
 
@@ -70,3 +71,22 @@ def test_empty_tables(spark):
     assert mixed(documents(spark, [])).count() == 0
     only = mixed(documents(spark, [(1, None, "en", None, 0)])).collect()
     assert [(r.size, r.target, r.taken) for r in only] == [(0, 0.0, 0)]
+
+
+def test_texts_of_the_mix_hold_the_taken_words(spark, monkeypatch):
+    monkeypatch.setattr(op, "SHARD_WORDS", 512)
+    rows = [(k, prose(k, 20 + k % 90), "en", ["hot", "hot", "hot", "b", "c", "é", None][k % 7], 1) for k in range(300)]
+    df = documents(spark, odd_rows() + rows)
+    counts = sorted(((r.doc_id, r.text, r.taken) for r in mixed(df).collect()), key=repr)
+    sized = df.withColumn("size", op.size_of(F.col("text")))
+    found = op.mix(sized, spans=True).withColumn("cut", op.cut_text(F.col("text"))).collect()
+    assert sorted(((r.doc_id, r.text, r.taken) for r in found), key=repr) == counts
+    for r in found:
+        own = words(r.text)
+        assert all(0 <= s.start < s.end <= r.size and s.end - s.start <= op.BLOCK for s in r.spans)
+        assert all(a.end <= b.start for a, b in zip(r.spans, r.spans[1:]))
+        assert words(r.cut) == own * r.rounds + [w for s in r.spans for w in own[s.start : s.end]]
+        assert len(words(r.cut)) == r.taken
+    assert any(r.rounds > 1 for r in found) and any(0 < r.taken < r.size for r in found)
+    last = pipeline.mixed(spark, df, "").collect()
+    assert {(r.doc_id, len(words(r.text)), len(r.text)) for r in last} == {(r.doc_id, r.taken, r.n_chars) for r in last}

@@ -101,13 +101,15 @@ def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
     return shards.assign(quota=quota)[["_source", "shard", "source_size", "target", "shard_size", "quota"]]
 
 
-def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED, most: int = MOST) -> DataFrame:
+def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED, most: int = MOST, spans: bool = False) -> DataFrame:
     """``sized`` (doc_id, source, size, maybe more) with source_size, target and taken.
 
     Columns of ``sized`` that have one of the three new names are replaced; all others
-    travel along, whatever their names.
+    travel along, whatever their names.  With ``spans`` there are also rounds, how often
+    the whole text is taken, and spans, the chosen blocks of the last round as pairs of
+    first word and end in the text's words, in order; taken adds up both.
     """
-    kept = [c for c in sized.columns if c not in ("source_size", "target", "taken")]
+    kept = [c for c in sized.columns if c not in ("source_size", "target", "taken", *(("rounds", "spans") if spans else ()))]
     sized = sized.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), "doc_id", "source", "size")
     drawn = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = sized.withColumn(
@@ -148,11 +150,45 @@ def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED, most: int = MOST
         .withColumn("_blocks", blocks)
         .withColumn("_start", start.cast("long") % F.col("_blocks"))
     )
+    if spans:
+        joined = joined.withColumn("_chosen", _chosen_blocks(block))
+        own = F.aggregate("_chosen", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"])
+        taken = F.expr("size * _rounds") + own
+        return joined.select(
+            "_row.*", "source_size", "target", taken.cast("long").alias("taken"),
+            F.col("_rounds").cast("long").alias("rounds"), F.col("_chosen").alias("spans"),
+        )
     before = _taken_before(F.col("_end") - F.col("size"), block)
     taken = F.expr("size * _rounds") + _taken_before(F.col("_end"), block) - before
     return joined.select("_row.*", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def _chosen_blocks(block: int) -> Column:
+    """The words of a document that lie in the shard's chosen blocks, by block.
+
+    Block b is chosen where floor((b * rest + start) / blocks) rises from b to b + 1;
+    the k-th rise comes at block ceil((k * blocks - start) / rest) - 1.
+    """
+    begin = "(_end - size)"
+    first = f"({begin} div {block} * _rest + _start) div _blocks"
+    last = f"(((_end - 1) div {block} + 1) * _rest + _start) div _blocks"
+    at = "((k * _blocks - _start + _rest - 1) div _rest - 1)"
+    return F.expr(
+        f"CASE WHEN size > 0 AND _rest > 0 AND {last} > {first} THEN transform(sequence({first} + 1, {last}), k -> "
+        f"named_struct('start', greatest({at} * {block} - {begin}, 0L), 'end', least(({at} + 1) * {block} - {begin}, size))) "
+        "ELSE CAST(array() AS array<struct<start: bigint, end: bigint>>) END"
+    )
+
+
+def cut_text(text: Column) -> Column:
+    """A text ``rounds`` times over and its ``spans``, each part on lines of its own."""
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    pieces = F.transform(
+        "spans", lambda x: F.array_join(F.slice(words, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), " ")
+    )
+    return F.array_join(F.concat(F.array_repeat(text, F.col("rounds").cast("int")), pieces), "\n")
+
+
 def _taken_before(words: Column, block: int) -> Column:
     """Of a shard's first ``words`` words, those in the blocks of the last round."""
     whole = F.floor(words / block)
