@@ -214,3 +214,29 @@ def test_stored_facts_keep_the_month_as_text(spark, tmp_path):
     facts = spark.createDataFrame([("o", "2018-09"), ("p", "NaT")], "order_id string, ym string")
     write_facts(facts, str(tmp_path / "f"))
     assert sorted(r.ym for r in read_facts(spark, str(tmp_path / "f"), facts.schema).collect()) == ["2018-09", "NaT"]
+
+
+def test_ingested_tables_are_read_and_unmarked_data_is_not_lost(spark, tmp_path):
+    incoming, root = tmp_path / "in", tmp_path / "tables"
+    incoming.mkdir()
+    root.mkdir()
+    (incoming / "1.csv").write_text("seller_id,seller_state\ns1,SP\ns2,RJ\n")
+    (root / "sellers.csv").write_text("seller_id,seller_state\nold,SP\n")
+    target = str(root / "sellers.parquet")
+    query = ingest_new_csv(spark, str(incoming), target, SOURCE_SCHEMAS["sellers"], f"test-{uuid.uuid4().hex}")
+    assert query.awaitTermination(120)
+    cat = Catalogue(spark, str(root))
+    assert not cat.materialise("sellers")
+    assert {r.seller_id for r in cat.read("sellers").collect()} == {"s1", "s2"}
+    # A writer with success marks turned off.
+    cat.read("sellers").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/plain.parquet")
+    (root / "plain.parquet" / "_SUCCESS").unlink(missing_ok=True)
+    (root / "plain.csv").write_text("seller_id,seller_state\nold,SP\n")
+    other = Catalogue(spark, str(root), files={"sellers": "plain"})
+    for call in (other.read, other.materialise):
+        with pytest.raises(ValueError, match="commit mark"):
+            call("sellers")
+    assert spark.read.parquet(f"{root}/plain.parquet").count() == 2
+    # What a conversion began and left is written anew.
+    (root / "_plain.parquet.begun").touch()
+    assert other.materialise("sellers") and [r.seller_id for r in other.read("sellers").collect()] == ["old"]

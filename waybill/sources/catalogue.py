@@ -13,6 +13,8 @@ from waybill.schemas import SOURCE_SCHEMAS
 from waybill.sources.tables import Sources
 
 FALLBACK_ENCODING = "ISO-8859-1"
+# What Spark's batch writers and its streaming file sink leave in a finished folder.
+COMMIT_MARKS = ("_SUCCESS", "_spark_metadata")
 
 # Fields of a CSV file that mean "missing".
 MISSING_FIELDS = [
@@ -85,13 +87,29 @@ def read_csv(
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end: a single file, or a folder with a
-    commit mark."""
+    commit mark of a batch or a streaming writer.
+
+    A folder that holds data without a mark raises an error, unless what it holds is
+    what ``Catalogue.materialise`` began; an empty folder counts as absent.
+    """
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(place):
         return False
-    return files.isFile(place) or files.exists(jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS"))
+    if files.isFile(place) or any(files.exists(jvm.org.apache.hadoop.fs.Path(place, m)) for m in COMMIT_MARKS):
+        return True
+    if not files.exists(_begun(spark, path)):
+        held = [f.getPath().getName() for f in files.listStatus(place)]
+        if any(not name.startswith(("_", ".")) for name in held):
+            raise ValueError(f"{path} holds data but no commit mark ({', '.join(COMMIT_MARKS)}): read it with commit_mark=False")
+    return False
+
+
+def _begun(spark: SparkSession, path: str):
+    """The mark beside a table that says that its conversion was begun and not ended."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f"_{place.getName()}.begun")
 
 
 @dataclass
@@ -146,14 +164,24 @@ class Catalogue:
     def materialise(self, name: str) -> bool:
         """Convert a CSV source to Parquet once; False when nothing was to do.
 
-        What an interrupted conversion left is written anew.
+        What an interrupted conversion left is written anew; other data is not
+        overwritten.
         """
         if self.parquet(name) is not None:
             return False
         source = self.csv(name)
         if source is None:
             return False
-        source.write.mode("overwrite").parquet(self.path(name, "parquet"))
+        path = self.path(name, "parquet")
+        begun = _begun(self.spark, path)
+        files = begun.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.create(begun, True).close()
+        source.write.mode("overwrite").parquet(path)
+        # Without a _SUCCESS (success marks can be off) the table has no mark to be read by.
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(path, COMMIT_MARKS[0])
+        if not files.exists(done):
+            files.create(done, True).close()
+        files.delete(begun, False)
         return True
 
     def materialise_all(self) -> list[str]:
