@@ -781,10 +781,10 @@ def text_routing(spark, folder):
 
 @register
 def text_routing_words(spark, folder):
-    """The built-in stems, worked into the texts."""
+    """The built-in stems, appended to the whole texts."""
     talks = spark.read.parquet(f"{folder}/conversations.parquet")
     asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("conv_id") % len(ASKED)).cast("int") + 1)
-    texts = talks.withColumn("text", F.concat_ws(" ", F.substring("text", 1, 20), asked))
+    texts = talks.withColumn("text", F.concat_ws(" ", "text", asked))
     return reports.tag_text(texts).select("conv_id", "turn", "route")
 
 
