@@ -39,7 +39,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*").match
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+").match
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
-_AUTHORITY = re.compile(r"[^\s/?#\"'<>]{0,2048}").match
+_AUTHORITY = re.compile(r"[^\s/?#\"'<>]*").match
 _GAP = re.compile(r"[ \t]{0,2}(?:(?:number|no|nr)\b\.?)?[ \t:#=.]{0,4}", re.IGNORECASE).match
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}").match
 _SSN = re.compile(r"([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])").match

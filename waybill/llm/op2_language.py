@@ -5,7 +5,7 @@ probabilities at every position, and a document's probabilities are the mean ove
 its positions.  Gates use piecewise linear activations, which cost little per byte.
 Training is backpropagation through time in numpy on the driver.
 
-The training sample is bounded: at most ``SAMPLE`` documents with a language outside
+The training sample is bounded: at most ``SAMPLE`` documents of each language outside
 the held-out fold, drawn by a hash, and of them ``STEPS`` batches of windows at random
 places, languages in equal parts.  All texts are labelled whole, in windows of
 ``WINDOW`` bytes that each start from a zero state.
@@ -16,7 +16,6 @@ row every text is ``und``.  One row comes back per document row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waybill.llm.common import documents, remainder, table
 from waybill.llm.recurrent import Adam, Gated
-from waybill.llm.sampling import sample
+from waybill.llm.sampling import sample_of_each
 from waybill.llm.words import buffers, slices
 
 FOLDS = 5
-SAMPLE = 3000
+SAMPLE = 750
 STEPS = 500
 BATCH = 256
 TRAIN_WINDOW = 48
@@ -41,7 +40,11 @@ RATE = 0.01
 SEED = 20261202
 UNDETERMINED = "und"
 _PAD = 256
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter; numerals such as ½ and ② are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -148,7 +151,7 @@ def pooled(network: Network, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
             p, _, _ = network.probabilities(data[place].astype(np.intp))
             sums = p.sum(axis=0)
         else:
-            block = np.where(inside, data[np.minimum(place, len(data) - 1)], _PAD).astype(np.intp)
+            block = np.where(inside, data[np.minimum(place, len(data) - 1)].astype(np.intp), _PAD)
             p, _, _ = network.probabilities(block)
             sums = np.where(inside[:, None, :], p, 0).sum(axis=0)
         for k in range(len(network.languages)):
@@ -164,7 +167,7 @@ class Reader:
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         strings = texts.to_pylist()
-        known = np.array([bool(t and _LETTER.search(t)) for t in strings], bool)
+        known = np.array([has_letter(t) for t in strings], bool)
         if self.network is None or not known.any():
             return [UNDETERMINED] * len(strings), np.zeros(len(strings))
         p = pooled(self.network, *buffers(texts))
@@ -174,11 +177,10 @@ class Reader:
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, most: int = SAMPLE) -> Network | None:
-    """A network trained on a bounded sample outside the held-out fold."""
+    """A network trained on at most ``most`` rows of each language outside the held-out fold."""
     rows = documents(docs, "doc_id", "text", "lang").filter(remainder(folds) != 0).filter("lang IS NOT NULL")
-    total = rows.select("doc_id").count()  # reads no text
-    got = sample(rows, total, most, "text", "lang", text=F.col("text"))
-    got = [(r.text.encode("utf-8", "replace"), r.lang) for r in got if r.text and _LETTER.search(r.text)]
+    got = sample_of_each(rows, "lang", most, "text", "lang", text=F.col("text"))
+    got = [(r.text.encode("utf-8", "replace"), r.lang) for r in got if has_letter(r.text)]
     return train([t for t, _ in got], [l for _, l in got])
 
 

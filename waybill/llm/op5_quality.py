@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waybill.llm.common import documents, partitions, remainder, stage, table
+from waybill.llm.common import documents, remainder, stage, table
 from waybill.llm.words import SPACED, buffers, slices, word_hashes, word_spans
 
 FOLDS = 5
@@ -142,7 +142,7 @@ def _added(parts: DataFrame, width: int) -> np.ndarray:
                 total += np.frombuffer(part.as_buffer(), np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    count = partitions(parts.sparkSession)
+    count = parts.rdd.getNumPartitions()
     while count > 16:
         count = -(-count // 16)
         parts = parts.repartition(count).mapInArrow(run, "part binary")

@@ -129,35 +129,37 @@ def _compared(dealt: DataFrame, cosine: float, tables: int, key: int) -> DataFra
     """(rep, n, root): links first met here, weighted by copies, and a link to a root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ("raw",)):
-            t, rep, copies = int(g["t"][0]), g["rep"], g["copies"]
-            raw = g["raw"].to_pylist()
-            if len({len(r) for r in raw}) > 1:
-                continue  # a chance meeting of two keys
-            units = unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1))
-            linked = (units @ units.T >= cosine) & (g["label"][:, None] == g["label"][None, :])
-            np.fill_diagonal(linked, False)
-            if g["i"][0] != g["j"][0]:
-                linked &= g["block"][:, None] != g["block"][None, :]
-            a, b = np.nonzero(np.triu(linked))
-            if not len(a):
-                continue
-            keys = bucket_keys(units, g["label"], tables, key)[:, :t]
-            fresh = np.ones(len(a), bool)
-            for start in range(0, len(a), 1 << 15):
-                part = slice(start, start + (1 << 15))
-                fresh[part] = ~(keys[a[part]] == keys[b[part]]).any(axis=1)
-            a, b = a[fresh], b[fresh]
-            if not len(a):
-                continue
-            n = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
-            linked[:] = False
-            linked[a, b] = linked[b, a] = True
-            root = rep[_forest(linked)]
-            some = n > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[some]), pa.array(n[some].astype(np.int64)), pa.array(root[some])], ["rep", "n", "root"]
-            )
+        # Keys of two lengths may meet by chance: each length is a group of its own.
+        for whole in groups(batches, ("raw",)):
+            raws = whole["raw"].to_pylist()
+            for at, units in _by_length(raws):
+                yield from links_of({c: v[at] for c, v in whole.items() if c != "raw"}, units)
+
+    def links_of(g: dict, units: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t, rep, copies = int(g["t"][0]), g["rep"], g["copies"]
+        linked = (units @ units.T >= cosine) & (g["label"][:, None] == g["label"][None, :])
+        np.fill_diagonal(linked, False)
+        if g["i"][0] != g["j"][0]:
+            linked &= g["block"][:, None] != g["block"][None, :]
+        a, b = np.nonzero(np.triu(linked))
+        if not len(a):
+            return
+        keys = bucket_keys(units, g["label"], tables, key)[:, :t]
+        fresh = np.ones(len(a), bool)
+        for start in range(0, len(a), 1 << 15):
+            part = slice(start, start + (1 << 15))
+            fresh[part] = ~(keys[a[part]] == keys[b[part]]).any(axis=1)
+        a, b = a[fresh], b[fresh]
+        if not len(a):
+            return
+        n = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
+        linked[:] = False
+        linked[a, b] = linked[b, a] = True
+        root = rep[_forest(linked)]
+        some = n > 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rep[some]), pa.array(n[some].astype(np.int64)), pa.array(root[some])], ["rep", "n", "root"]
+        )
 
     columns = ("key", "i", "j", "block", "t", "rep", "label", "copies", "raw")
     return dealt.select(*columns).mapInArrow(run, "rep long, n long, root long")

@@ -181,11 +181,19 @@ def _chosen_blocks(block: int) -> Column:
 
 
 def cut_text(text: Column) -> Column:
-    """A text ``rounds`` times over and its ``spans``, each part on lines of its own."""
+    """A text ``rounds`` times over and its ``spans``, each part on lines of its own.
+
+    The words are a lambda's variable: named inside it as an expression, they would be
+    split off the text again for every span.
+    """
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    pieces = F.transform(
-        "spans", lambda x: F.array_join(F.slice(words, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), " ")
-    )
+
+    def cut(own: Column) -> Column:
+        return F.transform(
+            "spans", lambda x: F.array_join(F.slice(own, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), " ")
+        )
+
+    pieces = F.element_at(F.transform(F.array(words), cut), 1)
     return F.array_join(F.concat(F.array_repeat(text, F.col("rounds").cast("int")), pieces), "\n")
 
 
