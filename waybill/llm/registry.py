@@ -17,6 +17,7 @@ from waybill.llm import (
     op8_language_model,
     op9_decontaminate,
     op10_tokens,
+    op13_conversations,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_scores": op8_language_model.query,
     "op9_contamination": op9_decontaminate.query,
     "op10_token_counts": op10_tokens.query,
+    "op13_conversation_repair": op13_conversations.query,
 }
 
 ORACLE: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLE: dict[str, str] = {
     "op6_vector_duplicates": op6_vector_duplicates.ORACLE_SQL,
     "op7_mix_sources": op7_mix.ORACLE_SQL,
     "op9_contamination": op9_decontaminate.ORACLE_SQL,
+    "op13_conversation_repair": op13_conversations.ORACLE_SQL,
 }
