@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waybill.session import stage
 
-__all__ = ["documents", "remainder", "table", "stage", "partitions"]
+__all__ = ["added", "documents", "remainder", "table", "stage", "partitions"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,3 +33,20 @@ def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, for ``repartition`` by a key."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def added(parts: DataFrame, width: int) -> np.ndarray:
+    """The sum of rows of ``width`` doubles, sixteen at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for part in batch.column(0):
+                total += np.frombuffer(part.as_buffer(), np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    count = parts.rdd.getNumPartitions()
+    while count > 16:
+        count = -(-count // 16)
+        parts = parts.repartition(count).mapInArrow(run, "part binary")
+    return sum((np.frombuffer(row.part, np.float64) for row in parts.collect()), np.zeros(width))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waybill.llm.common import documents, remainder, stage, table
+from waybill.llm.common import added, documents, remainder, stage, table
 from waybill.llm.words import SPACED, buffers, slices, word_hashes, word_spans
 
 FOLDS = 5
@@ -132,23 +132,6 @@ class Kernel:
         return np.round(np.clip(0.999 * level + 0.001 * np.clip((raw + 1) / 3, 0, 1), 0, 1), 9)
 
 
-def _added(parts: DataFrame, width: int) -> np.ndarray:
-    """The sum of rows of ``width`` doubles, sixteen at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for batch in batches:
-            for part in batch.column(0):
-                total += np.frombuffer(part.as_buffer(), np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
-
-    count = parts.rdd.getNumPartitions()
-    while count > 16:
-        count = -(-count // 16)
-        parts = parts.repartition(count).mapInArrow(run, "part binary")
-    return sum((np.frombuffer(row.part, np.float64) for row in parts.collect()), np.zeros(width))
-
-
 def _equations(train: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
     """The normal equations of the labelled rows, added up by task."""
     size = FEATURES + 1
@@ -161,7 +144,7 @@ def _equations(train: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray
             total[:, size] += z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    total = _added(train.mapInArrow(run, "part binary"), size * (size + 1)).reshape(size, size + 1)
+    total = added(train.mapInArrow(run, "part binary"), size * (size + 1)).reshape(size, size + 1)
     return total[:, :size], total[:, size]
 
 

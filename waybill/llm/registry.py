@@ -17,6 +17,7 @@ from waybill.llm import (
     op8_language_model,
     op9_decontaminate,
     op10_tokens,
+    op11_whitening,
     op13_conversations,
 )
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_scores": op8_language_model.query,
     "op9_contamination": op9_decontaminate.query,
     "op10_token_counts": op10_tokens.query,
+    "op11_whitening": op11_whitening.query,
     "op13_conversation_repair": op13_conversations.query,
 }
 
