@@ -152,39 +152,43 @@ def secular(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray, np.nd
     last_half = middle[-1] < 0
     low[-1], high[-1] = (gap[-1] / 2, gap[-1]) if last_half else (0.0, gap[-1] / 2)
     at = (low + high) / 2
-    near = np.arange(k)
-    split = np.arange(k)[None, :] <= near[:, None]
-    left_pole = poles[near, near]
-    right_pole = np.where(near + 1 < k, poles[near, np.minimum(near + 1, k - 1)], np.inf)
-    for _ in range(80):
-        apart = poles - at[:, None]
+    left_pole = np.where(right, -gap, 0.0)
+    # Without a pole to the right the step comes from the left one alone.
+    right_pole = np.append(np.where(right, 0.0, gap)[:-1], np.inf)
+    split = np.tri(k)
+    open_ = np.arange(k)
+    for _ in range(100):
+        x, pole, left = at[open_], poles[open_], split[open_]
+        apart = pole - x[:, None]
         term = rho * zz / apart
         slope = term / apart
         f = 1 + term.sum(axis=1)
-        low, high = np.where(f <= 0, at, low), np.where(f > 0, at, high)
-        # Left and right sums as s + r / (pole - x) with their own value and slope.
-        below, above = np.where(split, term, 0).sum(axis=1), np.where(split, 0, term).sum(axis=1)
-        below_slope, above_slope = np.where(split, slope, 0).sum(axis=1), np.where(split, 0, slope).sum(axis=1)
-        to_left = left_pole - at
-        to_right = np.where(np.isinf(right_pole), 1.0, right_pole - at)
+        below, below_slope = np.einsum("ij,ij->i", term, left), np.einsum("ij,ij->i", slope, left)
+        # No value can be told from zero below the rounding of its sum; terms on the left are negative.
+        wrong = np.abs(f) > 4 * _EPS * (f - 2 * below)
+        low[open_], high[open_] = np.where(f <= 0, x, low[open_]), np.where(f > 0, x, high[open_])
+        total, total_slope = f - 1, slope.sum(axis=1)
+        to_left, to_right = left_pole[open_] - x, right_pole[open_] - x
+        last = np.isinf(to_right)
+        to_right[last] = 0
+        # Each side as s + r / (pole - x) with its own value and slope, r = a or b:
+        # c + a / (to_left - step) + b / (to_right - step) = 0.
         a = below_slope * to_left * to_left
-        b = above_slope * to_right * to_right
-        c = 1 + (below - below_slope * to_left) + np.where(np.isinf(right_pole), above, above - above_slope * to_right)
-        # c + a / (to_left - e) + b / (to_right - e) = 0 for the step e.
+        b = (total_slope - below_slope) * to_right * to_right
+        c = 1 + total - below_slope * to_left - (total_slope - below_slope) * to_right
         p = -(c * (to_left + to_right) + a + b)
         q = c * to_left * to_right + a * to_right + b * to_left
         with np.errstate(all="ignore"):
-            root = np.sqrt(np.maximum(p * p - 4 * c * q, 0))
-            steps = np.stack([(-p - root) / (2 * c), (-p + root) / (2 * c), -q / p])
-            alone = to_left + a / c
-            steps = np.where(np.isinf(right_pole), alone, steps)
-            ok = (at + steps > low) & (at + steps < high)
-        step = np.where(ok[0], steps[0], np.where(ok[1], steps[1], np.where(ok[2], steps[2], (low + high) / 2 - at)))
-        new = at + step
-        done = np.abs(new - at) <= 4 * _EPS * np.abs(new)
-        at = new
-        if done.all():
+            half = -(p + np.copysign(np.sqrt(np.maximum(p * p - 4 * c * q, 0)), p)) / 2
+            one, two = np.where(last, to_left + a / c, half / c), q / half
+        lowest, highest = low[open_], high[open_]
+        new = np.where((x + two > lowest) & (x + two < highest), x + two, (lowest + highest) / 2)
+        new = np.where((x + one > lowest) & (x + one < highest), x + one, new)
+        wrong &= highest - lowest > 2 * _EPS * np.maximum(np.abs(lowest), np.abs(highest))
+        open_ = open_[wrong]
+        if not len(open_):
             break
+        at[open_] = new[wrong]
     away = poles - at[:, None]  # d[i] - root k, exact where they are near
     # The row for which the roots found are exact: each root is paired with a pole.
     before = np.arange(k)[:, None] < np.arange(k)[None, :]
