@@ -18,6 +18,7 @@ from waybill.llm import (
     op9_decontaminate,
     op10_tokens,
     op11_whitening,
+    op12_neighbours,
     op13_conversations,
 )
 
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_contamination": op9_decontaminate.query,
     "op10_token_counts": op10_tokens.query,
     "op11_whitening": op11_whitening.query,
+    "op12_neighbours": op12_neighbours.query,
     "op13_conversation_repair": op13_conversations.query,
 }
 
