@@ -172,7 +172,8 @@ class Centres:
     def _near(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         k = len(self.c)
         far = np.full((len(x), k), np.inf, np.float32)
-        far[:, self.entries] = distances(x, self.c[self.entries])
+        apart = x[:, None, :] - self.c[self.entries]
+        far[:, self.entries] = np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
         opened = np.zeros(far.shape, bool)
 
         def wave(bound: np.ndarray) -> bool:
