@@ -89,3 +89,64 @@ def test_posterior_bound_keeps_similar_pairs():
     assert len(op.survives(left, right, steps)) == len(left)
     assert len(op.survives(left, (rng.random(left.shape) > 0.4).astype(np.uint32), steps)) < 20
     assert [least for _, least in steps] == sorted(least for _, least in steps)
+
+
+def just_under(n, seed):
+    """Texts of one origin of which each two share somewhat less than the threshold."""
+    rng = random.Random(seed)
+    base = prose(40, 400, 10**9).split()
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for place in rng.sample(range(0, 400, 4), 11):
+            w[place] = f"own{k}x{place}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_forest_of_a_block_equals_all_pairs():
+    texts = just_under(60, 1) + just_under(60, 2)[:20] + [prose(5, 80)] * 2
+    sets = [np.array(sorted(hash(s) for s in shingles(t, 3)), np.int64) for t in texts]
+    sketch = op.Sketch(192)
+    signs = np.stack([sketch(np.unique(s.view(np.uint64))) for s in sets])
+    for percent in (75, 85):
+        steps = op.least_matches(percent, 192)
+        links = op.forest(signs, sets, np.arange(len(sets)), None, steps, percent)
+        assert len(links) < len(sets)
+        one = {i: {i} for i in range(len(sets))}
+        two = {i: {i} for i in range(len(sets))}
+
+        def join(groups, a, b):
+            both = groups[a] | groups[b]
+            for x in both:
+                groups[x] = both
+
+        for a, b in links:
+            join(one, a, b)
+        for a in range(len(sets)):
+            for b in range(a):
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                if 100 * len(x & y) >= percent * len(x | y):
+                    join(two, a, b)
+        assert one == two
+
+
+def test_near_copies_under_the_threshold_make_no_pair_rows(spark, monkeypatch):
+    counts = {}
+
+    def counted(df, label="stage"):
+        out = stage(df, label)
+        counts[label] = counts.get(label, 0) + out.count()
+        return out
+
+    stage = op.stage
+    monkeypatch.setattr(op, "stage", counted)
+    sizes = {}
+    for n in (150, 600):
+        counts.clear()
+        rows = [(k, t, "en", "a", 1) for k, t in enumerate(just_under(n, 8))]
+        found = got(documents(spark, rows))
+        assert len(found) == n
+        sizes[n] = dict(counts)
+    for label, many in sizes[600].items():
+        assert many <= 6 * max(sizes[150].get(label, 0), 40), (label, sizes)

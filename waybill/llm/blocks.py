@@ -18,14 +18,14 @@ from waybill.llm.common import partitions
 BLOCK = 256
 
 
-def block_pairs(members: DataFrame, member: str, size: int = BLOCK) -> DataFrame:
-    """``members`` (key, n, ...) dealt to their block pairs (key, i, j), sorted by them.
+def block_ids(members: DataFrame, member: str, size: int = BLOCK) -> DataFrame:
+    """``members`` (key, n, ...) with their block pairs (key, i, j), in no order.
 
     Column ``block`` tells a member's own block; in a group with i < j only members of
     different blocks are to be compared.
     """
     blocks = F.greatest(F.ceil(F.col("n") / size), F.lit(1)).cast("int")
-    dealt = (
+    return (
         members.withColumn("_blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64(F.lit("block"), member), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -33,6 +33,11 @@ def block_pairs(members: DataFrame, member: str, size: int = BLOCK) -> DataFrame
         .withColumn("j", F.greatest("block", "_other"))
         .drop("_blocks", "_other")
     )
+
+
+def block_pairs(members: DataFrame, member: str, size: int = BLOCK) -> DataFrame:
+    """``block_ids`` with every block pair together in a task, sorted by it."""
+    dealt = block_ids(members, member, size)
     count = partitions(members.sparkSession)
     return dealt.repartition(count, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 

@@ -9,9 +9,10 @@
    if the posterior probability (uniform prior) that its similarity reaches the
    threshold is below ``MISS``.  Survivors are verified exactly on their full sets.
 4. Each class is tried with its smallest pivot first and, if that does not link it, with
-   its other pivots.  Where a bucket still holds classes of several components, they are
-   compared block by block, pruned in the task in the same way, and verified.  So no pair of different components that shares a bucket is left
-   out, and no bucket is expanded into all its pairs.
+   its other pivots.  Where a bucket still holds classes of several components, they meet
+   block by block with their full sets: a task prunes, verifies and gives back a spanning
+   forest.  So no pair of different components that shares a bucket is left out, and no
+   pair beyond a class's pivots ever becomes a row.
 
 A text without words, empty or null has no shingles and links with nothing; with fewer
 words than a shingle takes, the whole sequence is one shingle.  Rows without an id keep
@@ -28,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waybill.llm.blocks import block_pairs, fixed, groups
-from waybill.llm.common import documents, stage, table
+from waybill.llm.blocks import block_ids, fixed, groups
+from waybill.llm.common import documents, partitions, stage, table
 from waybill.llm.graph import components, roots
 from waybill.llm.words import hashed, mix, slices
 
@@ -43,6 +44,9 @@ SEED = 20261201
 # Bits of the filter that spares documents without candidates the second reading.
 FILTER_BITS = 1 << 24
 _BITMAP = 32768
+# A block of a bucket: so many members, and about so many bytes of their sets.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 
 
 def bands_for(percent: int, miss: float = BAND_MISS) -> tuple[int, int]:
@@ -200,53 +204,111 @@ def _pruned(pairs: DataFrame, signs: DataFrame, steps: list[tuple[int, int]]) ->
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _full_sets(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The whole shingle set of every document in a pair."""
+def _full_sets(ids: DataFrame, docs: DataFrame, words: int, packed: bool = False) -> DataFrame:
+    """doc_id and the whole shingle set of every document named by ``ids`` (id), maybe repeated.
+
+    ``packed`` sets are bytes of sorted 64-bit numbers instead of arrays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), words)]
-            cuts = np.cumsum([0, *map(len, sets)])
-            flat = pa.array(np.concatenate(sets) if sets else [], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "shingles"])
+            if packed:
+                column = pa.array([s.tobytes() for s in sets], pa.binary())
+            else:
+                cuts = np.cumsum([0, *map(len, sets)])
+                flat = pa.array(np.concatenate(sets) if sets else [], pa.int64())
+                column = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "shingles"])
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     some = IdFilter(ids, "id").select(documents(docs, "doc_id", "text"), "doc_id")
-    sets = some.mapInArrow(run, "doc_id long, shingles array<long>")
+    sets = some.mapInArrow(run, f"doc_id long, shingles {'binary' if packed else 'array<long>'}")
     sets = sets.join(ids.distinct(), sets["doc_id"] == F.col("id"), "left_semi")
     return stage(sets.dropDuplicates(["doc_id", "shingles"]), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sets = _full_sets(ids, docs, words)
     joined = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     union = F.size("xa") + F.size("xb") - common
     return joined.filter(100 * common.cast("long") >= percent * union.cast("long")).select("a", "b")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, signs: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """Surviving pairs of different components that share a bucket."""
+def forest(
+    signs: np.ndarray, sets: list[np.ndarray], label: np.ndarray, block: np.ndarray | None, steps: list[tuple[int, int]], percent: int
+) -> list[tuple[int, int]]:
+    """Links (places) that join all components of the members which true pairs connect.
+
+    Each member is compared with all later ones of other components: signatures batch by
+    batch first, then the full sets of the survivors, all in a few array operations.
+    Members that one component holds by now are not compared again.  With ``block`` only
+    pairs of different blocks count; the rest meet in other groups.
+    """
+    root = np.unique(label, return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    _, flat = np.unique(flat, return_inverse=True)
+    marked = np.zeros(len(flat) + 1, bool)
+    links = []
+    for k in range(len(sets) - 1):
+        left = np.flatnonzero(root[k + 1 :] != root[k]) + k + 1
+        if block is not None:
+            left = left[block[left] != block[k]]
+        matches, done = np.zeros(len(left), np.int64), 0
+        for n, least in steps:
+            if not len(left):
+                break
+            matches += (signs[left, done:n] == signs[k, done:n]).sum(axis=1)
+            left, matches, done = left[matches >= least], matches[matches >= least], n
+        if not len(left):
+            continue
+        own = flat[starts[k] : starts[k] + sizes[k]]
+        marked[own] = True
+        many = sizes[left]
+        at = np.arange(many.sum()) + np.repeat(starts[left] - (np.cumsum(many) - many), many)
+        common = np.add.reduceat(marked[flat[at]].astype(np.int64), np.cumsum(many) - many)
+        marked[own] = False
+        near = left[100 * common >= percent * (many + sizes[k] - common)]
+        for place in np.unique(root[near], return_index=True)[1]:
+            links.append((k, int(near[place])))
+        root[np.isin(root, root[near])] = root[k]
+    return links
+
+
+def _unsettled(
+    members: DataFrame, labels: DataFrame, signs: DataFrame, docs: DataFrame, words: int, steps: list[tuple[int, int]], percent: int
+) -> DataFrame:
+    """Links (a, b) that join the components which share a bucket; no pair is a row.
+
+    The full sets travel with the members, so that a task prunes and verifies its block
+    pairs and gives back a spanning forest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ("signature",)):
-            signs, rep, label = fixed(g["signature"], np.uint32), g["rep"], g["label"]
-            first, second = np.triu_indices(len(rep), 1)
-            ok = label[first] != label[second]
-            if g["i"][0] != g["j"][0]:
-                ok &= g["block"][first] != g["block"][second]
-            first, second = first[ok], second[ok]
-            alive = survives(signs[first], signs[second], steps)
-            a, b = rep[first[alive]], rep[second[alive]]
+        for g in groups(batches, ("signature", "shingles")):
+            signs, rep = fixed(g["signature"], np.uint32), g["rep"]
+            sets = [np.frombuffer(s.as_buffer(), np.int64) for s in g["shingles"]]
+            block = g["block"] if g["i"][0] != g["j"][0] else None
+            found = np.array(forest(signs, sets, g["label"], block, steps, percent), np.int64).reshape(-1, 2)
+            a, b = rep[found[:, 0]], rep[found[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     marked = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_ = marked.groupBy("key").agg(F.count("rep").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    open_ = open_.filter("n > 1 AND x <> y").select("key", "n")
-    unsettled = stage(marked.join(open_, "key").select("key", "n", "rep", "label"), "unsettled")
-    dealt = block_pairs(unsettled.join(signs, "rep"), "rep")
-    return dealt.select("key", "i", "j", "block", "rep", "label", "signature").mapInArrow(run, "a long, b long")
+    open_ = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    unsettled = stage(marked.join(open_, "key").select("key", "rep", "label"), "unsettled")
+    sets = _full_sets(unsettled.select(F.col("rep").alias("id")), docs, words, packed=True).toDF("rep", "shingles")
+    sets = sets.filter(F.length("shingles") > 0)
+    # Blocks of a bucket are bounded by members and by bytes.
+    sized = unsettled.join(sets.select("rep", F.length("shingles").alias("bytes")), "rep")
+    weight = F.greatest(F.count("rep"), F.ceil(F.sum("bytes") * BLOCK / BLOCK_BYTES))
+    dealt = block_ids(unsettled.join(sized.groupBy("key").agg(weight.alias("n")), "key"), "rep", BLOCK)
+    whole = dealt.join(signs, "rep").join(sets, "rep")
+    count = partitions(members.sparkSession)
+    whole = whole.repartition(count, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return whole.select("key", "i", "j", "block", "rep", "label", "signature", "shingles").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -266,14 +328,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     star = stage(star, "star")
     # One pair a class settles most; a class it does not link tries its other pivots.
     first = stage(_pruned(star.groupBy("a").agg(F.min("b").alias("b")), signs, steps), "pairs")
-    links = stage(_verified(first, _full_sets(first, docs, words), percent), "verified")
+    links = stage(_verified(first, docs, words, percent), "verified")
     labels = roots(links)
-    others = star.join(links.select("a"), "a", "left_anti")
-    for pairs in (lambda: _pruned(others, signs, steps), lambda: _unsettled(members, labels, signs, steps).distinct()):
-        more = stage(pairs(), "pairs")
-        if not more.isEmpty():
-            linked = _verified(more, _full_sets(more, docs, words), percent)
-            labels = components(labels.toDF("a", "b").unionByName(linked))
+    others = stage(_pruned(star.join(links.select("a"), "a", "left_anti"), signs, steps), "pairs")
+    if not others.isEmpty():
+        labels = components(labels.toDF("a", "b").unionByName(_verified(others, docs, words, percent)))
+    more = stage(_unsettled(members, labels, signs, docs, words, steps, percent), "links")
+    if not more.isEmpty():
+        labels = components(labels.toDF("a", "b").unionByName(more))
     named = classes.select("k1", "k2", "rep").join(labels.toDF("rep", "label"), "rep", "left")
     named = named.select("k1", "k2", F.coalesce("label", "rep").alias("label"))
     found = sketches.drop("signature").join(named, ["k1", "k2"], "left")
