@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,11 +67,45 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/waybill-{application}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark reaches; one that is absent is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has staged; DataFrames that read it end with it."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/waybill-{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_path(spark, f"{shared_dir(spark)}/waybill-{spark.sparkContext.applicationId}")
+
+
+# The folders staged in each scope that is open, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete on leaving what was staged inside, whether or not it ends well.
+
+    Yields ``keep(df, label)``, which stages a result beyond the scope: what is returned
+    from inside must read kept tables and the caller's own only.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+
+    def keep(df: DataFrame, label: str = "kept") -> DataFrame:
+        path = scratch_path(spark, label)
+        depth = next(k for k, scope in enumerate(_scopes) if scope is own)
+        if depth:
+            _scopes[depth - 1].append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        _scopes[:] = [scope for scope in _scopes if scope is not own]
+        for path in own:
+            delete_path(spark, path)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -79,5 +115,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     of recomputing (and possibly re-partitioning) everything before this point.
     """
     path = scratch_path(df.sparkSession, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
