@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again for the next one.  All but the last return the columns of the
-documents they were given, in their order.
+documents they were given, in their order.  What a stage decides is kept as a narrow
+table of ids; everything else it staged is deleted before it returns.
+
+Defined results: rows without id pass every stage but the personal data, which are
+replaced in them too.  Null and empty texts are scored as empty texts, have no near
+duplicates, no passage and nothing to replace, and the mix takes nothing of them.  If an
+id repeats, a refusal of one of its rows refuses all of them; of rows of one id that all
+stay, the near-duplicate stage keeps the one whose text has the least digest.
 """
 
 from __future__ import annotations
@@ -11,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waybill.llm import op1_pii, op3_near_duplicates, op5_quality, op7_mix, op9_decontaminate
 from waybill.llm.common import stage, table
+from waybill.session import delete_path, scratch_path, scratch_scope
 
 # Near duplicates are documents that share four fifths of their runs of five words.
 NEAR_WORDS = 5
@@ -24,25 +32,34 @@ def _without(docs: DataFrame, refused: DataFrame) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that the quality classifier rejects."""
-    scores = op5_quality.quality(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scores.filter("predicted = 0"))
+    with scratch_scope(spark) as keep:
+        scores = op5_quality.quality(docs, table(spark, sf_dir, "labels"))
+        refused = keep(scores.filter("predicted = 0").select("doc_id"), "poor")
+    return _without(docs, refused)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, and one row of its id."""
-    found = stage(op3_near_duplicates.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT), "found")
+    with scratch_scope(spark) as keep:
+        found = keep(op3_near_duplicates.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT), "found")
     kept = _without(docs, found.filter("NOT kept"))
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(again)
+    # The same row whatever the order they come in; equal digests are equal rows.
+    digest = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))), 256)
+    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), digest).alias("_row")
+    )
+    return _without(kept, repeated).unionByName(again.select("_row.*").select(docs.columns))
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that hold a benchmark passage."""
-    found = op9_decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated"))
+    with scratch_scope(spark) as keep:
+        found = op9_decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+        refused = keep(found.filter("contaminated").select("doc_id"), "contaminated")
+    return _without(docs, refused)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,8 +99,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of a folder; each output goes once the next is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, path = path, scratch_path(spark, name.replace(" ", "-"))
+        step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
