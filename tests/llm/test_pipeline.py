@@ -7,6 +7,7 @@ from tests.llm.test_op1 import base
 from tests.llm.test_op3 import brute as brute_near
 from tests.llm.test_op9 import brute as brute_hits
 from waybill.llm import op5_quality
+from waybill.llm.common import stage
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +38,7 @@ def test_stages_keep_columns_and_take_effect(spark, folder):
     text = {r[0]: r[1] for r in rows}
     for name, step in pipeline.STAGES[:-1]:
         before = docs.select("doc_id", "text").collect()
-        docs = pipeline.stage(step(spark, docs, out), "test")
+        docs = stage(step(spark, docs, out), "test")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", "score"], name
         kept = ids(docs)
         given = [(r.doc_id, r.text) for r in before]
@@ -71,7 +72,7 @@ def test_run_equals_the_stages(spark, folder):
     out, _, _ = folder
     docs = spark.read.parquet(f"{out}/documents.parquet")
     for _, step in pipeline.STAGES:
-        docs = pipeline.stage(step(spark, docs, out), "test")
+        docs = stage(step(spark, docs, out), "test")
     pick = ("doc_id", "text", "size", "target", "taken")
     assert sorted(map(repr, pipeline.run(spark, out).select(*pick).collect())) == sorted(map(repr, docs.select(*pick).collect()))
 
