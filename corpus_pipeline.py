@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waybill.llm import op1_pii, op3_near_duplicates, op5_quality, op7_mix, op9_decontaminate
-from waybill.llm.common import stage, table
+from waybill.llm.common import small_batches, table
 from waybill.session import delete_path, scratch_path, scratch_scope
 
 # Near duplicates are documents that share four fifths of their runs of five words.
@@ -32,7 +32,7 @@ def _without(docs: DataFrame, refused: DataFrame) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that the quality classifier rejects."""
-    with scratch_scope(spark) as keep:
+    with scratch_scope(spark) as keep, small_batches(spark):
         scores = op5_quality.quality(docs, table(spark, sf_dir, "labels"))
         refused = keep(scores.filter("predicted = 0").select("doc_id"), "poor")
     return _without(docs, refused)
@@ -40,7 +40,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, and one row of its id."""
-    with scratch_scope(spark) as keep:
+    with scratch_scope(spark) as keep, small_batches(spark):
         found = keep(op3_near_duplicates.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT), "found")
     kept = _without(docs, found.filter("NOT kept"))
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
@@ -56,7 +56,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that hold a benchmark passage."""
-    with scratch_scope(spark) as keep:
+    with scratch_scope(spark) as keep, small_batches(spark):
         found = op9_decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
         refused = keep(found.filter("contaminated").select("doc_id"), "contaminated")
     return _without(docs, refused)
