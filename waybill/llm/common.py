@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waybill.session import stage
 
-__all__ = ["added", "documents", "remainder", "table", "stage", "partitions"]
+__all__ = ["added", "documents", "remainder", "table", "small_batches", "stage", "partitions"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +31,19 @@ def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(text.cast("binary")) % modulus
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Arrow batches of fewer rows for the jobs run inside: with whole texts and sets in
+    a row, the usual ten thousand take much memory in the executor and its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, for ``repartition`` by a key."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waybill.llm.blocks import block_ids, fixed, groups
-from waybill.llm.common import documents, partitions, stage, table
+from waybill.llm.common import documents, partitions, small_batches, stage, table
 from waybill.llm.graph import components, roots
 from waybill.llm.words import hashed, mix, slices
 
@@ -46,7 +46,7 @@ FILTER_BITS = 1 << 24
 _BITMAP = 32768
 # A block of a bucket: so many members, and about so many bytes of their sets.
 BLOCK = 1024
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def bands_for(percent: int, miss: float = BAND_MISS) -> tuple[int, int]:
@@ -313,6 +313,11 @@ def _unsettled(
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     bands, rows = bands_for(percent)
     hashes = -(-bands * rows // BATCH) * BATCH
     steps = least_matches(percent, hashes)
