@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Collection, Iterator
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Words that end a query, as whole words.
 FORBIDDEN = ("drop", "update", "delete", "insert", "alter", "create", "replace")
-# Words that would call arbitrary code or build a table name at run time.
-UNSAFE = ("reflect", "try_reflect", "java_method", "identifier")
+# Where expressions of built-in functions live, and those of them that reach outside the
+# query: code of any class, functions of the session's users, names of stored files.
+BUILT_IN = "org.apache.spark.sql.catalyst."
+OUTSIDE = frozenset(
+    ("CallMethodViaReflection", "TryReflect", "ScalaUDF", "ScalaAggregator", "ScalaUDAF", "PythonUDF", "PythonUDAF",
+     "InputFileName", "InputFileBlockStart", "InputFileBlockLength")
+)
+# Nodes without a child that read no stored data.
+LEAVES = frozenset(("OneRowRelation", "LocalRelation", "Range", "CTERelationRef"))
 
 # What the letters of a strftime format stand for, as Spark patterns.
 STRFTIME_PATTERNS = {
@@ -86,22 +95,50 @@ def check(sql: str) -> str:
         raise RefusedQuery("only SELECT statements are run")
     if ";" in bare:
         raise RefusedQuery("one statement at a time")
-    refused = sorted({*FORBIDDEN, *UNSAFE} & set(words))
+    refused = sorted({*FORBIDDEN} & set(words))
     if refused:
         raise RefusedQuery(f"not allowed in a read-only query: {', '.join(refused)}")
     return statement
 
 
-def _refuse_other_tables(session: SparkSession, statement: str) -> None:
-    """Stored tables of the session's catalogs are out of reach, too."""
-    bare = _bare(statement)
-    homes = {d.name.lower() for d in session.catalog.listDatabases()}
-    homes |= {c.name.lower() for c in session.catalog.listCatalogs()} | {"global_temp"}
-    stored = {t.name.lower() for t in session.catalog.listTables() if not t.isTemporary}
-    named = set(re.findall(r"\b([a-z_]\w*)\s*\.", bare)) & homes
-    named |= set(re.findall(r"(?:\bfrom|\bjoin|\btable|,)(?=[\s(]*([a-z_]\w*))", bare)) & stored
-    if named:
-        raise RefusedQuery(f"only the registered views can be read, not {', '.join(sorted(named))}")
+def _items(sequence) -> Iterator:
+    """The elements of a Scala sequence."""
+    return (sequence.apply(k) for k in range(sequence.size()))
+
+
+def _expressions(plan) -> Iterator:
+    """All expressions of one node of a plan, those inside others, too."""
+    open_ = list(_items(plan.expressions()))
+    while open_:
+        expression = open_.pop()
+        yield expression
+        open_ += _items(expression.children())
+
+
+def _refuse_beyond(plan, views: Collection[str]) -> None:
+    """Raise unless the analysed plan reads nothing but the views and calls nothing outside.
+
+    Names are resolved by then, so aliases, quoted names, common table expressions,
+    subqueries anywhere and names made at run time cannot hide a table.
+    """
+    named = {name.lower() for name in views}
+    open_ = [plan]
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName().rstrip("$")
+        if kind == "View":
+            identifier = node.desc().identifier()
+            if identifier.database().isEmpty() and identifier.table().lower() in named:
+                continue  # what a registered view reads is its owner's choice
+            raise RefusedQuery(f"only the registered views can be read, not {identifier.table()}")
+        children = [*_items(node.children()), *_items(node.subqueries())]
+        if node.children().isEmpty() and kind not in LEAVES:
+            raise RefusedQuery(f"only the registered views can be read, not a {kind}")
+        for expression in _expressions(node):
+            group, _, name = expression.getClass().getName().rpartition(".")
+            if name.rstrip("$") in OUTSIDE or not group.startswith(BUILT_IN):
+                raise RefusedQuery(f"not allowed in a read-only query: {expression.prettyName()}")
+        open_ += children
 
 
 def query(sql: str, **views: DataFrame) -> DataFrame:
@@ -123,8 +160,12 @@ def query(sql: str, **views: DataFrame) -> DataFrame:
             # same plan as the caller's, possibly cached, table.
             df.filter(F.lit(True)).createGlobalTempView(shared[name])
             session.sql(f"CREATE TEMPORARY VIEW {name} AS SELECT * FROM global_temp.{shared[name]}")
-        _refuse_other_tables(session, statement)
-        return session.sql(statement)
+        parsed = session._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+        if is_instance_of(spark.sparkContext._gateway, parsed, "org.apache.spark.sql.catalyst.plans.logical.Command"):
+            raise RefusedQuery("only SELECT statements are run")
+        found = session.sql(statement)  # analysed only, as it is no command
+        _refuse_beyond(found._jdf.queryExecution().analyzed(), views)
+        return found
     finally:
         for name in shared.values():
             spark.catalog.dropGlobalTempView(name)
