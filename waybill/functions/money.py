@@ -25,14 +25,25 @@ def from_cents(total: Column) -> Column:
     return total / F.lit(100.0)
 
 
-def money_sum(amount: Column) -> Column:
-    """Sum of an amount column; a sum over nothing is 0, not null."""
+def money_parts(amount: Column) -> tuple[Column, Column]:
+    """Sums of whole units and of millionths; stored, they can be added up further."""
     known = to_number(amount)
+    return (
+        F.sum(F.floor(known).cast("long")),
+        F.sum(F.rint((known - F.floor(known)) * float(10**DECIMALS)).cast("long")),
+    )
+
+
+def money_total(units: Column, parts: Column) -> Column:
+    """The amount that units and millionths make; nothing makes 0, not null."""
     scale = float(10**DECIMALS)
-    units = F.sum(F.floor(known).cast("long"))
-    parts = F.sum(F.rint((known - F.floor(known)) * scale).cast("long"))
     return F.coalesce((units * scale + parts) / scale, F.lit(0.0))
 
 
+def money_sum(amount: Column) -> Column:
+    """Sum of an amount column; a sum over nothing is 0, not null."""
+    return money_total(*money_parts(amount))
+
+
 def money_sum_where(condition: Column, amount: Column) -> Column:
     return money_sum(F.when(condition, amount))
