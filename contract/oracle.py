@@ -197,6 +197,9 @@ FROM (SELECT * FROM s_orders WHERE order_status = 'delivered'
 _on_facts("date_bounds",
           "SELECT min(purchase_date) AS min_date, max(purchase_date) AS max_date FROM facts")
 
+ORACLE["facts_refreshed"] = ORACLE["facts_table"]
+ORACLE["date_bounds_stored"] = ORACLE["date_bounds"]
+
 # --- sales -------------------------------------------------------------------
 
 _on_facts("home_metrics", f"""
@@ -204,6 +207,16 @@ SELECT count(DISTINCT order_id) AS orders,
        round(100 * avg(CASE WHEN on_time THEN 1.0 ELSE 0.0 END), 6) AS on_time_pct,
        {REVENUE} AS revenue
 FROM facts""")
+_on_facts("period_metrics_stored", f"""
+SELECT customer_state, count(DISTINCT order_id) AS orders,
+       round(100 * avg(CASE WHEN on_time THEN 1.0 ELSE 0.0 END), 6) AS on_time_pct, {REVENUE} AS revenue, TRUE AS within_bound
+FROM facts WHERE {_PERIOD} GROUP BY customer_state""")
+_on_facts("delivery_box_stored", """
+SELECT review_score, count(*) AS orders, TRUE AS q1_near, TRUE AS median_near, TRUE AS q3_near
+FROM facts WHERE review_score IS NOT NULL AND delivery_time_h IS NOT NULL GROUP BY review_score""")
+_on_facts("delivery_histogram_stored", """
+SELECT CAST(b AS INTEGER) AS bin, count(delivery_time_h) AS rows, TRUE AS within_bound
+FROM range(40) r(b) LEFT JOIN facts ON floor(delivery_time_h / 24) = b GROUP BY b""")
 _on_facts("kpis", f"{_KPIS} FROM facts")
 _on_facts("kpis_of_period", f"{_KPIS} FROM facts WHERE {_PERIOD}")
 _on_facts("kpis_last_year",
@@ -675,7 +688,7 @@ _STEMS = [
 ]
 ORACLE["text_routing_words"] = f"""
 SELECT conv_id, turn, {_routes("text", _STEMS, "kpis")}
-FROM (SELECT conv_id, turn, substring(text, 1, 20) || ' ' || (['KPI за рік', 'Динаміка продажів', 'time series please',
+FROM (SELECT conv_id, turn, text || ' ' || (['KPI за рік', 'Динаміка продажів', 'time series please',
   'Скільки Оплат', 'installments', 'Відгуки', 'NPS now', 'RFM', 'сегменти', 'Late deliveries', 'простроченi',
   'nothing at all'])[conv_id % 12 + 1] AS text FROM conversations)"""
 
@@ -746,7 +759,6 @@ ORACLE["hot_order_reviews"] = """
 WITH reviews AS (
   SELECT * FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_orderkey END AS order_id,
                         1 + o_orderkey * 31 % 5 AS score FROM orders)
-  WHERE order_id % 7 <> 2
 )
 SELECT o_orderstatus AS status, o_custkey % 10 AS ring, count(*) AS rows, count(score) AS reviews,
        CAST(sum(score) AS BIGINT) AS score, CAST(1 AS BIGINT) AS hot_keys

@@ -8,10 +8,10 @@ in cents times two percentages has six decimals, so it is never cut at a tie.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from waybill.functions.money import money_sum
 from waybill.operators import classification, filters
@@ -19,14 +19,15 @@ from waybill.operators.columns import fill_measures, repair_facts, with_customer
 from waybill.operators.skew import frequent_keys, left_join_apart
 from waybill.operators.topk import newest, oldest
 from waybill.plans import (
-    basket, delivery, geo, payments, reports, reviews, rfm, risk, scenarios, sql_view, trends,
+    basket, delivery, geo, payments, reports, reviews, rfm, risk, scenarios, sketches, sql_view, trends,
 )
 from waybill.plans.facts import build_facts
 from waybill.schemas import SOURCE_SCHEMAS
 from waybill.session import scratch_path
 from waybill.sources import marketplace
 from waybill.sources.catalogue import Catalogue, count_rows
-from waybill.sources.sinks import read_facts, write_facts
+from waybill.sources.refresh import StoredFacts
+from waybill.sources.sinks import read_facts, stored_date_bounds, write_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,8 @@ QUERIES: dict[str, Query] = {}
 PERIOD = (date(1996, 3, 1), date(1998, 9, 15))
 YEAR = 1997
 NEWEST = 10_000
+# From when on payments and reviews, and orders, come in a second delivery.
+DELIVERIES = (datetime(2001, 7, 5), datetime(2001, 7, 20))
 BASKET_SUPPORT = 0.015
 
 
@@ -56,12 +59,12 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 def placed(df: DataFrame) -> DataFrame:
     """Add the row's place in the order the report gives, so that sorts are compared.
 
-    The reports sorted here have one row per type, score or day.
+    The reports sorted here have one row per type, score or day, so their place can be
+    counted in one task.
     """
-    spark = df.sparkSession
-    rows = [(k, *row) for k, row in enumerate(df.collect())]
-    kinds = ", ".join(["place int", *(f"`{n}` {k}" for n, k in df.dtypes)])
-    return spark.createDataFrame(rows, kinds)
+    numbered = df.withColumn("place", F.monotonically_increasing_id())
+    place = (F.row_number().over(Window.orderBy("place")) - 1).cast("int")
+    return numbered.select(place.alias("place"), *df.columns)
 
 
 def text_time(df: DataFrame) -> DataFrame:
@@ -85,7 +88,9 @@ def source_counts(spark, folder):
 
 @register
 def facts_table(spark, folder):
-    return text_time(rounded(facts_of(spark, folder), "delivery_time_h", "delay_h"))
+    """All facts, after frequent orders have been looked for in the reviews."""
+    facts = build_facts(marketplace.load(spark, folder, look_up=True))
+    return text_time(rounded(facts, "delivery_time_h", "delay_h"))
 
 
 @register
@@ -139,6 +144,33 @@ def facts_from_sink(spark, folder):
     return rounded(trends.kpis(filters.in_period(stored, *PERIOD)), "aov", "on_time_rate")
 
 
+@register
+def facts_refreshed(spark, folder):
+    """All facts from a stored table that late files of all sources have brought up to date.
+
+    Reviews and payments of the last purchases arrive in a second delivery, as do the
+    orders of the last days; only the months they touch are rebuilt.
+    """
+    root = scratch_path(spark, "deliveries")
+    src = marketplace.load(spark, folder)
+    late = src.orders.select("order_id", (F.col("order_purchase_timestamp") >= F.lit(DELIVERIES[0])).alias("late"))
+    stored = StoredFacts(
+        spark, root, f"{root}/facts", {name: getattr(src, name).schema for name in SOURCE_SCHEMAS}
+    )
+    for second in (False, True):
+        for name in SOURCE_SCHEMAS:
+            rows = getattr(src, name)
+            if name == "orders":
+                rows = rows.filter((F.col("order_purchase_timestamp") >= F.lit(DELIVERIES[1])) == second)
+            elif name in ("payments", "reviews"):
+                rows = rows.join(late.filter(F.col("late") == second), "order_id", "left_semi")
+            elif second:
+                continue
+            rows.write.mode("append").parquet(f"{root}/{name}")
+        stored.refresh()
+    return text_time(rounded(stored.read(), "delivery_time_h", "delay_h"))
+
+
 @register
 def orders_from_csv(spark, folder):
     """Orders written as CSV, found by the catalogue, converted once to Parquet."""
@@ -196,14 +228,15 @@ def absent_sources(spark, folder):
 
 @register
 def hot_order_reviews(spark, folder):
-    """Every third review belongs to one order; its key is dealt over several tasks."""
+    """Every third review belongs to one order, the orders they came from have none; the
+    key of that order is dealt over several tasks."""
     orders = spark.read.parquet(f"{folder}/orders.parquet").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status"), "o_custkey"
     )
     reviews = orders.select(
         F.when(F.col("order_id") % 3 == 0, 1).otherwise(F.col("order_id")).cast("bigint").alias("order_id"),
         (1 + F.col("order_id") * 31 % 5).alias("score"),
-    ).filter("order_id % 7 <> 2")
+    )
     # A fifth of all rows is too much for a task, whatever the number of partitions.
     fifth = 0.2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = frequent_keys(reviews, "order_id", tasks=fifth, rows=50)
@@ -219,6 +252,15 @@ def date_bounds(spark, folder):
     return filters.date_bounds(facts_of(spark, folder, "purchase_date"))
 
 
+@register
+def date_bounds_stored(spark, folder):
+    """The same of a stored fact table, from the statistics in its files."""
+    path = scratch_path(spark, "facts")
+    facts = facts_of(spark, folder, "ym", "purchase_date")
+    write_facts(facts, path)
+    return stored_date_bounds(spark, path, facts.schema)
+
+
 # --- sales -------------------------------------------------------------------
 
 
@@ -229,6 +271,65 @@ def home_metrics(spark, folder):
     )
 
 
+def _summaries(spark, folder, facts: DataFrame, make, columns: str) -> DataFrame:
+    """Summaries written by month and read back."""
+    path = scratch_path(spark, "summaries")
+    sketches.write_summaries(make(facts), path)
+    return sketches.read_summaries(spark, path, columns)
+
+
+@register
+def period_metrics_stored(spark, folder):
+    """Home figures per state of a period from stored summaries, beside the exact count."""
+    facts = facts_of(spark, folder, "purchase_dt", "purchase_date", "ym", "customer_state", "on_time", "gross_revenue")
+    days = _summaries(spark, folder, facts, sketches.day_summaries, sketches.DAY_COLUMNS)
+    found = sketches.metrics(sketches.in_days(days, *PERIOD), ["customer_state"]).withColumnRenamed("orders", "estimate")
+    exact = filters.in_period(facts, *PERIOD).groupBy("customer_state").agg(F.count_distinct("order_id").alias("orders"))
+    off = F.abs(F.col("estimate") - F.col("orders"))
+    return rounded(found, "on_time_pct").join(exact, "customer_state").select(
+        "customer_state", "orders", "on_time_pct", "revenue",
+        (off <= sketches.distinct_bound() * F.col("orders")).alias("within_bound"),
+    )
+
+
+def _rank_is_near(facts: DataFrame, box: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Per score whether each estimated quantile has a rank within the bound."""
+    x, bound = F.col("delivery_time_h"), F.lit(sketches.rank_bound())
+    joined = facts.join(F.broadcast(box), "review_score")  # one row per score
+    counts = joined.groupBy("review_score", "n").agg(
+        *(F.count_if(x < F.col(q)).alias(f"{q}_below") for q in shares), *(F.count_if(x <= F.col(q)).alias(f"{q}_upto") for q in shares)
+    )
+    near = (
+        ((F.col(f"{q}_below") / F.col("n") <= share + bound) & (F.col(f"{q}_upto") / F.col("n") >= share - bound)).alias(f"{q}_near")
+        for q, share in shares.items()
+    )
+    return counts.select("review_score", F.col("n").alias("orders"), *near)
+
+
+@register
+def delivery_box_stored(spark, folder):
+    """Quartiles of the delivery hours per score from stored monthly sketches, their ranks checked."""
+    facts = facts_of(spark, folder, "ym", "review_score", "delivery_time_h").filter("review_score IS NOT NULL")
+    hours = _summaries(spark, folder, facts, sketches.hour_summaries, sketches.HOUR_COLUMNS)
+    known = facts.filter("delivery_time_h IS NOT NULL")
+    return _rank_is_near(known, sketches.hours_box(hours), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+
+
+@register
+def delivery_histogram_stored(spark, folder):
+    """Orders by days of delivery time from stored monthly sketches, beside the exact counts."""
+    facts = facts_of(spark, folder, "ym", "review_score", "delivery_time_h")
+    hours = _summaries(spark, folder, facts, sketches.hour_summaries, sketches.HOUR_COLUMNS)
+    found = sketches.hours_histogram(hours, 24.0, 40).withColumnRenamed("rows", "estimate")
+    known = facts.filter("delivery_time_h IS NOT NULL")
+    exact = known.groupBy(F.floor(F.col("delivery_time_h") / 24).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    bound = 2 * sketches.rank_bound() * known.count()
+    rows = F.coalesce("rows", F.lit(0))
+    return found.join(exact, "bin", "left").select(
+        "bin", rows.alias("rows"), (F.abs(F.col("estimate") - rows) <= F.lit(bound) + 1).alias("within_bound")
+    )
+
+
 @register
 def kpis(spark, folder):
     return rounded(

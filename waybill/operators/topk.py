@@ -4,30 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waybill.operators.cuts import cuts
+from waybill.operators.cuts import Cut, cuts
+
+
+# Intervals counted in one pass, and the rows of an interval that are sorted at last.
+BUCKETS = 65_536
+SORTED_ROWS = 100_000
 
 
 def _kept(df: DataFrame, n: int, ts: str, key: str, newest_first: bool) -> DataFrame:
     """The ``n`` first rows by time and key, as a filter at the n-th row.
 
-    Only the n-th row is sought, by counting; the table is then read once, without a
-    sort.  Rows that agree in time and key are kept or left together.
+    One aggregate gives all counts and bounds, one grouped count the interval that holds
+    the n-th row (another one only where that interval is still large), and a bounded
+    top-k its exact place; the table is then read once, without a sort.  Rows that agree
+    in time and key are kept or left together.
     """
-    missing = df.filter(F.col(ts).isNull()).count()
-    known = df.count() - missing
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.select(micros.alias("_v"), key)
+    total, known, low, high = rows.agg(F.count(F.lit(1)), F.count("_v"), F.min("_v"), F.max("_v")).first()
+    missing = total - known
     of_missing = min(n, missing) if newest_first else max(0, min(n - known, missing))
     of_known = min(n - of_missing, known)
 
-    def part(rows: Column, order: list[str], wanted: int, total: int) -> Column:
-        if wanted in (0, total):
-            return rows & F.lit(wanted > 0)
-        place = total - wanted + 1 if newest_first else wanted
-        _, found = cuts(df.filter(rows), order, lambda _: [place])[()]
-        keeps = found[place].at_or_after() if newest_first else ~found[place].after()
-        return rows & keeps
+    def side(cut: Cut) -> Column:
+        return cut.at_or_after() if newest_first else ~cut.after()
+
+    late, kept = F.lit(of_missing > 0), F.lit(of_known > 0)
+    if 0 < of_missing < missing:
+        place = missing - of_missing + 1 if newest_first else of_missing
+        late = side(cuts(df.filter(F.col(ts).isNull()), [key], lambda _: [place])[()][1][place])
+    if 0 < of_known < known:
+        place = known - of_known + 1 if newest_first else of_known
+        kept = side(_nth(rows, micros, key, place, known, low, high))
+    return df.filter((F.col(ts).isNotNull() & kept) | (F.col(ts).isNull() & late))
+
 
-    late = part(F.col(ts).isNull(), [key], of_missing, missing)
-    return df.filter(part(F.col(ts).isNotNull(), [ts, key], of_known, known) | late)
+def _nth(rows: DataFrame, micros: Column, key: str, place: int, known: int, low: int, high: int) -> Cut:
+    """The cut at the ``place``-th of the ``known`` rows (_v, key), of which none is below ``low``."""
+    while known > SORTED_ROWS and low < high:
+        share = (F.col("_v") - low).cast("double") / float(high - low)
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("bucket")
+        counted = rows.filter(F.col("_v").between(low, high)).groupBy(bucket).agg(
+            F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")
+        )
+        for row in sorted(counted.collect()):  # at most BUCKETS rows
+            if place <= row.n:
+                known, low, high = row.n, row.low, row.high
+                break
+            place -= row.n
+    inside = rows.filter(F.col("_v").between(low, high))
+    if known > SORTED_ROWS:  # one moment: only the keys tell its rows apart
+        found = cuts(inside, [key], lambda _: [place])[()][1][place]
+        return Cut((micros, *found.columns), (low, *found.values))
+    last = inside.orderBy("_v", key).limit(place).agg(F.max(F.struct("_v", key))).first()[0]
+    return Cut((micros, F.col(key)), tuple(last))
 
 
 def newest(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -188,7 +189,7 @@ class Catalogue:
         return [name for name in self.schemas if self.materialise(name)]
 
     def sources(self) -> Sources:
-        return Sources(**{name: self.read(name) for name in SOURCE_SCHEMAS})
+        return Sources(**{name: partial(self.read, name) for name in SOURCE_SCHEMAS})
 
     def register(self) -> None:
         """Expose every source to SQL as a temporary view under its name."""

@@ -6,6 +6,8 @@ same sources.  Key columns stay bigint.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waybill.functions.money import cents, from_cents
@@ -16,8 +18,20 @@ from waybill.sources.tables import Sources
 HOUR = 3600
 
 
+# Fixed schemas: a scan needs no look into the files before it is planned.
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double",
+    "customer": "c_custkey long, c_nationkey int",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "part": "p_partkey long, p_brand string, p_size int",
+}
+
+
 def _scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _seconds(ts: Column) -> Column:
@@ -149,17 +163,13 @@ def baskets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, folder: str) -> Sources:
-    """All sources of one folder; nothing is kept between calls."""
+def load(spark: SparkSession, folder: str, look_up: bool = False) -> Sources:
+    """All sources of one folder, each made when first asked for; nothing is kept between calls.
+
+    By construction an order has at most two reviews and two payments, so frequent orders
+    are looked for only on request.
+    """
     configure(spark)
-    return Sources(
-        orders=orders(spark, folder),
-        items=items(spark, folder),
-        payments=payments(spark, folder),
-        reviews=reviews(spark, folder),
-        customers=customers(spark, folder),
-        products=products(spark, folder),
-        sellers=sellers(spark, folder),
-        # By construction an order has at most two reviews and two payments.
-        hot_keys={"reviews": {}, "payments": {}},
-    )
+    made = (orders, items, payments, reviews, customers, products, sellers)
+    tables = {make.__name__: partial(make, spark, folder) for make in made}
+    return Sources(**tables, hot_keys={} if look_up else {"reviews": {}, "payments": {}})

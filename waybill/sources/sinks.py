@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from waybill.operators.filters import date_bounds
+
 
 def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write facts as Parquet in one folder per month.
@@ -21,6 +23,20 @@ def read_facts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stored_date_bounds(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """One row: first and last purchase date of a table of ``write_facts``.
+
+    Least and greatest values stand in the footers of the Parquet files, and the reader
+    that takes them from there reads no row.  It is chosen in a session of its own, and
+    needs the table's whole schema, since it finds a column by its place.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    # Rows without a date are all in one folder, whose files have no such statistics.
+    return date_bounds(read_facts(session, path, schema).filter("ym <> 'NaT'"))
+
+
 def write_bucketed(
     df: DataFrame, table: str, key: str, buckets: int, mode: str = "errorifexists"
 ) -> None:
