@@ -197,7 +197,7 @@ FROM (SELECT * FROM s_orders WHERE order_status = 'delivered'
 _on_facts("date_bounds",
           "SELECT min(purchase_date) AS min_date, max(purchase_date) AS max_date FROM facts")
 
-ORACLE["facts_refreshed"] = ORACLE["facts_table"]
+ORACLE["facts_refreshed"] = ORACLE["facts_bucketed"] = ORACLE["facts_table"]
 ORACLE["date_bounds_stored"] = ORACLE["date_bounds"]
 
 # --- sales -------------------------------------------------------------------
@@ -236,6 +236,7 @@ WINDOW w AS (ORDER BY purchase_date ROWS BETWEEN {rows - 1} PRECEDING AND CURREN
 
 
 _on_facts("daily_trend_ma", _daily(7))
+ORACLE["daily_trend_followed"] = ORACLE["daily_trend_ma"]
 _on_facts("daily_trend_ma30", _daily(30))
 _on_facts("monthly_trend",
           f"SELECT ym, count(*) AS orders, {REVENUE} AS revenue, {AOV} AS aov FROM facts GROUP BY ym")
@@ -789,6 +790,15 @@ quota AS (
   FROM classes
 ),
 split AS (SELECT d.*, rn > n_train AS is_test FROM drawn d JOIN quota q ON d.late = q.late)"""
+ORACLE["risk_split_drawn"] = f"""{TRAINING},
+drawn AS (
+  SELECT late, CAST('0x' || left(md5('42:' || coalesce(CAST(order_id AS VARCHAR), '') || ':'
+    || coalesce(CAST(payment_sequential AS VARCHAR), '')), 12) AS BIGINT) / 281474976710656.0::DOUBLE AS place
+  FROM training
+)
+SELECT late, count(*) AS rows, count(*) FILTER (place < CASE late WHEN 0 THEN 0.2::DOUBLE ELSE 0.3::DOUBLE END) AS test_rows,
+       TRUE AS near_share
+FROM drawn GROUP BY late"""
 ORACLE["risk_split_rows"] = f"""{SPLIT}
 SELECT order_id, CAST(payment_sequential AS INTEGER) AS payment_sequential, late, is_test FROM split"""
 ORACLE["risk_summary"] = f"""{SPLIT}

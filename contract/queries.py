@@ -7,6 +7,7 @@ in cents times two percentages has six decimals, so it is never cut at a tie.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -27,7 +28,8 @@ from waybill.session import scratch_path
 from waybill.sources import marketplace
 from waybill.sources.catalogue import Catalogue, count_rows
 from waybill.sources.refresh import StoredFacts
-from waybill.sources.sinks import read_facts, stored_date_bounds, write_facts
+from waybill.sources.sinks import bucketed_sources, read_facts, stored_date_bounds, write_facts
+from waybill.streaming.trend import follow_daily_trend, followed_trend
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,6 +146,14 @@ def facts_from_sink(spark, folder):
     return rounded(trends.kpis(filters.in_period(stored, *PERIOD)), "aov", "on_time_rate")
 
 
+@register
+def facts_bucketed(spark, folder):
+    """All facts from sources in buckets of the order, joined without an exchange."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = build_facts(bucketed_sources(marketplace.load(spark, folder), buckets))
+    return text_time(rounded(facts, "delivery_time_h", "delay_h"))
+
+
 @register
 def facts_refreshed(spark, folder):
     """All facts from a stored table that late files of all sources have brought up to date.
@@ -357,6 +367,19 @@ def daily_trend_ma(spark, folder):
     )
 
 
+@register
+def daily_trend_followed(spark, folder):
+    """The daily trend over three deliveries of facts, each with rows of all times."""
+    root = scratch_path(spark, "arriving")
+    facts = facts_of(spark, folder, "purchase_dt", "purchase_date", "gross_revenue")
+    facts.repartition(3, "order_id").write.parquet(f"{root}/facts")
+    followed = follow_daily_trend(
+        spark, f"{root}/facts", f"{root}/trend", facts.schema, f"trend_{uuid.uuid4().hex}", lateness="40 years", files_per_batch=1
+    )
+    followed.awaitTermination()
+    return rounded(followed_trend(spark, f"{root}/trend"), "orders_ma", "revenue_ma", digits=4)
+
+
 @register
 def daily_trend_ma30(spark, folder):
     return rounded(
@@ -712,6 +735,18 @@ def risk_split_sizes(spark, folder):
     return parts.groupBy("late", "is_test").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@register
+def risk_split_drawn(spark, folder):
+    """Sizes of a split drawn row by row in one pass, and whether each class's part is
+    within five deviations of its share."""
+    parts = classification.drawn_split(_training(spark, folder, keep_keys=True), risk.KEYS, test_share=DRAWN_SHARES)
+    shares = F.create_map(*(F.lit(x) for pair in DRAWN_SHARES.items() for x in pair))
+    share = shares[F.col("late")]
+    sizes = parts.groupBy("late").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"))
+    off = F.abs(F.col("test_rows") - F.col("rows") * share)
+    return sizes.withColumn("near_share", off <= 5 * F.sqrt(F.col("rows") * share * (1 - share)) + 1)
+
+
 @register
 def risk_split_rows(spark, folder):
     """Which rows are drawn for the test part."""
@@ -725,6 +760,8 @@ def risk_summary(spark, folder):
     return rounded(risk.test_summary(parts.filter("is_test")), "late_pct")
 
 
+# Shares of a drawn split per class.
+DRAWN_SHARES = {0: 0.2, 1: 0.3}
 # Weights as a fit might give them, for checking scores and rankings.
 FIXED_WEIGHTS = {
     "weekday": 0.05, "hour": -0.02, "promised_days": -0.11, "items_cnt": 0.2, "freight_value": 0.0004,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -75,6 +75,27 @@ def stratified_split(
     return hashed.withColumn("is_test", is_test).drop("_draw")
 
 
+def drawn_split(
+    df: DataFrame, keys: Sequence[str], label: str = "late", test_share: float | Mapping = 0.2, seed: int = 42
+) -> DataFrame:
+    """Add ``is_test``: each row is drawn by itself, with its class's share as the chance.
+
+    No pass over the rows comes first and nothing is counted, so a class's part is its
+    share only on average (binomial).  The draw is a seeded hash of ``keys``: a row's
+    part never changes, whatever other rows there are and however they are partitioned.
+    ``test_share`` may map classes to shares; a class it does not name has none.
+    """
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)).cast("binary"))
+    place = F.conv(F.substring(drawn, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    if isinstance(test_share, Mapping):
+        share = F.lit(0.0)
+        for c, own in test_share.items():
+            share = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(float(own))).otherwise(share)
+    else:
+        share = F.lit(float(test_share))
+    return df.withColumn("is_test", place < share)
+
+
 def predict_class(score: Column, threshold: float = 0.5) -> Column:
     """1 from the threshold on (the threshold itself included)."""
     return (score >= F.lit(threshold)).cast("int")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame, functions as F
 
+from waybill.operators.itemsets import frequent_itemsets
 from waybill.operators.ranks import broadcast_if_small
 from waybill.session import stage
 
@@ -45,13 +46,10 @@ def transactions(lines: DataFrame, min_support: float) -> DataFrame:
 @dataclass
 class BasketRules:
     model: FPGrowthModel
-    max_length: int | None = None
 
     def itemsets(self) -> DataFrame:
         """Frequent itemsets (items in order) and the baskets holding them."""
         found = self.model.freqItemsets
-        if self.max_length:
-            found = found.filter(F.size("items") <= self.max_length)
         return found.select(F.array_sort("items").alias("items"), F.col("freq").alias("baskets"))
 
     def pairs(self) -> DataFrame:
@@ -64,8 +62,6 @@ class BasketRules:
     def rules(self) -> DataFrame:
         """Rules with support, confidence and lift."""
         found = self.model.associationRules
-        if self.max_length:
-            found = found.filter(F.size("antecedent") + F.size("consequent") <= self.max_length)
         return found.select(
             F.array_join(F.array_sort("antecedent"), " + ").alias("antecedent"),
             F.array_join("consequent", " + ").alias("consequent"),
@@ -73,16 +69,50 @@ class BasketRules:
         )
 
 
+@dataclass
+class BoundedRules(BasketRules):
+    """The same from itemsets that were mined up to a length only."""
+
+    found: DataFrame
+    baskets: int
+    min_confidence: float
+
+    def __init__(self, found: DataFrame, baskets: int, min_confidence: float):
+        self.found, self.baskets, self.min_confidence = found, baskets, min_confidence
+
+    def itemsets(self) -> DataFrame:
+        return self.found
+
+    def rules(self) -> DataFrame:
+        """Every itemset gives one rule for each of its items as the consequent."""
+        sets = self.found.filter(F.size("items") > 1).select("items", "baskets", F.explode("items").alias("consequent"))
+        sets = sets.withColumn("antecedent", F.array_remove("items", F.col("consequent")))
+        whole = self.found.select(F.col("items").alias("antecedent"), F.col("baskets").alias("of_antecedent"))
+        single = self.found.filter(F.size("items") == 1).select(F.col("items")[0].alias("consequent"), F.col("baskets").alias("of_consequent"))
+        confidence = F.col("baskets") / F.col("of_antecedent")
+        joined = sets.join(whole, "antecedent").join(single, "consequent").filter(confidence >= self.min_confidence)
+        return joined.select(
+            F.array_join("antecedent", " + ").alias("antecedent"), F.col("consequent").cast("string").alias("consequent"),
+            (F.col("baskets") / self.baskets).alias("support"), confidence.alias("confidence"),
+            (confidence / (F.col("of_consequent") / self.baskets)).alias("lift"),
+        )
+
+
 def mine(
     lines: DataFrame, min_support: float = 0.01, min_confidence: float = 0.0, max_length: int | None = None
 ) -> BasketRules:
-    """Frequent itemsets by parallel FP-growth, no pair ever being emitted.
+    """Frequent itemsets, no pair of a basket ever being emitted.
 
-    Results are limited to itemsets of ``max_length`` items; without it their number
-    can grow exponentially as the support falls.  The model re-reads its transactions
-    for every result, hence the staging.
+    With ``max_length`` only itemsets of so many items are mined, in blocks of baskets
+    (``operators/itemsets``).  Without it parallel FP-growth finds all of them, whose
+    number can grow exponentially as the support falls.  The model re-reads its
+    transactions for every result, hence the staging.
     """
+    if max_length:
+        distinct = stage(lines.select("basket", "item").distinct(), "basket-lines")
+        found, baskets = frequent_itemsets(distinct, min_support, max_length)
+        return BoundedRules(stage(found, "itemsets"), baskets, min_confidence)
     model = FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence
     ).fit(stage(transactions(lines, min_support), "baskets"))
-    return BasketRules(model, max_length)
+    return BasketRules(model)

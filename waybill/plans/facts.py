@@ -68,7 +68,8 @@ def build_facts(
     reduces the other sources to those orders first.
 
     Customers join first, while the rows are narrow; then everything else joins
-    on the order, so one exchange of the orders serves all of those joins.
+    on the order, so one exchange of the orders serves all of those joins.  Sources in
+    buckets of the order join in place instead, and customers come last.
     """
     wanted = set(FACT_COLUMNS if columns is None else columns)
     unknown = wanted - set(FACT_COLUMNS)
@@ -85,9 +86,12 @@ def build_facts(
             "order_id", "left_semi",
         )
 
-    df = orders
-    if "customer_state" in wanted:
-        df = df.join(src.customers.select("customer_id", "customer_state"), "customer_id", "left")
+    def with_customers(df: DataFrame) -> DataFrame:
+        if "customer_state" not in wanted:
+            return df
+        return df.join(src.customers.select("customer_id", "customer_state"), "customer_id", "left")
+
+    df = orders if src.bucketed else with_customers(orders)
     if wanted & ITEM_COLUMNS:
         df = df.join(items_per_order(reduced(src.items)), "order_id", "left")
     if wanted & PAYMENT_COLUMNS:
@@ -98,6 +102,8 @@ def build_facts(
     elif "review_score" in wanted:
         ordered = src.reviews if review_order else reviews
         df = df.join(reviews_per_order(reduced(ordered), review_mode, review_order), "order_id", "left")
+    if src.bucketed:
+        df = with_customers(df)
     return _derive(df).select(*(c for c in FACT_COLUMNS if c in wanted))
 
 

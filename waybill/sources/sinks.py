@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from waybill.operators.filters import date_bounds
+from waybill.session import scratch_path
+from waybill.sources.tables import Sources
 
 
 def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -37,6 +42,32 @@ def stored_date_bounds(spark: SparkSession, path: str, schema: StructType) -> Da
     return date_bounds(read_facts(session, path, schema).filter("ym <> 'NaT'"))
 
 
+def staged_buckets(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """Stage ``df`` in buckets of ``key``, one sorted file each, and return a scan of it.
+
+    The catalogue knows the table only for the moment it takes to plan the scan; its
+    files live in the shared folder like all staged tables.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    table = f"waybill_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    try:
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
+def bucketed_sources(src: Sources, buckets: int) -> Sources:
+    """The sources with everything that belongs to an order in equal buckets of it.
+
+    The fact table's joins and sums on ``order_id`` then need no exchange, however often
+    it is built from them.
+    """
+    apart = {name: partial(staged_buckets, getattr(src, name), "order_id", buckets, name) for name in ("orders", "items", "payments", "reviews")}
+    rest = {name: partial(getattr, src, name) for name in ("customers", "products", "sellers")}
+    return Sources(**apart, **rest, hot_keys=src.hot_keys, bucketed=True)
+
+
 def write_bucketed(
     df: DataFrame, table: str, key: str, buckets: int, mode: str = "errorifexists"
 ) -> None:

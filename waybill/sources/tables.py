@@ -19,9 +19,11 @@ class Sources:
     a table that is not in it is looked through once, when first needed.
     """
 
-    def __init__(self, hot_keys: dict[str, dict] | None = None, **tables: DataFrame | Callable[[], DataFrame]):
+    def __init__(self, hot_keys: dict[str, dict] | None = None, bucketed: bool = False, **tables: DataFrame | Callable[[], DataFrame]):
         if tables.keys() != SOURCE_SCHEMAS.keys():
             raise TypeError(f"the sources are {', '.join(SOURCE_SCHEMAS)}")
+        # Whether rows of an order stand together in all its tables, so that they join in place.
+        self.bucketed = bucketed
         self.hot_keys = {} if hot_keys is None else hot_keys
         self._tables = tables
 
