@@ -76,3 +76,40 @@ def test_empty_tables(spark):
     for items in ([], [(1, None)], [(None, "some words")]):
         assert rows_of(op.contamination(documents(spark, rows), bench(spark, items)).drop("n_near_items")) == brute(rows, [])
     assert op.contamination(documents(spark, []), bench(spark, [(1, "some words")])).count() == 0
+
+
+def brute_near(rows, items):
+    """Pairs of documents and items, word by word."""
+    texts = {}
+    for item, text in items:
+        if item is not None and text is not None:
+            texts.setdefault((str(item), text), tokens(text))
+    counts = {}
+    for _, text, *_ in rows:
+        for w in tokens(text):
+            counts[w] = counts.get(w, 0) + 1
+    out = set()
+    for (item, _), own in texts.items():
+        terms = sorted(set(own), key=lambda w: (counts.get(w, 0), int(op.hashed(op.pa.array([w]), op.ALNUM)[0][0])))[: op.NEAR_TERMS]
+        if len(terms) < op.NEAR_TERMS:
+            continue
+        for doc_id, text, *_ in rows:
+            w = tokens(text)
+            for k in (k for k, x in enumerate(w) if x == terms[0]):
+                near = w[max(0, k - op.NEAR_WORDS + 1) : k + op.NEAR_WORDS]
+                if all(t in near for t in terms[1:]):
+                    out.add((doc_id, item))
+    return sorted(out, key=repr)
+
+
+def test_proximity_equals_brute_force(spark):
+    rows, items = fixture()
+    for size in (op.SHARD_BYTES, 600):
+        found = op.nearby_items(documents(spark, rows, clashing=True), bench(spark, items), shard_bytes=size)
+        assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=repr) == brute_near(rows, items) != []
+
+
+def test_shards_pass_one_at_a_time(spark):
+    import types
+
+    assert isinstance(op.benchmark_shards(bench(spark, [(1, "a b c")])), types.GeneratorType)

@@ -10,9 +10,11 @@ window, are the first candidates; they are intersected with the moved postings o
 next rarest terms until all agree (exact phrases).  An item's ``NEAR_TERMS`` rarest
 terms within ``NEAR_WORDS`` words of each other count as a proximity match.
 
-The benchmark is measured first and sent to the tasks in shards of at most
-``SHARD_BYTES`` of text; with more shards the same index is searched once per shard
-and the answers of a document are put together.  Terms are 64-bit word hashes.
+The benchmark is measured first and passes through the driver in shards of about
+``SHARD_BYTES`` of text, one at a time: its answers are written before the next one is
+read, and the answers of a document are put together at the end.  Terms are 64-bit word
+hashes.  ``contamination`` digests the exact matches, ``nearby_items`` lists the
+proximity matches.
 
 Null and empty texts have no words and no hits.  Items without id or words match
 nothing; items with the same id count once.  One row comes back per document row.
@@ -40,7 +42,7 @@ SHARD_BYTES = 4 << 20
 _AT_ONCE = 1 << 20
 
 _SEGMENT = "segment long, doc_ids array<long>, n_words binary, terms binary, counts binary, deltas binary"
-_FOUND = "segment long, place int, doc_id long, n_words long, spans binary, items array<string>, near array<string>"
+_FOUND = "segment long, place int, spans binary, items array<string>, near array<string>"
 _RESULT = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
 )
@@ -84,18 +86,22 @@ class Shard:
     sizes: np.ndarray
     owners: np.ndarray  # item of each window
     rarity: np.ndarray = field(default=None)  # corpus count of each vocabulary word
-    near: list[tuple[int, np.ndarray]] = field(default_factory=list)
+    near_items: np.ndarray = field(default=None)  # items with enough terms, and the rarest of each
+    near_words: np.ndarray = field(default=None)
 
     def weigh(self, counts: np.ndarray) -> None:
         """Take in the corpus counts; choose each item's rarest terms."""
         self.rarity = counts
         ends = np.append(np.flatnonzero(np.diff(self.owners)), len(self.owners) - 1)
         begins = np.append(0, ends[:-1] + 1)
+        near = []
         for b, e in zip(begins, ends, strict=True):
             own = np.unique(self.words[self.starts[b] : self.starts[e] + self.sizes[e]])
             if len(own) >= NEAR_TERMS:
-                rare = own[np.lexsort((own, counts[own]))][:NEAR_TERMS]
-                self.near.append((int(self.owners[b]), rare))
+                # Words of equal count go by their hash, which no shard changes.
+                near.append((int(self.owners[b]), own[np.lexsort((self.vocabulary[own], counts[own]))][:NEAR_TERMS]))
+        self.near_items = np.array([i for i, _ in near], np.int64)
+        self.near_words = np.array([w for _, w in near], np.int64).reshape(-1, NEAR_TERMS)
 
 
 def make_shard(items: list[tuple[str, str]]) -> Shard | None:
@@ -115,7 +121,7 @@ def make_shard(items: list[tuple[str, str]]) -> Shard | None:
     return Shard([i for i, _ in items], vocabulary, words.astype(np.int64), *joined)
 
 
-def benchmark_shards(bench: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Shard]:
+def benchmark_shards(bench: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Shard]:
     """The benchmark in shards of bounded size, one after the other on the driver."""
     items = (
         bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -124,12 +130,10 @@ def benchmark_shards(bench: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[S
     )
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     count = max(1, -(-size // shard_bytes))
-    shards = []
     for k in range(count):
         part = items if count == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
         if shard := make_shard(sorted((r.item_id, r.text) for r in part.collect())):
-            shards.append(shard)
-    return shards
+            yield shard
 
 
 def corpus_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -228,22 +232,23 @@ def phrases(segment: Segment, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def proximity(segment: Segment, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
-    """Document and item where the item's rarest terms stand near each other."""
+    """Document and item where the item's rarest terms stand near each other, all items together."""
     docs, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for item, words in shard.near:
-        if (segment.term[words] < 0).any():
-            continue
-        positions, _ = segment.postings(words[:1])
+    alive = np.flatnonzero((segment.term[shard.near_words] >= 0).all(axis=1))
+    words = shard.near_words[alive]
+    groups = np.cumsum(segment.n[words[:, 0]]) // _AT_ONCE
+    for group in np.unique(groups):
+        own = words[groups == group]
+        positions, who = segment.postings(own[:, 0])
         doc = segment.document(positions)
-        ends = segment.ends[doc]
         begins = np.where(doc > 0, segment.ends[doc - 1], 0)
-        for word in words[1:]:
+        for step in range(1, NEAR_TERMS):
             least = np.maximum(positions - NEAR_WORDS + 1, begins)
-            got = segment.next_at(np.full(len(positions), word), least)
-            ok = got < np.minimum(positions + NEAR_WORDS, ends)
-            positions, doc, begins, ends = positions[ok], doc[ok], begins[ok], ends[ok]
-        docs.append(np.unique(doc))
-        items.append(np.full(len(docs[-1]), item))
+            got = segment.next_at(own[who, step], least)
+            ok = got < np.minimum(positions + NEAR_WORDS, segment.ends[doc])
+            positions, who, doc, begins = positions[ok], who[ok], doc[ok], begins[ok]
+        docs.append(doc)
+        items.append(shard.near_items[alive[groups == group][who]])
     return np.concatenate(docs), np.concatenate(items)
 
 
@@ -255,7 +260,7 @@ def _by_document(docs: np.ndarray, items: np.ndarray, ids: list[str], n: int) ->
 
 
 def search(index: DataFrame, shard: Shard) -> DataFrame:
-    """For every document its words, hit spans, items found and items nearby."""
+    """Hit spans, items found and items nearby, of the documents that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,25 +268,54 @@ def search(index: DataFrame, shard: Shard) -> DataFrame:
                 row = batch.slice(k, 1).to_pylist()[0]
                 segment = Segment(row, shard)
                 n = len(row["doc_ids"])
-                sizes = np.frombuffer(row["n_words"], np.int64)
                 start, size, item = phrases(segment, shard)
                 doc = segment.document(start)
                 local = start - np.where(doc > 0, segment.ends[doc - 1], 0)
                 spans = np.stack([local, local + size], 1)
-                listed: list[bytes] = [b""] * n
-                for d in np.unique(doc):
-                    listed[d] = np.unique(spans[doc == d], axis=0).tobytes()
+                near_doc, near_item = proximity(segment, shard)
+                some = np.unique(np.concatenate([doc, near_doc]))
+                listed = [np.unique(spans[doc == d], axis=0).tobytes() for d in some]
+                found, near = _by_document(doc, item, shard.ids, n), _by_document(near_doc, near_item, shard.ids, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["segment"]] * n, pa.int64()), pa.array(range(n), pa.int32()),
-                     pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array(listed, pa.binary()),
-                     pa.array(_by_document(doc, item, shard.ids, n), pa.list_(pa.string())),
-                     pa.array(_by_document(*proximity(segment, shard), shard.ids, n), pa.list_(pa.string()))],
-                    ["segment", "place", "doc_id", "n_words", "spans", "items", "near"],
+                    [pa.array([row["segment"]] * len(some), pa.int64()), pa.array(some.astype(np.int32)),
+                     pa.array(listed, pa.binary()), pa.array([found[d] for d in some], pa.list_(pa.string())),
+                     pa.array([near[d] for d in some], pa.list_(pa.string()))],
+                    ["segment", "place", "spans", "items", "near"],
                 )
 
     return index.mapInArrow(run, _FOUND)
 
 
+def documents_of(index: DataFrame) -> DataFrame:
+    """segment, place, doc_id and n_words of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, ids, sizes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([segment] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()),
+                     pa.array(ids, pa.int64()), pa.array(np.frombuffer(sizes, np.int64))],
+                    ["segment", "place", "doc_id", "n_words"],
+                )
+
+    kinds = "segment long, place int, doc_id long, n_words long"
+    return index.select("segment", "doc_ids", "n_words").mapInArrow(run, kinds)
+
+
+def answers(index: DataFrame, bench: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """What ``search`` finds of the whole benchmark, one row per document with any match."""
+    spark, found = index.sparkSession, None
+    for shard in benchmark_shards(bench, shard_bytes):
+        shard.weigh(corpus_counts(index, shard.vocabulary))
+        part = stage(search(index, shard), "answers")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], _FOUND)
+    # Spans are fixed-size pairs, so the shards' bytes can follow each other.
+    spans = F.unhex(F.concat_ws("", F.collect_list(F.hex("spans")))).alias("spans")
+    return found.groupBy("segment", "place").agg(spans, *(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "near")))
+
+
 def _covered(spans: bytes) -> int:
     """Words inside any span."""
     total = done = 0
@@ -308,22 +342,20 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, bench: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: words, words hit, items found, near items."""
     index = stage(build_index(docs), "postings")
-    shards = benchmark_shards(bench, shard_bytes)
-    if not shards:
-        empty = Shard([], np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4, rarity=np.zeros(0, np.int64))
-        return search(index, empty).mapInArrow(_digest, _RESULT)
-    for shard in shards:
-        shard.weigh(corpus_counts(index, shard.vocabulary))
-    found = search(index, shards[0])
-    if len(shards) > 1:
-        for shard in shards[1:]:
-            found = found.unionByName(search(index, shard))
-        parts = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("items", "near")}
-        # Spans are fixed-size pairs, so the shards' bytes can follow each other.
-        spans = F.unhex(F.concat_ws("", F.collect_list(F.hex("spans")))).alias("spans")
-        once = (F.first(c).alias(c) for c in ("doc_id", "n_words"))
-        found = found.groupBy("segment", "place").agg(*once, spans, *parts.values()).drop("segment", "place")
-    return found.select("doc_id", "n_words", "spans", "items", "near").mapInArrow(_digest, _RESULT)
+    found = documents_of(index).join(answers(index, bench, shard_bytes), ["segment", "place"], "left")
+    none = F.array().cast("array<string>")
+    whole = found.select(
+        "doc_id", "n_words", F.coalesce("spans", F.lit(b"")).alias("spans"), *(F.coalesce(c, none).alias(c) for c in ("items", "near"))
+    )
+    return whole.mapInArrow(_digest, _RESULT)
+
+
+def nearby_items(docs: DataFrame, bench: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id and item_id of every document in which an item's rarest terms stand together."""
+    index = stage(build_index(docs), "postings")
+    found = answers(index, bench, shard_bytes).filter(F.size("near") > 0)
+    named = documents_of(index).join(found, ["segment", "place"])
+    return named.select("doc_id", F.explode("near").alias("item_id")).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,6 +363,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("n_near_items")
 
 
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearby_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # Words are followed one by one from each place where a window's first word stands.
 ORACLE_SQL = r"""
 WITH dw AS (

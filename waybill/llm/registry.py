@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix_sources": op7_mix.query,
     "op8_language_scores": op8_language_model.query,
     "op9_contamination": op9_decontaminate.query,
+    "benchmark_proximity": op9_decontaminate.near_query,
     "op10_token_counts": op10_tokens.query,
     "op11_whitening": op11_whitening.query,
     "op12_neighbours": op12_neighbours.query,
