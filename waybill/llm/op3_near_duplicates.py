@@ -33,6 +33,7 @@ from waybill.llm.blocks import block_ids, fixed, groups
 from waybill.llm.common import documents, partitions, small_batches, stage, table
 from waybill.llm.graph import components, roots
 from waybill.llm.words import hashed, mix, slices
+from waybill.session import scratch_scope
 
 WORDS = 3
 PERCENT = 85
@@ -279,25 +280,31 @@ def forest(
 
 
 def _unsettled(
-    members: DataFrame, labels: DataFrame, signs: DataFrame, docs: DataFrame, words: int, steps: list[tuple[int, int]], percent: int
+    members: DataFrame, labels: DataFrame, docs: DataFrame, words: int, steps: list[tuple[int, int]], percent: int
 ) -> DataFrame:
     """Links (a, b) that join the components which share a bucket; no pair is a row.
 
-    The full sets travel with the members, so that a task prunes and verifies its block
-    pairs and gives back a spanning forest.
+    Of buckets with the same members one is enough.  The full sets travel with the
+    members and their signatures are made of them again, so that a task prunes and
+    verifies its block pairs and gives back a spanning forest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ("signature", "shingles")):
-            signs, rep = fixed(g["signature"], np.uint32), g["rep"]
+        sketch = Sketch(steps[-1][0])
+        for g in groups(batches, ("shingles",)):
+            rep = g["rep"]
             sets = [np.frombuffer(s.as_buffer(), np.int64) for s in g["shingles"]]
+            signs = np.stack([sketch(s.view(np.uint64)) for s in sets])
             block = g["block"] if g["i"][0] != g["j"][0] else None
             found = np.array(forest(signs, sets, g["label"], block, steps, percent), np.int64).reshape(-1, 2)
             a, b = rep[found[:, 0]], rep[found[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     marked = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_ = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    # Count and two hashes without order tell sets of members apart.
+    same = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"same{k}") for k in (1, 2)]
+    open_ = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("rep").alias("many"), *same)
+    open_ = open_.filter("x <> y").groupBy("many", "same1", "same2").agg(F.min("key").alias("key")).select("key")
     unsettled = stage(marked.join(open_, "key").select("key", "rep", "label"), "unsettled")
     sets = _full_sets(unsettled.select(F.col("rep").alias("id")), docs, words, packed=True).toDF("rep", "shingles")
     sets = sets.filter(F.length("shingles") > 0)
@@ -305,10 +312,10 @@ def _unsettled(
     sized = unsettled.join(sets.select("rep", F.length("shingles").alias("bytes")), "rep")
     weight = F.greatest(F.count("rep"), F.ceil(F.sum("bytes") * BLOCK / BLOCK_BYTES))
     dealt = block_ids(unsettled.join(sized.groupBy("key").agg(weight.alias("n")), "key"), "rep", BLOCK)
-    whole = dealt.join(signs, "rep").join(sets, "rep")
+    whole = dealt.join(sets, "rep")
     count = partitions(members.sparkSession)
     whole = whole.repartition(count, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return whole.select("key", "i", "j", "block", "rep", "label", "signature", "shingles").mapInArrow(run, "a long, b long")
+    return whole.select("key", "i", "j", "block", "rep", "label", "shingles").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -325,9 +332,10 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     known = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = stage(classes, "classes")
-    banded = stage(_bands(classes, bands, rows), "bands")
-    shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("rep").alias("n")).filter("n > 1")
-    members = stage(banded.join(shared.select("key", "pivot"), "key"), "members")
+    with scratch_scope(docs.sparkSession) as keep:
+        banded = stage(_bands(classes, bands, rows), "bands")
+        shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("rep").alias("n")).filter("n > 1")
+        members = keep(banded.join(shared.select("key", "pivot"), "key"), "members")
     signs = stage(IdFilter(members, "rep").select(classes.select("rep", "signature"), "rep"), "signatures")
     star = members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     star = stage(star, "star")
@@ -338,7 +346,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     others = stage(_pruned(star.join(links.select("a"), "a", "left_anti"), signs, steps), "pairs")
     if not others.isEmpty():
         labels = components(labels.toDF("a", "b").unionByName(_verified(others, docs, words, percent)))
-    more = stage(_unsettled(members, labels, signs, docs, words, steps, percent), "links")
+    more = stage(_unsettled(members, labels, docs, words, steps, percent), "links")
     if not more.isEmpty():
         labels = components(labels.toDF("a", "b").unionByName(more))
     named = classes.select("k1", "k2", "rep").join(labels.toDF("rep", "label"), "rep", "left")
