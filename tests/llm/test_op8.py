@@ -38,7 +38,6 @@ def agrees(found, rows):
 
 def test_counts_and_base_score_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(op, "HEAD", 60)  # most words go through the join
-    monkeypatch.setattr(op, "TRAIN_STEPS", 3)
     rows = odd_rows() + [(100 + k, prose(k, 30), "en", "a", 1) for k in range(150)]
     found = op.language_scores(documents(spark, rows, clashing=True)).collect()
     agrees(found, [(r[0], r[1]) for r in rows])
@@ -116,7 +115,6 @@ def test_no_training_text_and_no_text(spark):
 
 
 def test_every_training_word_is_trained_on(spark, monkeypatch):
-    monkeypatch.setattr(op, "TRAIN_STEPS", 1)  # a large corpus is read once
     monkeypatch.setattr(op, "TRAIN_LANES", 4)
     monkeypatch.setattr(op, "SAMPLE", 20)
     rows = [(k, prose(k, 5 + k % 60 + 3000 * (k == 7)), "en", "a", 1) for k in range(400)]

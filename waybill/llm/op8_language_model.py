@@ -10,7 +10,8 @@ corpus counts as word probabilities.  The end of a text is a class of one.
 The recurrent part is trained by backpropagation through time, truncated at windows of
 ``STEPS_BACK`` words with the state carried on, on all training documents: in each of
 ``ROUNDS`` rounds every task trains a copy of the model on its documents of that round,
-and the copies are averaged by their words.  A small corpus is read in several rounds.
+and the copies are averaged by their words.  Over all rounds each document is read
+``PASSES`` times, whatever the size of the corpus.
 Themes are groups of all training documents by their frequent words; only where the
 groups' centres start is drawn from at most ``SAMPLE`` documents.  Scoring carries the state through every document from its first word to
 its end, many documents side by side.
@@ -46,10 +47,9 @@ THEMES = 8
 BANDS = 2
 UNITS = 16
 SAMPLE = 4000
-# A corpus of fewer windows than this is read more than once, but no more often than
-# there are rounds.
-TRAIN_STEPS = 500
+# Rounds of training, and how often each document is read in all of them together.
 ROUNDS = 4
+PASSES = 1
 TRAIN_LANES = 128
 STEPS_BACK = 24
 RATE = 0.01
@@ -317,34 +317,44 @@ class Model:
         """log10 P(class) P(word | class) of each column; the tail's inner part is left out."""
         v = self.vocabulary
         group = v.group[targets]
-        logits = self.out @ states
-        logits += self.shift
-        top = logits.max(axis=0)
+        logits = self._logits(self.out, self.shift, states)
         picked = logits[group, np.arange(len(targets))]
-        logits -= top
         np.exp(logits, out=logits)
-        out = (picked - top - np.log(logits.sum(axis=0))).astype(np.float64)
-        for c, at, y, columns in self._by_group(states, targets, group):
-            inner = self.word_out[c] @ columns
-            inner += self.word_shift[c]
-            top = inner.max(axis=0)
-            picked = inner[y, np.arange(len(y))]
-            inner -= top
-            np.exp(inner, out=inner)
-            out[at] += picked - top - np.log(inner.sum(axis=0))
+        out = picked - np.log(logits.sum(axis=0))
+        order, cuts, place, columns = self._by_group(states, targets, group)
+        picked, sums = np.empty(len(order), logits.dtype), np.empty(len(order), logits.dtype)
+        for c in range(v.own_groups):
+            a, b = cuts[c], cuts[c + 1]
+            if b > a:
+                inner = self._logits(self.word_out[c], self.word_shift[c], columns[:, a:b])
+                picked[a:b] = inner[place[a:b], np.arange(b - a)]
+                np.exp(inner, out=inner)
+                inner.sum(axis=0, out=sums[a:b])
+        out = out.astype(np.float64)
+        out[order] += picked - np.log(sums)
         return out / np.log(10) + v.inside[targets]
 
-    def _by_group(self, states: np.ndarray, targets: np.ndarray, group: np.ndarray) -> Iterator[tuple]:
-        """Columns of each class of own words: class, column numbers, places, states."""
+    @staticmethod
+    def _logits(weights: np.ndarray, shift: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """Logits that can be exponentiated.
+
+        No state is beyond -1..1, so weights and shifts bound the logits; only where that
+        leaves room for overflow each column's greatest is taken off.
+        """
+        logits = weights @ states
+        logits += shift
+        reach = np.abs(weights).sum(axis=1, keepdims=True)
+        if (shift + reach).max() > 60 or (shift - reach).max() < -60:
+            logits -= logits.max(axis=0)
+        return logits
+
+    def _by_group(self, states: np.ndarray, targets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Columns with own words by class: their numbers, each class's first, places, states."""
         v = self.vocabulary
         order = np.argsort(group.astype(np.int16), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(v.own_groups + 1))
         order = order[: cuts[-1]]
-        columns, place = states[:, order], v.place[targets[order]]
-        for c in range(v.own_groups):
-            a, b = cuts[c], cuts[c + 1]
-            if b > a:
-                yield c, order[a:b], place[a:b], columns[:, a:b]
+        return order, cuts, v.place[targets[order]], states.take(order, axis=1)
 
     def gradients(
         self, states: np.ndarray, targets: np.ndarray, weight: float | np.ndarray
@@ -352,22 +362,25 @@ class Model:
         """Gradients of the states and of the output parameters; ``weight`` may go by column."""
         weight = np.broadcast_to(np.asarray(weight, states.dtype), len(targets))
         group = self.vocabulary.group[targets]
-        p = self.out @ states + self.shift
-        p = np.exp(p - p.max(axis=0))
-        p /= p.sum(axis=0)
-        p[group, np.arange(len(targets))] -= 1
-        p *= weight
+        p = self._logits(self.out, self.shift, states)
+        np.exp(p, out=p)
+        p *= weight / p.sum(axis=0)
+        p[group, np.arange(len(targets))] -= weight
         flow = self.out.T @ p
         word_out, word_shift = np.zeros_like(self.word_out), np.zeros_like(self.word_shift)
-        for c, at, y, columns in self._by_group(states, targets, group):
-            q = self.word_out[c] @ columns + self.word_shift[c]
-            q = np.exp(q - q.max(axis=0))
-            q /= q.sum(axis=0)
-            q[y, np.arange(len(y))] -= 1
-            q *= weight[at]
-            word_out[c] = q @ columns.T
-            word_shift[c] = q.sum(axis=1, keepdims=True)
-            flow[:, at] += self.word_out[c].T @ q
+        order, cuts, place, columns = self._by_group(states, targets, group)
+        own, back = weight[order], np.empty_like(columns)
+        for c in range(len(cuts) - 1):
+            a, b = cuts[c], cuts[c + 1]
+            if b > a:
+                q = self._logits(self.word_out[c], self.word_shift[c], columns[:, a:b])
+                np.exp(q, out=q)
+                q *= own[a:b] / q.sum(axis=0)
+                q[place[a:b], np.arange(b - a)] -= own[a:b]
+                word_out[c] = q @ columns[:, a:b].T
+                word_shift[c] = q.sum(axis=1, keepdims=True)
+                np.matmul(self.word_out[c].T, q, out=back[:, a:b])
+        flow[:, order] += back
         return flow, [p @ states.T, p.sum(axis=1, keepdims=True), word_out, word_shift]
 
 
@@ -496,10 +509,9 @@ def fit(docs: DataFrame, corpus: Corpus, most: int = SAMPLE) -> Model:
     model.start(corpus.counts.astype(float), max(0.0, corpus.tokens - corpus.texts - corpus.counts.sum()), corpus.texts)
     if not corpus.texts:
         return model
-    passes = max(1, min(ROUNDS, TRAIN_STEPS * TRAIN_LANES * STEPS_BACK // corpus.tokens))
     drawn = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        own = [(k + j) % ROUNDS for j in range(passes)]
+        own = [(k + j) % ROUNDS for j in range(PASSES)]
         model = train_round(model, docs.filter(drawn.isin(own)), 1.0 if k < ROUNDS - 1 else 0.25)
     return model
 

@@ -64,24 +64,33 @@ class Gated:
         flow = np.zeros((u, lanes), np.float32)
         inner, bias = np.zeros_like(self.inner), np.zeros_like(self.bias)
         inputs = np.empty((len(kept), 3 * u, lanes), np.float32)
+        down, back = np.empty((3 * u, lanes), np.float32), np.ascontiguousarray(self.inner.T)
         for t in range(len(kept) - 1, -1, -1):
             _, state, gates, opened, hidden, wish, new = kept[t]
             reset, update = opened[:u], opened[u:]
-            flow = flow + outer[t]
-            d_wish = flow * (1 - update) * (np.abs(wish) < 1)
-            linear = (gates > 0) & (gates < 1)
-            d_gates = np.concatenate([d_wish * hidden, flow * (state - new)]) * linear
-            d_hidden = d_wish * reset
-            inputs[t] = np.concatenate([d_gates, d_wish])
-            down = np.concatenate([d_gates, d_hidden])
+            flow += outer[t]
+            own = inputs[t]
+            d_wish = own[2 * u :]
+            np.multiply(flow, wish == new, out=d_wish)  # where nothing was clipped
+            d_wish -= d_wish * update
+            np.multiply(d_wish, hidden, out=own[:u])
+            np.multiply(flow, state - new, out=own[u : 2 * u])
+            own[: 2 * u] *= gates == opened
+            down[: 2 * u] = own[: 2 * u]
+            np.multiply(d_wish, reset, out=down[2 * u :])
             inner += down @ state.T
-            bias += d_hidden.sum(axis=1, keepdims=True)
-            flow = flow * update + self.inner.T @ down
+            bias += down[2 * u :].sum(axis=1, keepdims=True)
+            flow *= update
+            flow += back @ down
             if goes_on is not None:
-                flow = flow * goes_on[t]
+                flow *= goes_on[t]
         at = np.concatenate([k[0] for k in kept])
+        order = np.argsort(at, kind="stable")
+        ordered = at[order]
+        cuts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         flat = inputs.transpose(1, 0, 2).reshape(3 * u, -1)
-        table = np.stack([np.bincount(at, row, self.table.shape[1]) for row in flat]).astype(np.float32)
+        table = np.zeros((3 * u, self.table.shape[1]), np.float32)
+        table[:, ordered[cuts]] = np.add.reduceat(flat.take(order, axis=1), cuts, axis=1)
         return [table, inner, bias]
 
 
