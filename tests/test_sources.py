@@ -1,5 +1,6 @@
 """Scans, their fallbacks, and sinks."""
 
+import os
 import uuid
 from datetime import date, datetime
 from pathlib import Path
@@ -240,3 +241,18 @@ def test_ingested_tables_are_read_and_unmarked_data_is_not_lost(spark, tmp_path)
     # What a conversion began and left is written anew.
     (root / "_plain.parquet.begun").touch()
     assert other.materialise("sellers") and [r.seller_id for r in other.read("sellers").collect()] == ["old"]
+
+
+def test_a_scope_deletes_what_was_staged_in_it_but_what_is_kept(spark):
+    from waybill.session import scratch_scope, stage
+
+    df = spark.range(5).toDF("k")
+    with scratch_scope(spark) as outer:
+        with scratch_scope(spark) as keep:
+            lost, kept = stage(df, "lost"), keep(df, "kept")
+            inside = lost.inputFiles()
+        assert inside and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in inside)
+        assert kept.count() == 5
+        last = outer(df, "last")
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in kept.inputFiles())
+    assert last.count() == 5
