@@ -64,3 +64,9 @@ def test_every_odd_row_comes_back(spark):
 def test_empty_table(spark):
     assert op.detect(documents(spark, [])).count() == 0
     assert op.redact(documents(spark, [])).count() == 0
+
+
+def test_an_authority_has_no_longest_length():
+    for n in (100, 2_100, 300_000):
+        spans = op.find_spans("see http://" + "u" * n + ":p@h/x")
+        assert [s[0] for s in spans if s[0] == "userinfo"] == ["userinfo"]

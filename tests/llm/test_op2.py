@@ -1,12 +1,15 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import SMALL, documents, odd_rows
 from waybill.llm import op2_language as op
 from waybill.llm.recurrent import Gated
+from waybill.llm.sampling import sample_of_each
 
 
 def test_gradients_equal_differences():
@@ -74,3 +77,27 @@ def test_pooling_does_not_depend_on_neighbours():
     for text, name, score in zip(texts, names, scores, strict=True):
         alone = op.Reader(network)(pa.array([text]))
         assert alone[0] == [name] and abs(alone[1][0] - score) < 1e-5
+
+
+def test_signs_that_are_no_letters(spark):
+    assert not any(op.has_letter(t) for t in (None, "", "² ½ ① 12", "!?", "３")) and all(map(op.has_letter, ("x", "é", "漢", "1a")))
+
+
+def test_any_split_of_a_table_gives_equal_rows(spark):
+    network = op.train([b"the cat and the dog", "où est le café".encode()] * 3, ["en", "fr"] * 3, steps=5)
+    rows = odd_rows()
+    found = []
+    for parts in (1, 2, 13):
+        df = documents(spark, rows).repartition(parts, "n_chars", "doc_id")
+        found.append(sorted(((r.doc_id, r.lang_pred, r.score) for r in op.languages(df, network).collect()), key=repr))
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        assert all(abs(a[2] - b[2]) < 1e-5 for a, b in zip(other, found[0], strict=True))
+
+
+def test_sample_draws_from_every_language(spark):
+    rows = [(k, f"text {k}", "en" if k % 100 else "xx", "a", 1) for k in range(1, 3001)]
+    got = sample_of_each(documents(spark, rows), "lang", 20, "lang", "doc_id", text=F.col("text"))
+    assert Counter(r.lang for r in got) == {"en": 20, "xx": 20}
+    again = sample_of_each(documents(spark, rows).repartition(11), "lang", 20, "lang", "doc_id", text=F.col("text"))
+    assert got == again

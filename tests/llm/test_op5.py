@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 
-from tests.llm.fixtures import SMALL, documents, odd_rows
+from tests.llm.fixtures import SMALL, documents, odd_rows, prose
 from waybill.llm import op5_quality as op
 
 
@@ -65,3 +65,13 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert op.quality(documents(spark, []), labels).count() == 0
     assert {r.score for r in op.quality(documents(spark, odd_rows()), labels).collect()} == {0.5}
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = [(k, prose(k, 40) if k % 3 else "$$ ## " * 30, "en", "a", 1) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    found = []
+    for parts in (1, 40):
+        df = documents(spark, rows).repartition(parts)
+        found.append({r.doc_id: r.score for r in op.quality(df, labels).collect()})
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-6 for k in found[0])

@@ -85,3 +85,11 @@ def test_a_key_is_the_same_in_any_company():
     together = op.bucket_keys(units, labels)
     for k in range(0, 300, 17):
         assert (op.bucket_keys(units[k : k + 1], labels[k : k + 1])[0] == together[k]).all()
+
+
+def test_a_chance_meeting_of_lengths_loses_no_link(spark):
+    vectors = {1: [1.0, 0.0], 2: [1.0, 0.1], 3: [1.0, 0.0, 0.0], 4: [1.0, 0.0, 0.1], 5: [0.0, 1.0]}
+    rows = [(7, 0, 0, 0, 0, rep, 1, 1, bytearray(np.array(v).tobytes())) for rep, v in vectors.items()]
+    kinds = "key long, i int, j int, block int, t int, rep long, label long, copies long, raw binary"
+    met = op._compared(spark.createDataFrame(rows, kinds).coalesce(1), 0.93, 4, 4).collect()
+    assert {(r.rep, r.n, r.root) for r in met} == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3)}

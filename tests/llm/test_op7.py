@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -90,3 +91,13 @@ def test_texts_of_the_mix_hold_the_taken_words(spark, monkeypatch):
     assert any(r.rounds > 1 for r in found) and any(0 < r.taken < r.size for r in found)
     last = pipeline.mixed(spark, df, "").collect()
     assert {(r.doc_id, len(words(r.text)), len(r.text)) for r in last} == {(r.doc_id, r.taken, r.n_chars) for r in last}
+
+
+def test_long_text_is_split_into_words_once(spark):
+    words = [f"w{k}" for k in range(100_000)]
+    spans = [(k, k + 16) for k in range(0, 100_000, 64)]
+    df = spark.createDataFrame([(" ".join(words), 1, spans)], "text string, rounds long, spans array<struct<start: long, end: long>>")
+    start = time.perf_counter()
+    got = df.select(op.cut_text(F.col("text")).alias("t")).first().t
+    assert time.perf_counter() - start < 30  # once for every span it would take minutes
+    assert got.split("\n") == [" ".join(words), *(" ".join(words[a:b]) for a, b in spans)]
