@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contract.queries import marketplace
+from waybill.operators import topk
 from waybill.operators.classification import drawn_split
 from waybill.plans import trends
 from waybill.plans.facts import build_facts
@@ -84,3 +85,18 @@ def test_trend_follows_arriving_files_and_late_rows(spark, tmp_path):
     # Nothing new: nothing changes.
     follow(spark, root, "trend_again")
     assert {str(r.purchase_date): r.orders for r in followed_trend(spark, f"{root}/trend", 0).collect()} == days
+
+
+@pytest.mark.parametrize("spread", [1, 40, 100_000])
+def test_newest_and_oldest_by_counting_equal_a_sort(spark, monkeypatch, spread):
+    """Few moments, some and many; small limits send the search through all its steps."""
+    monkeypatch.setattr(topk, "SORTED_ROWS", 20)
+    monkeypatch.setattr(topk, "BUCKETS", 16)
+    second = F.when(F.col("id") % 9 > 0, F.pmod(F.col("id") * 7919, F.lit(spread)))
+    df = spark.range(400).select(
+        F.timestamp_seconds(1_500_000_000 + second).alias("order_purchase_timestamp"), F.format_string("o%03d", "id").alias("order_id")
+    ).repartition(4)
+    rows = sorted(((r[0] is None, r[0] or 0, r[1]) for r in df.collect()), key=lambda r: (r[0], str(r[1]), r[2]))
+    for n in (1, 30, 45, 200, 399, 400, 500):
+        assert sorted(r.order_id for r in topk.oldest(df, n).collect()) == sorted(r[2] for r in rows[:n]), n
+        assert sorted(r.order_id for r in topk.newest(df, n).collect()) == sorted(r[2] for r in rows[::-1][:n]), n
