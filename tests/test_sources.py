@@ -211,6 +211,42 @@ def test_a_cluster_needs_a_named_shared_folder():
     assert shared_dir(local) == shared_dir(local) and Path(shared_dir(local)).is_dir()
 
 
+class _Cluster(_Session):
+    """A cluster whose jobs run in the tests' session."""
+
+    defaultParallelism = 3
+
+    def __init__(self, spark, folder=None, warehouse=None):
+        super().__init__("spark://host:7077", folder)
+        if warehouse:
+            self.settings["spark.sql.warehouse.dir"] = warehouse
+        self.range, self.read, self._jvm, self._jsc = spark.range, spark.read, spark._jvm, spark._jsc
+
+
+@pytest.mark.parametrize("scheme", ["file://", "file:", ""])
+def test_a_mounted_folder_serves_where_tasks_have_reached_it(spark, tmp_path, scheme):
+    folder = f"{scheme}{tmp_path}"
+    cluster = _Cluster(spark, f"{folder}/")
+    assert shared_dir(cluster) == folder
+    # Nothing is left of the trial.
+    assert [*(tmp_path / f"waybill-{cluster.applicationId}").iterdir()] == []
+    assert shared_dir(_Cluster(spark, warehouse=folder)) == folder
+    local = _Session("local-cluster[3,2,3000]", folder)
+    assert shared_dir(local) == folder
+
+
+def test_a_folder_that_tasks_do_not_reach_is_refused(spark, tmp_path):
+    (tmp_path / "file").write_text("no folder")
+    for cluster in (_Cluster(spark, f"file://{tmp_path}/file"), _Cluster(spark)):
+        with pytest.raises(ValueError):
+            shared_dir(cluster)
+    # Tasks on machines of their own leave nothing that the driver sees.
+    lossy = _Cluster(spark, f"file://{tmp_path}/lossy")
+    lossy.range = lambda start, end, step, tasks: spark.range(start, end - 1, step, tasks)
+    with pytest.raises(ValueError, match="not shared"):
+        shared_dir(lossy)
+
+
 def test_stored_facts_keep_the_month_as_text(spark, tmp_path):
     facts = spark.createDataFrame([("o", "2018-09"), ("p", "NaT")], "order_id string, ym string")
     write_facts(facts, str(tmp_path / "f"))
