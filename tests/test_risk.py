@@ -107,6 +107,30 @@ def test_model_minimises_the_balanced_penalised_loss(fitted):
     assert np.allclose(model.regression.coefficients.toArray()[varying], beta[varying], atol=2e-3)
 
 
+def test_the_split_table_is_joined_once(spark):
+    """What reads the split scans staged rows, without the joins that made the table."""
+    table = planted(spark, 200).join(spark.range(200).withColumnRenamed("id", "order_id"), "order_id")
+    parts = risk.split(table)
+    assert all("/training-" in f for f in parts.inputFiles()) and parts.inputFiles()
+    assert sorted(map(tuple, parts.drop("is_test").collect())) == sorted(map(tuple, table.select(parts.drop("is_test").columns).collect()))
+
+
+def test_slopes_equal_sums_over_all_rows(fitted):
+    """Also where a category of the model has no row, and away from the minimum."""
+    parts, model = fitted
+    some = parts.filter("order_id % 3 <> 1 AND order_id % 5 <> 2")
+    rows = model.score(some).fillna(risk.MISSING, subset=risk.CATEGORICAL).toPandas()
+    late = rows.late.to_numpy(float)
+    w = np.where(late == 1, len(rows) / (2 * late.sum()), len(rows) / (2 * (1 - late).sum()))
+    found = {r.feature: r.slope for r in risk.loss_gradient(model, some, c=0.5).collect()}
+    assert [*found] == model.feature_names() and "payment_type=card" in found
+    for name, weight in model.weights().items():
+        column, _, value = name.partition("=")
+        x = (rows[column] == value if value else rows[column]).to_numpy(float)
+        slope = ((w * (rows.risk - late) * x).sum() + weight / 0.5) / w.sum() / (x.std() or 1.0)
+        assert found[name] == pytest.approx(slope, abs=1e-9)
+
+
 def test_scoring_keeps_rows_and_columns(spark, fitted):
     parts, model = fitted
     test = parts.filter("is_test").withColumn("order_no", F.monotonically_increasing_id())

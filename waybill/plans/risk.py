@@ -25,6 +25,7 @@ from waybill.operators.filters import is_complete, with_status
 from waybill.operators.skew import left_join_apart
 from waybill.operators.topk import oldest, top
 from waybill.plans.facts import payments_per_order
+from waybill.session import stage
 from waybill.sources.tables import Sources
 
 # The model's numbers and categories, in this order.
@@ -132,8 +133,12 @@ def training_table(
 
 
 def split(table: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """``training_table(keep_keys=True)`` with ``is_test``."""
-    return stratified_split(table, KEYS, LABEL, test_share, seed)
+    """``training_table(keep_keys=True)`` with ``is_test``.
+
+    The split, the fit and their measures read the table many times, so it is staged and
+    its joins run once.
+    """
+    return stratified_split(stage(table, "training"), KEYS, LABEL, test_share, seed)
 
 
 # The names that encoded copies of the categories bear inside the encoder.
@@ -246,25 +251,22 @@ def fit(train: DataFrame, max_iter: int = 1000, c: float = 1.0) -> RiskModel:
     where the usual objective sums it, so the penalty is 1 / (C * sum of weights).
     Rows without a number in some column are left out and counted in the model.
     """
-    # Read once per category and then by every iteration.  A lost block is
-    # computed again from the staged rows, with the same result.
+    # Read once per category and by the regression, which makes and keeps blocks of
+    # vectors for its iterations itself.  A lost block is computed again from the staged
+    # rows, with the same result.
     marked = train.withColumn("_complete", is_complete(*NUMERIC)).persist(StorageLevel.MEMORY_AND_DISK)
     left_out = marked.filter(~F.col("_complete")).count()
     rows = marked.filter("_complete")
     encoder = fit_encoder(rows)
-    vectors = (
-        encode(encoder, with_class_weight(rows, LABEL))
-        .select("features", LABEL, "weight")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    weighted = with_class_weight(rows, LABEL)
+    vectors = encode(encoder, weighted).select("features", LABEL, "weight")
     try:
-        weight_sum = vectors.agg(F.sum("weight")).first()[0]
+        weight_sum = weighted.agg(F.sum("weight")).first()[0]
         model = LogisticRegression(
             labelCol=LABEL, weightCol="weight", regParam=1.0 / (c * weight_sum),
             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
         ).fit(vectors)
     finally:
-        vectors.unpersist()
         marked.unpersist()
     return RiskModel(encoder, model, left_out)
 
@@ -273,27 +275,27 @@ def loss_gradient(model: RiskModel, train: DataFrame, c: float = 1.0) -> DataFra
     """Per feature the slope of the penalised loss at the fitted weights.
 
     It is taken per unit of weight and standard deviation of the feature, in one pass
-    over the rows; at the minimum it is 0.
+    over the rows for the numbers and one for the categories; at the minimum it is 0.
     """
     rows = with_class_weight(train.filter(is_complete(*NUMERIC)), LABEL)
     error = F.col("weight") * (F.col("risk") - F.col(LABEL))
-    scored = model.score(rows).withColumn("_error", error)
-    names = model.feature_names()
-
-    def value(name: str) -> Column:
-        column, category, wanted = name.partition("=")
-        if not category:
-            return F.col(column).cast("double")
-        return (F.coalesce(F.col(column).cast("string"), F.lit(MISSING)) == wanted).cast("double")
-
-    sums = [f.alias(f"{k}{part}") for k, name in enumerate(names) for part, f in (
-        ("g", F.sum(F.col("_error") * value(name))), ("s", F.stddev_pop(value(name))))]
-    row = scored.agg(F.sum("weight").alias("w"), *sums).first()
-    weights = model.weights()
-    slopes = [
-        (name, (row[f"{k}g"] + weights[name] / c) / row["w"] / (row[f"{k}s"] or 1.0))
-        for k, name in enumerate(names)
-    ]
+    scored = _copied(model.score(rows).withColumn("_error", error))
+    sums = [f.alias(f"{name}_{part}") for name in NUMERIC for part, f in (
+        ("g", F.sum(F.col("_error") * F.col(name).cast("double"))), ("s", F.stddev_pop(F.col(name).cast("double"))))]
+    row = scored.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), *sums).first()
+    found = {name: (row[f"{name}_g"], row[f"{name}_s"]) for name in NUMERIC}
+    # Rows are combined per combination of categories before each counts for three.
+    combined = scored.groupBy(*_COPIES).agg(F.sum("_error").alias("g"), F.count(F.lit(1)).alias("n"))
+    features = (F.concat(F.lit(f"{name}="), _COPY.format(name)) for name in CATEGORICAL)
+    for r in combined.select(F.explode(F.array(*features)).alias("feature"), "g", "n").groupBy("feature").agg(
+        F.sum("g").alias("g"), F.sum("n").alias("n")
+    ).filter(F.col("feature").isin(model.feature_names())).collect():  # at most a row for each feature
+        share = r.n / row["n"]
+        found[r.feature] = (r.g, (share * (1 - share)) ** 0.5)
+    slopes = []
+    for name, weight in model.weights().items():
+        g, s = found.get(name, (0.0, 0.0))
+        slopes.append((name, (g + weight / c) / row["w"] / (s or 1.0)))
     return train.sparkSession.createDataFrame(slopes, "feature string, slope double")
 
 
