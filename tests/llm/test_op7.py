@@ -101,3 +101,12 @@ def test_long_text_is_split_into_words_once(spark):
     got = df.select(op.cut_text(F.col("text")).alias("t")).first().t
     assert time.perf_counter() - start < 30  # once for every span it would take minutes
     assert got.split("\n") == [" ".join(words), *(" ".join(words[a:b]) for a, b in spans)]
+
+
+def test_the_plan_reaches_the_jvm_without_python_workers(spark, monkeypatch):
+    frames, broadcast = [], F.broadcast
+    monkeypatch.setattr(op.F, "broadcast", lambda df: frames.append(df) or broadcast(df))
+    rows = [(k, f"s{k % 3}", 5 * k) for k in range(30)]
+    assert op.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).count() == 30
+    lineage = frames[0]._jdf.toJavaRDD().toDebugString()
+    assert "Python" not in lineage and frames[0].count() == 3

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from waybill.llm.common import documents, stage, table
@@ -32,6 +33,9 @@ SHARD_WORDS = 1 << 18
 SHARDS = 4096
 SOURCES = 100_000
 SEED = "mix"
+_PLAN = pa.schema(
+    {"_source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "quota": pa.int64(), "shards": pa.int32()}
+)
 
 
 def size_of(text: Column) -> Column:
@@ -121,9 +125,11 @@ def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED, most: int = MOST
     totals = stage(rows.groupBy("_source", "source", "_bucket").agg(F.sum("size").alias("size")), "mix-totals")
     plan = _source_plan(totals, block, most)
     spark = sized.sparkSession
-    kinds = "_source string, source_size long, target double, quota long, shards int"
+    # As an Arrow table, which the JVM reads by itself: a list of rows would pass through
+    # Python workers of another kind, one more for every core beside those of the UDFs.
+    plan_table = pa.Table.from_pandas(plan, _PLAN, preserve_index=False)
     # At most SOURCES rows, as checked; a shuffle by source would gather a large source.
-    plan_df = F.broadcast(spark.createDataFrame(plan, kinds))
+    plan_df = F.broadcast(spark.createDataFrame(plan_table))
     shard = (F.col("_bucket") % F.col("shards")).alias("shard")
     quotas = (
         totals.join(plan_df, "_source")
