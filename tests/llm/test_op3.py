@@ -150,3 +150,14 @@ def test_near_copies_under_the_threshold_make_no_pair_rows(spark, monkeypatch):
         sizes[n] = dict(counts)
     for label, many in sizes[600].items():
         assert many <= 6 * max(sizes[150].get(label, 0), 40), (label, sizes)
+
+
+def test_whole_sets_are_made_in_one_pass_of_python(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(op, "stage", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, None), (None, "x"), (5, "")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (2,), (2,), (3,)], "id long")
+    for packed in (False, True):
+        found = {r.doc_id: len(r.shingles) for r in op._full_sets(ids, docs, 3, packed).collect()}
+        assert found == {1: 2, 2: 2, 3: 0} if not packed else found == {1: 16, 2: 16, 3: 0}
+    assert [p.count("MapInArrow") for p in plans] == [1, 1]

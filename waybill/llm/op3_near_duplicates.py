@@ -22,7 +22,7 @@ component; rows of one id with different texts count as one node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -178,18 +178,30 @@ class IdFilter:
             start = (row.bucket - 1) * (_BITMAP // 8)
             self.bits[start : start + _BITMAP // 8] = np.frombuffer(row.bits, np.uint8)
 
+    def marked(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with what ``passing`` needs, without rows that lack the id."""
+        bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+        return df.filter(F.col(column).isNotNull()).withColumn("_bit", bit)
+
+    def passing(self) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        """For use in a task: rows of a batch of ``marked`` whose id may be in the set."""
+        bits = self.bits
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = batch.column("_bit").to_numpy()
+            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            return batch.select([n for n in batch.schema.names if n != "_bit"]).filter(pa.array(keep.astype(bool)))
+
+        return run
+
     def select(self, df: DataFrame, column: str) -> DataFrame:
         """Rows of ``df`` whose id may be in the set."""
-        bits, names = self.bits, df.columns
+        passing = self.passing()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column("_bit").to_numpy()
-                keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-                yield batch.select(names).filter(pa.array(keep.astype(bool)))
+            yield from map(passing, batches)
 
-        bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-        return df.filter(F.col(column).isNotNull()).withColumn("_bit", bit).mapInArrow(run, df.schema)
+        return self.marked(df, column).mapInArrow(run, df.schema)
 
 
 def _pruned(pairs: DataFrame, signs: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
@@ -208,11 +220,14 @@ def _pruned(pairs: DataFrame, signs: DataFrame, steps: list[tuple[int, int]]) ->
 def _full_sets(ids: DataFrame, docs: DataFrame, words: int, packed: bool = False) -> DataFrame:
     """doc_id and the whole shingle set of every document named by ``ids`` (id), maybe repeated.
 
-    ``packed`` sets are bytes of sorted 64-bit numbers instead of arrays.
+    ``packed`` sets are bytes of sorted 64-bit numbers instead of arrays.  Texts are
+    refused and split in one pass: two would hold two Python workers for every core.
     """
+    some = IdFilter(ids, "id")
+    passing = some.passing()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(b for b in map(passing, batches) if len(b)):
             sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), words)]
             if packed:
                 column = pa.array([s.tobytes() for s in sets], pa.binary())
@@ -222,8 +237,8 @@ def _full_sets(ids: DataFrame, docs: DataFrame, words: int, packed: bool = False
                 column = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "shingles"])
 
-    some = IdFilter(ids, "id").select(documents(docs, "doc_id", "text"), "doc_id")
-    sets = some.mapInArrow(run, f"doc_id long, shingles {'binary' if packed else 'array<long>'}")
+    texts = some.marked(documents(docs, "doc_id", "text"), "doc_id")
+    sets = texts.mapInArrow(run, f"doc_id long, shingles {'binary' if packed else 'array<long>'}")
     sets = sets.join(ids.distinct(), sets["doc_id"] == F.col("id"), "left_semi")
     return stage(sets.dropDuplicates(["doc_id", "shingles"]), "sets")
 
