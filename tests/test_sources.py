@@ -247,6 +247,22 @@ def test_a_folder_that_tasks_do_not_reach_is_refused(spark, tmp_path):
         shared_dir(lossy)
 
 
+def test_the_warehouse_serves_where_the_named_folder_is_not_shared(spark, tmp_path):
+    (tmp_path / "file").write_text("no folder")
+    warehouse = f"file://{tmp_path}/warehouse"
+    assert shared_dir(_Cluster(spark, f"file://{tmp_path}/file", warehouse)) == warehouse
+    # A folder of each machine's own, as an installation's default may name.
+    lossy, calls = _Cluster(spark, f"{tmp_path}/own", warehouse), []
+
+    def written(start, end, step, tasks):
+        calls.append(tasks)
+        return spark.range(start, end - (len(calls) == 1), step, tasks)
+
+    lossy.range = written
+    assert shared_dir(lossy) == shared_dir(lossy) == warehouse
+    assert len(calls) == 2  # both tried, once
+
+
 def test_stored_facts_keep_the_month_as_text(spark, tmp_path):
     facts = spark.createDataFrame([("o", "2018-09"), ("p", "NaT")], "order_id string, ym string")
     write_facts(facts, str(tmp_path / "f"))
