@@ -132,3 +132,40 @@ def test_lanes_run_out_one_by_one():
     texts = [np.zeros(n, np.int64) for n in (500, 3, 70, 0, 9)]
     read = op.train(model, op.Adam(model.parameters(), op.RATE), texts, np.random.default_rng(0))
     assert read == sum(len(t) + 1 for t in texts)
+
+
+def test_classes_far_from_zero_are_found_apart(monkeypatch):
+    monkeypatch.setattr(op, "OWN", 64)
+    _, model = small_model()
+    model.word_out[1, 3] = 50.0  # its logits overflow unless each column's greatest is taken off
+    assert model._far(model.word_out, model.word_shift).tolist() == [False, True]
+    assert not model._far(model.out, model.shift)
+    states = np.random.default_rng(4).uniform(0.5, 1, (op.UNITS, 64)).astype(np.float32)
+    own = np.flatnonzero(model.vocabulary.group[:-2] < 2)
+    found, group, place = model.log10(states, own), model.vocabulary.group[own], model.vocabulary.place[own]
+    for k, (g, p) in enumerate(zip(group, place, strict=True)):
+        outer = model.out.astype(float) @ states[:, k] + model.shift[:, 0]
+        inner = model.word_out[g].astype(float) @ states[:, k] + model.word_shift[g, :, 0]
+        exact = outer[g] - np.logaddexp.reduce(outer) + inner[p] - np.logaddexp.reduce(inner)
+        assert math.isclose(found[k], exact / math.log(10), rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_head_words_are_found_in_chains():
+    rng = np.random.default_rng(5)
+    spread = rng.integers(-(1 << 63), 1 << 63, 5000)
+    for words in (np.unique(spread), np.arange(-70, 70) * 3, np.arange(40) << 50, np.array([7])):
+        v = op.Vocabulary(words.astype(np.int64), *(np.zeros(0, np.int64),) * 4, 0, 0, 0)
+        asked = np.concatenate([words, words + 1, [-1, 0, 7]]).astype(np.int64)
+        at = np.minimum(np.searchsorted(v.words, asked), len(words) - 1)
+        expected = np.where(v.words[at] == asked, at, -1)
+        assert np.array_equal(v.numbers(asked), expected)
+        assert v.__getstate__()["chains"] is None
+        parts = v.entries([asked[:3], asked[:0], asked[3:]])
+        assert [len(x) for x in parts] == [3, 0, len(asked) - 3] and np.array_equal(np.concatenate(parts), expected)
+    assert op.Vocabulary(np.zeros(0, np.int64), *(np.zeros(0, np.int64),) * 4, 0, 0, 0).entries([]) == []
+
+
+def test_a_word_votes_once_for_each_text():
+    texts = [np.array([3, 3, 0, -1, 3]), np.array([3, 1]), np.array([-1])]
+    found = op.votes(texts, np.eye(1, 4, dtype=np.float32), 5).reshape(6, op.THEMES)
+    assert found.sum(axis=1).tolist() == [1, 1, 0, 2, 0, 3] and not found[:, 1:].any()

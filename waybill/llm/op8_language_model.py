@@ -161,13 +161,50 @@ class Vocabulary:
     own_groups: int
     groups: int
     symbols: int
+    chains: tuple[np.ndarray, np.ndarray] | None = None
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each word; -1 for the tail."""
         if not len(self.words):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
+        if self.chains is None:
+            self.chains = self._chained()
+        first, following = self.chains
+        at = first.take(self._slots(hashes))
+        # An empty slot's -1 meets the last word, which stands in another slot.
+        open_ = np.flatnonzero(self.words.take(at) != hashes)
+        while len(open_):
+            at[open_] = following.take(at[open_])
+            open_ = open_[at[open_] >= 0]
+            open_ = open_[self.words.take(at[open_]) != hashes[open_]]
+        return at
+
+    def entries(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Entries of the words of each text."""
+        cuts = np.cumsum([0, *map(len, texts)]).tolist()
+        flat = self.numbers(np.concatenate(texts)) if texts else np.zeros(0, np.int64)
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each word, about four to a head word."""
+        bits = len(self.words).bit_length() + 2
+        return ((hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+    def _chained(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first entry of each slot, and which entry follows each in its slot; -1 for none."""
+        n = len(self.words)
+        slots = self._slots(self.words)
+        order = np.argsort(slots, kind="stable")
+        ordered = slots[order]
+        first, following = np.full(1 << (n.bit_length() + 2), -1), np.full(n + 1, -1)
+        starts = np.append(True, ordered[1:] != ordered[:-1])
+        first[ordered[starts]] = order[starts]
+        following[order[:-1][~starts[1:]]] = order[1:][~starts[1:]]
+        return first, following
+
+    def __getstate__(self) -> dict:
+        """Tasks make the chains anew, which is cheaper than sending them."""
+        return self.__dict__ | {"chains": None}
 
 
 def frequent(texts: list[np.ndarray], top: int) -> np.ndarray:
@@ -207,14 +244,15 @@ def centre_sums(texts: list[np.ndarray], centres: np.ndarray) -> np.ndarray:
 
 def votes(texts: list[np.ndarray], centres: np.ndarray, entries: int) -> np.ndarray:
     """Number of texts of each theme that hold a word, by word; then that of all texts."""
-    out = np.zeros((entries + 1, THEMES), np.int64)
+    out = np.zeros((THEMES, entries + 1), np.int64)
     for start in range(0, len(texts), LANES):
         some = texts[start : start + LANES]
         best = (frequent(some, centres.shape[1]) @ centres.T).argmax(axis=1)
-        for t, c in zip(some, best, strict=True):
-            out[np.unique(t[t >= 0]), c] += 1
-            out[-1, c] += 1
-    return out.ravel()
+        for t, c in zip(some, best.tolist(), strict=True):
+            own = out[c]
+            own[t[t >= 0]] += 1  # a word that comes several times is raised once
+            own[-1] += 1
+    return out.T.ravel()
 
 
 def themes_of(total: Callable[[Callable], np.ndarray], start: np.ndarray, entries: int) -> np.ndarray:
@@ -245,7 +283,7 @@ def make_vocabulary(corpus: Corpus, texts: list[np.ndarray], docs: DataFrame | N
     empty = Vocabulary(corpus.words, *(np.zeros(0, np.int64),) * 4, 0, 0, 0)
 
     def ranks(words: list[np.ndarray]) -> list[np.ndarray]:
-        return [np.where(e >= 0, rank[e] if n else -1, -1) for e in map(empty.numbers, words)]
+        return [np.where(e >= 0, rank[e] if n else -1, -1) for e in empty.entries(words)]
 
     def total(measure: Callable) -> np.ndarray:
         if docs is None:
@@ -317,34 +355,40 @@ class Model:
         """log10 P(class) P(word | class) of each column; the tail's inner part is left out."""
         v = self.vocabulary
         group = v.group[targets]
-        logits = self._logits(self.out, self.shift, states)
+        logits = self._logits(self.out, self.shift, states, self._far(self.out, self.shift))
         picked = logits[group, np.arange(len(targets))]
         np.exp(logits, out=logits)
         out = picked - np.log(logits.sum(axis=0))
         order, cuts, place, columns = self._by_group(states, targets, group)
         picked, sums = np.empty(len(order), logits.dtype), np.empty(len(order), logits.dtype)
+        far, places = self._far(self.word_out, self.word_shift).tolist(), np.arange(len(order))
         for c in range(v.own_groups):
             a, b = cuts[c], cuts[c + 1]
             if b > a:
-                inner = self._logits(self.word_out[c], self.word_shift[c], columns[:, a:b])
-                picked[a:b] = inner[place[a:b], np.arange(b - a)]
+                inner = self._logits(self.word_out[c], self.word_shift[c], columns[:, a:b], far[c])
+                picked[a:b] = inner[place[a:b], places[: b - a]]
                 np.exp(inner, out=inner)
-                inner.sum(axis=0, out=sums[a:b])
+                np.add.reduce(inner, axis=0, out=sums[a:b])
         out = out.astype(np.float64)
         out[order] += picked - np.log(sums)
         return out / np.log(10) + v.inside[targets]
 
     @staticmethod
-    def _logits(weights: np.ndarray, shift: np.ndarray, states: np.ndarray) -> np.ndarray:
-        """Logits that can be exponentiated.
+    def _far(weights: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Whether logits of these weights, or of each of several, may be too far from 0.
 
-        No state is beyond -1..1, so weights and shifts bound the logits; only where that
-        leaves room for overflow each column's greatest is taken off.
+        No state is beyond -1..1, so weights and shifts bound the logits.
         """
+        reach = np.abs(weights).sum(axis=-1, keepdims=True)
+        return ((shift + reach).max(axis=(-2, -1)) > 60) | ((shift - reach).max(axis=(-2, -1)) < -60)
+
+    @staticmethod
+    def _logits(weights: np.ndarray, shift: np.ndarray, states: np.ndarray, far: bool) -> np.ndarray:
+        """Logits that can be exponentiated: where they may be ``far`` from 0, each column's
+        greatest is taken off."""
         logits = weights @ states
         logits += shift
-        reach = np.abs(weights).sum(axis=1, keepdims=True)
-        if (shift + reach).max() > 60 or (shift - reach).max() < -60:
+        if far:
             logits -= logits.max(axis=0)
         return logits
 
@@ -352,9 +396,9 @@ class Model:
         """Columns with own words by class: their numbers, each class's first, places, states."""
         v = self.vocabulary
         order = np.argsort(group.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(v.own_groups + 1))
+        cuts = np.searchsorted(group[order], np.arange(v.own_groups + 1)).tolist()
         order = order[: cuts[-1]]
-        return order, cuts, v.place[targets[order]], states.take(order, axis=1)
+        return order, cuts, v.place[targets[order]], np.ascontiguousarray(np.ascontiguousarray(states.T).take(order, axis=0).T)
 
     def gradients(
         self, states: np.ndarray, targets: np.ndarray, weight: float | np.ndarray
@@ -362,7 +406,7 @@ class Model:
         """Gradients of the states and of the output parameters; ``weight`` may go by column."""
         weight = np.broadcast_to(np.asarray(weight, states.dtype), len(targets))
         group = self.vocabulary.group[targets]
-        p = self._logits(self.out, self.shift, states)
+        p = self._logits(self.out, self.shift, states, self._far(self.out, self.shift))
         np.exp(p, out=p)
         p *= weight / p.sum(axis=0)
         p[group, np.arange(len(targets))] -= weight
@@ -370,17 +414,22 @@ class Model:
         word_out, word_shift = np.zeros_like(self.word_out), np.zeros_like(self.word_shift)
         order, cuts, place, columns = self._by_group(states, targets, group)
         own, back = weight[order], np.empty_like(columns)
+        far, places = self._far(self.word_out, self.word_shift).tolist(), np.arange(len(order))
         for c in range(len(cuts) - 1):
             a, b = cuts[c], cuts[c + 1]
             if b > a:
-                q = self._logits(self.word_out[c], self.word_shift[c], columns[:, a:b])
+                some, w = columns[:, a:b], own[a:b]
+                q = self._logits(self.word_out[c], self.word_shift[c], some, far[c])
                 np.exp(q, out=q)
-                q *= own[a:b] / q.sum(axis=0)
-                q[place[a:b], np.arange(b - a)] -= own[a:b]
-                word_out[c] = q @ columns[:, a:b].T
-                word_shift[c] = q.sum(axis=1, keepdims=True)
+                q *= w / np.add.reduce(q, axis=0)
+                q[place[a:b], places[: b - a]] -= w
+                np.matmul(q, some.T, out=word_out[c])
+                np.add.reduce(q, axis=1, keepdims=True, out=word_shift[c])
                 np.matmul(self.word_out[c].T, q, out=back[:, a:b])
-        flow[:, order] += back
+        # Whole rows are gathered faster; columns without own words get the row of zeros.
+        at = np.full(len(targets), len(order))
+        at[order] = np.arange(len(order))
+        flow += np.concatenate([back.T, np.zeros((1, len(back)), back.dtype)]).take(at, axis=0).T
         return flow, [p @ states.T, p.sum(axis=1, keepdims=True), word_out, word_shift]
 
 
@@ -462,7 +511,7 @@ def train_round(model: Model, docs: DataFrame, rate: float) -> Model:
         read = 0
         for texts in texts_of(batches):
             # Entries count from the end: the tail is the last of all, the end the one before.
-            entries = [np.where(e < 0, len(vocabulary.words) + 1, e) for e in map(vocabulary.numbers, texts)]
+            entries = [np.where(e < 0, len(vocabulary.words) + 1, e) for e in vocabulary.entries(texts)]
             read += train(own, adam, entries, rng, rate)
         if not read:
             return None

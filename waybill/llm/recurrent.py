@@ -22,23 +22,28 @@ class Gated:
     def parameters(self) -> list[np.ndarray]:
         return [self.table, self.inner, self.bias]
 
-    def step(self, at: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """The state after one more symbol of every sequence."""
+    def step(
+        self, at: np.ndarray, rows: np.ndarray, state: np.ndarray, out: np.ndarray, keep: list | None = None
+    ) -> np.ndarray:
+        """The state after one more symbol of every sequence, written to ``out``.
+
+        ``rows`` has the table's entries by symbol: whole rows are gathered faster.
+        """
         u = self.units
-        x = self.table.take(at, axis=1)
+        x = np.ascontiguousarray(rows.take(at, axis=0).T)
         g = self.inner @ state
         gates = x[: 2 * u]
         gates += g[: 2 * u]
-        opened = np.clip(gates, 0, 1)
+        opened = gates.clip(0, 1)
         reset, update = opened[:u], opened[u:]
         hidden = g[2 * u :]
         hidden += self.bias
         wish = x[2 * u :]
         wish += reset * hidden
-        new = np.clip(wish, -1, 1)
+        new = wish.clip(-1, 1)
         if keep is not None:
             keep.append((at, state, gates, opened, hidden, wish, new))
-        out = state - new
+        np.subtract(state, new, out=out)
         out *= update
         out += new
         return out
@@ -53,9 +58,10 @@ class Gated:
         if state is None:
             state = np.zeros((self.units, symbols.shape[1]), np.float32)
         out = np.empty((len(symbols), self.units, symbols.shape[1]), np.float32)
+        rows = np.ascontiguousarray(self.table.T)
+        cleared = [False] * len(symbols) if goes_on is None else (goes_on != 1).any(axis=1).tolist()
         for t, at in enumerate(symbols):
-            state = self.step(at, state if goes_on is None else state * goes_on[t], keep)
-            out[t] = state
+            state = self.step(at, rows, state * goes_on[t] if cleared[t] else state, out[t], keep)
         return out, state
 
     def gradients(self, kept: list, outer: np.ndarray, goes_on: np.ndarray | None = None) -> list[np.ndarray]:
@@ -65,6 +71,7 @@ class Gated:
         inner, bias = np.zeros_like(self.inner), np.zeros_like(self.bias)
         inputs = np.empty((len(kept), 3 * u, lanes), np.float32)
         down, back = np.empty((3 * u, lanes), np.float32), np.ascontiguousarray(self.inner.T)
+        cleared = [False] * len(kept) if goes_on is None else (goes_on != 1).any(axis=1).tolist()
         for t in range(len(kept) - 1, -1, -1):
             _, state, gates, opened, hidden, wish, new = kept[t]
             reset, update = opened[:u], opened[u:]
@@ -79,18 +86,19 @@ class Gated:
             down[: 2 * u] = own[: 2 * u]
             np.multiply(d_wish, reset, out=down[2 * u :])
             inner += down @ state.T
-            bias += down[2 * u :].sum(axis=1, keepdims=True)
+            bias += np.add.reduce(down[2 * u :], axis=1, keepdims=True)
             flow *= update
             flow += back @ down
-            if goes_on is not None:
+            if cleared[t]:
                 flow *= goes_on[t]
         at = np.concatenate([k[0] for k in kept])
-        order = np.argsort(at, kind="stable")
+        # Short numbers are sorted by their digits.
+        order = np.argsort(at.astype(np.int16) if self.table.shape[1] < 1 << 15 else at, kind="stable")
         ordered = at[order]
         cuts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        flat = inputs.transpose(1, 0, 2).reshape(3 * u, -1)
+        rows = inputs.transpose(0, 2, 1).reshape(-1, 3 * u)
         table = np.zeros((3 * u, self.table.shape[1]), np.float32)
-        table[:, ordered[cuts]] = np.add.reduceat(flat.take(order, axis=1), cuts, axis=1)
+        table[:, ordered[cuts]] = np.add.reduceat(np.ascontiguousarray(rows.take(order, axis=0).T), cuts, axis=1)
         return [table, inner, bias]
 
 
