@@ -113,3 +113,15 @@ def test_shards_pass_one_at_a_time(spark):
     import types
 
     assert isinstance(op.benchmark_shards(bench(spark, [(1, "a b c")])), types.GeneratorType)
+
+
+def test_documents_pass_no_second_python_step(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (None, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", "b c")], "item_id string, text string")
+    found = op.contamination(docs, bench)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert [(rows[k].n_words, rows[k].n_hit, rows[k].contaminated) for k in (1, 2, None)] == [(3, 2, True), (0, 0, False), (2, 0, False)]
+    assert rows[2].items_sha256 == op.hashlib.sha256(b"").hexdigest() and rows[2].n_items == 0
+    # Above the join of documents and answers none stands, so no stage holds two.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan[: plan.index("Join")]

@@ -43,9 +43,7 @@ _AT_ONCE = 1 << 20
 
 _SEGMENT = "segment long, doc_ids array<long>, n_words binary, terms binary, counts binary, deltas binary"
 _FOUND = "segment long, place int, spans binary, items array<string>, near array<string>"
-_RESULT = (
-    "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
-)
+_DIGEST = "segment long, place int, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -331,23 +329,23 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [sorted(set(i)) for i in batch.column("items").to_pylist()]
         near = [len(set(i)) for i in batch.column("near").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()),
+            [batch.column("segment"), batch.column("place"), pa.array(hits, pa.int64()),
              pa.array(map(len, items), pa.int64()),
              pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
              pa.array([h > 0 for h in hits], pa.bool_()), pa.array(near, pa.int64())],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items"],
+            ["segment", "place", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items"],
         )
 
 
 def contamination(docs: DataFrame, bench: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: words, words hit, items found, near items."""
     index = stage(build_index(docs), "postings")
-    found = documents_of(index).join(answers(index, bench, shard_bytes), ["segment", "place"], "left")
-    none = F.array().cast("array<string>")
-    whole = found.select(
-        "doc_id", "n_words", F.coalesce("spans", F.lit(b"")).alias("spans"), *(F.coalesce(c, none).alias(c) for c in ("items", "near"))
-    )
-    return whole.mapInArrow(_digest, _RESULT)
+    # Digested before the join: after it, in one pass with the documents, two Python
+    # workers would be held for every core.
+    digests = answers(index, bench, shard_bytes).select("segment", "place", "spans", "items", "near").mapInArrow(_digest, _DIGEST)
+    found = documents_of(index).join(digests, ["segment", "place"], "left")
+    none = {"n_hit": 0, "n_items": 0, "items_sha256": hashlib.sha256().hexdigest(), "contaminated": False, "n_near_items": 0}
+    return found.na.fill(none).select("doc_id", "n_words", *none)
 
 
 def nearby_items(docs: DataFrame, bench: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:

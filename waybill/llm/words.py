@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
-_PIECE = 1 << 20
+# So many bytes are hashed at a time that the arrays over them stay in a core's cache.
+_PIECE = 1 << 16
 
 # Lower case for A-Z only, as a byte table.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -78,22 +79,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             start = end
 
 
+def looked_up(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The entry of each byte in a table of 256 bytes or booleans; not to be written to."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def word_spans(data: np.ndarray, cuts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and each text's first word (one more at the end)."""
-    word = inside[data]
+    word = looked_up(data, inside)
     n = len(data)
-    first = np.zeros(n + 1, bool)
-    first[cuts] = True  # a word never reaches over the border of two texts
-    before = np.empty(n, bool)
-    after = np.empty(n, bool)
-    if n:
-        before[0], after[-1] = False, False
-        before[1:] = word[:-1]
-        after[:-1] = word[1:]
-    before &= ~first[:-1]
-    after &= ~first[1:]
-    starts = np.flatnonzero(word & ~before)
-    ends = np.flatnonzero(word & ~after) + 1
+    border = np.zeros(n + 1, bool)
+    border[cuts] = True  # a word never reaches over the border of two texts
+    opens, closes = np.ones(n, bool), np.ones(n, bool)
+    np.logical_not(word[:-1], out=opens[1:])
+    np.logical_not(word[1:], out=closes[:-1])
+    opens |= border[:-1]
+    closes |= border[1:]
+    opens &= word
+    closes &= word
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
+    ends += 1
     return starts, ends, np.searchsorted(starts, cuts)
 
 
@@ -107,9 +112,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         stop = ends[to - 1]
         power, inverse = _powers(stop - origin)
         sums = np.zeros(stop - origin + 1, np.uint64)
-        np.cumsum((_LOWER[data[origin:stop]].astype(np.uint64) + np.uint64(1)) * power[: stop - origin], out=sums[1:])
+        terms = looked_up(data[origin:stop], _LOWER).astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[: stop - origin]
+        np.cumsum(terms, out=sums[1:])
         s, e = starts[done:to] - origin, ends[done:to] - origin
-        out[done:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        own = sums.take(e)
+        own -= sums.take(s)
+        own *= inverse.take(s)
+        own += (e - s).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        out[done:to] = mix(own)
         done = to
     return out
 
