@@ -169,3 +169,22 @@ def test_a_word_votes_once_for_each_text():
     texts = [np.array([3, 3, 0, -1, 3]), np.array([3, 1]), np.array([-1])]
     found = op.votes(texts, np.eye(1, 4, dtype=np.float32), 5).reshape(6, op.THEMES)
     assert found.sum(axis=1).tolist() == [1, 1, 0, 2, 0, 3] and not found[:, 1:].any()
+
+
+def test_word_counts_hold_little_beside_the_words():
+    """A slice's bytes are not widened all at once, which costs time and memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from waybill.llm.words import hashed
+
+    texts = pa.array([f"w{k} " * 1000 for k in range(1000)])
+    size = sum(b.size for b in texts.buffers() if b)
+    tracemalloc.start()
+    try:
+        words, _ = hashed(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(words) == 1_000_000 and most < 10 * size
