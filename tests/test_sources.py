@@ -1,13 +1,16 @@
 """Scans, their fallbacks, and sinks."""
 
 import os
+import time
 import uuid
 from datetime import date, datetime
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from waybill import session
 from waybill.operators.filters import in_period, in_year
 from waybill.plans.facts import build_facts
 from waybill.schemas import SOURCE_SCHEMAS
@@ -263,6 +266,60 @@ def test_the_warehouse_serves_where_the_named_folder_is_not_shared(spark, tmp_pa
     assert len(calls) == 2  # both tried, once
 
 
+def test_the_folder_is_tried_again_with_executors_that_came_later(spark, tmp_path, monkeypatch):
+    own, warehouse, here = f"{tmp_path}/own", f"{tmp_path}/warehouse", {"driver:1", "same:2"}
+    monkeypatch.setattr(session, "_executors", lambda _: set(here))
+    cluster, calls = _Cluster(spark, own, warehouse), []
+    cluster.range = lambda start, end, step, tasks: calls.append(tasks) or spark.range(start, end, step, tasks)
+    assert shared_dir(cluster) == shared_dir(cluster) == own
+    here.add("other:3")  # shares the folder too
+    assert shared_dir(cluster) == shared_dir(cluster) == own
+    assert len(calls) == 2
+    # The next one has a folder of its own: its rows are not in the driver's.
+    here.add("other:4")
+    cluster.range = lambda start, end, step, tasks: calls.append(tasks) or spark.range(start, end - (len(calls) == 3), step, tasks)
+    with pytest.raises(ValueError, match="came later"):
+        shared_dir(cluster)
+    assert shared_dir(cluster) == warehouse
+    assert calls == [3, 3, 4, 4]  # a task for each executor at least
+
+
+def test_a_folder_that_late_executors_alone_refuse_is_not_kept(spark, tmp_path, monkeypatch):
+    here = {"driver:1", "same:2"}
+    monkeypatch.setattr(session, "_executors", lambda _: set(here))
+    cluster = _Cluster(spark, f"{tmp_path}/own")
+    assert shared_dir(cluster) == f"{tmp_path}/own"
+    here.add("other:3")
+    cluster.range = lambda start, end, step, tasks: spark.range(start, end - 1, step, tasks)
+    for _ in range(2):
+        with pytest.raises(ValueError, match="not shared"):
+            shared_dir(cluster)
+
+
+def test_the_trial_waits_for_the_executors_asked_for(spark, tmp_path, monkeypatch):
+    came = []
+
+    def executors(_):
+        came.append(f"machine:{len(came)}")
+        return set(came)
+
+    monkeypatch.setattr(session, "_executors", executors)
+    cluster = _Cluster(spark, str(tmp_path))
+    began = time.time()
+    context = SimpleNamespace(isLocal=lambda: False, startTime=lambda: began * 1000)
+    cluster._jsc = SimpleNamespace(sc=lambda: context, hadoopConfiguration=spark._jsc.hadoopConfiguration)
+    cluster.set("spark.executor.instances", "3")
+    tasks = []
+    cluster.range = lambda start, end, step, n: tasks.append(n) or spark.range(start, end, step, n)
+    assert shared_dir(cluster) == str(tmp_path)
+    assert tasks[0] > 4  # the driver and three executors had been seen before the trial
+    # Without that number those of a young application have some time to come.
+    monkeypatch.setattr(session, "REGISTERING", 2)
+    young = _Cluster(spark, str(tmp_path))
+    young._jsc, began = cluster._jsc, time.time()
+    assert shared_dir(young) == str(tmp_path) and time.time() >= began + 2
+
+
 def test_stored_facts_keep_the_month_as_text(spark, tmp_path):
     facts = spark.createDataFrame([("o", "2018-09"), ("p", "NaT")], "order_id string, ym string")
     write_facts(facts, str(tmp_path / "f"))
